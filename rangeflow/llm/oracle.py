@@ -2,4 +2,70 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"[^\x20\x09-\x0D]+"
+_PLAIN_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(of: str, pattern: str, lower: bool) -> str:
+    text = f"translate(coalesce({of}, ''), '{_UPPER}', '{_LOWER}')" if lower else f"coalesce({of}, '')"
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+def repeated_passages(window: int = 20) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, {_words("text", _WORDS, False)} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - {window - 2}, 1))) AS i, ws FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS seq FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS nth FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS i FROM r WHERE nth > 1),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+x AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, ws, gone
+      FROM w LEFT JOIN g USING (doc_id)),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM x),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT x.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM x LEFT JOIN t USING (doc_id)
+"""
+
+
+def contamination(window: int = 8, least_items: int = 2) -> str:
+    return f"""
+WITH b AS (SELECT item_id, {_words("text", _PLAIN_WORDS, True)} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), {window}) AS n,
+              unnest(list_transform(range(1, greatest(len(ws) - {window - 2}, 2)),
+                                    lambda i: array_to_string(ws[i:i + {window - 1}], ' '))) AS seq
+       FROM b WHERE len(ws) > 0),
+d AS (SELECT doc_id, {_words("text", _PLAIN_WORDS, True)} AS ws FROM documents),
+lens AS (SELECT DISTINCT n FROM bw),
+p AS (SELECT doc_id, n, ws, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS i FROM d, lens),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS seq FROM p),
+m AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, seq)),
+h AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= {least_items} AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def near_duplicates(shingle: int = 3, percent: int = 85) -> str:
+    joined = " || ' ' || ".join(["ws[i]"] + [f"ws[i + {k}]" for k in range(1, shingle)])
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words("text", _WORDS, True)} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - {shingle - 2}), lambda i: {joined}) END) AS own FROM w),
+u AS (SELECT doc_id, len(own) AS n, unnest(own) AS g FROM s),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id
+      GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
+reach(v, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT v, b FROM reach JOIN e ON r = a)
+SELECT s.doc_id, len(own)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON s.doc_id = c.v
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_substring_dedup": repeated_passages(),
+    "op5_decontamination": contamination(),
+    "op9_near_duplicates": near_duplicates(),
+}
