@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, quality, secrets, substring
+from . import decontaminate, neardup, packing, quality, secrets, sharding, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("text")
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bad): the label of the document whose number a page's path has last."""
+    number = F.expr(r"try_cast(regexp_extract(url, '^[^?#]*?([0-9]+)[^0-9?#]*($|[?#])', 1) as bigint)")
+    pages = table(spark, sf_dir, "pages").select("page_id", number.alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.join(labels, "doc_id").select("page_id", "bad")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.filter_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = neardup.NearDupParams(shingle=3, percent=85)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), rules)
@@ -53,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_sharding": op6_sharding,
+    "op7_url_filters": op7_url_filters,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }
