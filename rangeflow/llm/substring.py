@@ -45,6 +45,9 @@ class SubstringParams:
     period: int = 13
     #: Blocks for each shuffle partition: even loads need a few.
     blocks_per_partition: int = 8
+    #: Shuffle partitions for each bucket of names. Every block sends a row to
+    #: every bucket, so buckets are as few as their memory allows.
+    partitions_per_bucket: int = 4
 
     @property
     def anchor(self) -> int:
@@ -167,7 +170,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
     if p.period not in COVERS or p.window < p.period:
         raise ValueError("no difference cover for this period, or the window is too short")
     partitions = shuffle_partitions(docs.sparkSession)
-    n_blocks, buckets = partitions * p.blocks_per_partition, partitions
+    n_blocks, buckets = partitions * p.blocks_per_partition, max(8, partitions // p.partitions_per_bucket)
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
 
