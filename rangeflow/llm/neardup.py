@@ -1,9 +1,10 @@
 """Near-duplicates: banded MinHash, odd-sketch filter, exact confirmation.
 
 1. One pass makes a record for each document: size and digest of its shingle
-   set, MinHash bands, and an odd sketch. The sketch folds all MinHash samples
-   into a bitmap in which a bit is the parity of the samples that fall on it;
-   the population count of two sketches' XOR says how many samples differ.
+   set, MinHash bands, and an odd sketch. The sketch folds MinHash samples (the
+   smallest hash of each of many bins of one permutation) into a bitmap in
+   which a bit is the parity of the samples that fall on it; the population
+   count of two sketches' XOR says how many samples differ.
 2. Equal sets collapse to their smallest document.
 3. In each band bucket all members are paired with its smallest member only.
    Pairs that the sketches place far below the threshold are dropped; the rest
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, discard
 from .wordhash import U64, Words, buffers, mix, slices, windows
 
 _LONG = pa.list_(pa.int64())
@@ -43,8 +44,10 @@ class NearDupParams:
     percent: int = 80
     rows: int = 4
     miss: float = 1e-9
-    sketch_bits: int = 256
-    sigmas: float = 6.0
+    #: Samples (bins of one permutation) and bits of an odd sketch.
+    bins: int = 1024
+    sketch_bits: int = 2048
+    sigmas: float = 5.5
     seed: int = 20240229
     #: Members of a bucket that meet in memory at once (pairs of blocks beyond).
     block: int = 2048
@@ -53,14 +56,29 @@ class NearDupParams:
     def bands(self) -> int:
         return math.ceil(math.log(self.miss) / math.log1p(-((self.percent / 100) ** self.rows)))
 
-    @property
-    def most_bits(self) -> int:
-        """The largest XOR count that a linked pair has, but for ``sigmas`` deviations."""
-        n, k, t = self.sketch_bits, self.rows * self.bands, self.percent / 100
-        expected = lambda differing: n * (1 - (1 - 2 / n) ** (2 * differing)) / 2
-        mean = expected(k * (1 - t))
-        from_samples = expected(k * (1 - t) + math.sqrt(k * t * (1 - t))) - mean
-        return math.ceil(mean + self.sigmas * math.sqrt(from_samples**2 + mean))
+
+class _NumPy:
+    """The functions that :func:`most_bits` needs, for arrays; for columns it is pyspark's module."""
+
+    exp, sqrt = staticmethod(np.exp), staticmethod(np.sqrt)
+
+
+def most_bits(bins_a, bins_b, n_a, n_b, p: NearDupParams, f=_NumPy):
+    """XOR count that a linked pair exceeds only beyond ``sigmas`` deviations.
+
+    At the threshold t, sets of n_a and n_b elements have (n_a + n_b) / (1 + t)
+    elements together; these fill u bins, of which a share t agrees. The rest of
+    the samples differ, and each turns a random bit.
+    """
+    k, n, t = p.bins, p.sketch_bits, p.percent / 100
+    union = (n_a + n_b) / (1 + t)
+    u = k * (1 - f.exp(union * math.log1p(-1 / k)))
+    differ = bins_a + bins_b - 2 * t * u
+    differ = (differ + abs(differ)) / 2 if f is _NumPy else f.greatest(differ, f.lit(0.0))
+    sampled = (4 * t * (1 - t) + 0.4) * u * (1 - u / (union + 1))
+    fade = f.exp(differ * (-2 / n))
+    spread = sampled * fade * fade + n / 4 * (1 - fade * fade) - differ * fade * fade
+    return n / 2 * (1 - fade) + p.sigmas * f.sqrt(spread + 1)
 
 
 def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +102,18 @@ def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _records(column: pa.Array, p: NearDupParams) -> list[pa.Array]:
     found, begin = _shingles(column, p.shingle)
-    rows = len(column)
-    counts, digests = np.zeros(rows, np.int64), [None] * rows
+    rows, k = len(column), p.rows * p.bands
+    counts, digests, bins, sketches = np.zeros(rows, np.int64), [None] * rows, np.zeros(rows, np.int64), [None] * rows
     for i in range(rows):
         if begin[i] < begin[i + 1]:
             own = np.unique(found[begin[i] : begin[i + 1]])
             counts[i] = len(own)
             digests[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+            least = own[np.unique(own & U64(p.bins - 1), return_index=True)[1]]  # of each bin, as ``own`` is sorted
+            bins[i] = len(least)
+            parity = np.bincount((mix(least) % U64(p.sketch_bits)).astype(np.int64), minlength=p.sketch_bits) & 1
+            sketches[i] = np.packbits(parity.astype(bool), bitorder="little").view("<i8")
     full = np.flatnonzero(counts)
-    k = p.rows * p.bands
-    words, cells = p.sketch_bits // 64, np.zeros(len(full) * p.sketch_bits, bool)
     keys = np.zeros((len(full), p.bands), U64)
     rng = np.random.default_rng(p.seed)
     factors = rng.integers(0, 1 << 63, k, dtype=np.uint64) * U64(2) + U64(1)
@@ -105,26 +125,23 @@ def _records(column: pa.Array, p: NearDupParams) -> list[pa.Array]:
             buffer += shifts[i]
             least = mix(np.minimum.reduceat(buffer, at) + U64(i))
             keys[:, i // p.rows] = mix(keys[:, i // p.rows] * factors[0] + least)
-            cell = np.arange(len(full)) * p.sketch_bits + (least % U64(p.sketch_bits)).astype(np.int64)
-            cells[cell] ^= True
-    sketch = np.packbits(cells.reshape(len(full), p.sketch_bits), axis=1, bitorder="little").view("<u8") if len(full) else np.zeros((0, words), U64)
-    place = np.full(rows, -1)
-    place[full] = np.arange(len(full))
-    lists = lambda x: [x[j].astype(np.int64) if j >= 0 else None for j in place]
-    return [pa.array(counts), pa.array(digests, pa.binary()), pa.array(lists(keys), _LONG), pa.array(lists(sketch), _LONG)]
+    bands = [None] * rows
+    for j, i in enumerate(full):
+        bands[i] = keys[j].astype(np.int64)
+    return [pa.array(counts), pa.array(digests, pa.binary()), pa.array(bands, _LONG), pa.array(bins), pa.array(sketches, _LONG)]
 
 
 def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch) of each row; no words, no bands."""
+    """(doc_id, n_shingles, digest, bands, bins, sketch) of each row; no words, no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 cols = [batch.column("doc_id").slice(a, b - a), *_records(batch.column("text").slice(a, b - a), p)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "bands", "bins", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+        run, "doc_id long, n_shingles long, digest binary, bands array<long>, bins long, sketch array<long>"
     )
 
 
@@ -142,19 +159,19 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary")
 
 
-def _bits(p: NearDupParams):
-    return sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(p.sketch_bits // 64)), F.lit(0))
-
-
 def _possible(p: NearDupParams):
-    """By sketch, and by size: intersection / union is at most smaller / larger."""
+    """By size (intersection / union is at most smaller / larger), and by sketch."""
     sizes = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
-    return sizes & (_bits(p) <= p.most_bits)
+    differing = F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])
+    bits = F.bit_count(differing)
+    for i in range(1, p.sketch_bits // 64):
+        bits = bits + F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i]))
+    return sizes & (bits <= most_bits(F.col("bins_a"), F.col("bins_b"), F.col("n_a"), F.col("n_b"), p, F))
 
 
 def _star_pairs(rows: DataFrame, heads: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
     pairs = rows.join(heads, "key").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     return cut(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").where(_possible(p)).select("a", "b")
 
 
@@ -175,11 +192,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame
 
 
 def _cross_pairs(rows: DataFrame, p: NearDupParams) -> DataFrame:
-    """Possible pairs across components of a bucket, block by block.
+    """Possible pairs across components of a bucket, block by block, each pair once.
 
-    ``rows``: key, size, doc_id, component, n_shingles, sketch. A bucket of more than
-    ``block`` members is dealt into blocks, and each pair of blocks is a group
-    of its own, so that no task holds more than two blocks of a bucket.
+    ``rows``: key, size, doc_id, component, n_shingles, bins, bands, sketch. A
+    bucket of more than ``block`` members is dealt into blocks, and each pair of
+    blocks is a group of its own, so that no task holds more than two blocks of a
+    bucket. A pair comes from the first band that its members share.
     """
     n = F.ceil(F.col("size") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), n).cast("int")
@@ -187,22 +205,25 @@ def _cross_pairs(rows: DataFrame, p: NearDupParams) -> DataFrame:
     dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, size = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        mine, low, high = (group.column(c).to_numpy() for c in ("mine", "low", "high"))
-        flat = np.stack(group.column("sketch").to_numpy()).astype(np.int64).view(U64)
+        ids, comp, size, bins, mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "bins", "mine"))
+        flat = np.stack(group.column("sketch").to_numpy()).view(U64)
+        bands = np.stack(group.column("bands").to_numpy())
+        band = int(np.flatnonzero(bands[0] == group.column("key")[0].as_py())[0])
+        two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
         a, b = [], []
         for i in range(len(ids)):
-            bits = np.bitwise_count(flat ^ flat[i]).sum(axis=1)
-            ok = (bits <= p.most_bits) & (comp != comp[i]) & (ids < ids[i])
-            ok &= 100 * np.minimum(size, size[i]) >= p.percent * np.maximum(size, size[i])
-            if low[0] != high[0]:
+            ok = (comp != comp[i]) & (ids < ids[i]) & (100 * np.minimum(size, size[i]) >= p.percent * np.maximum(size, size[i]))
+            if two:
                 ok &= mine != mine[i]
             at = np.flatnonzero(ok)
+            bits = np.bitwise_count(flat[at] ^ flat[i]).sum(axis=1)
+            at = at[bits <= most_bits(bins[at], bins[i], size[at], size[i], p)]
+            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
             a.append(np.full(len(at), ids[i]))
             b.append(ids[at])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -217,9 +238,10 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     sig = cut(signatures(docs, p), "signatures")
     named = sig.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     equal = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    nodes = sig.join(cut(equal, "equal"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands", "sketch")
+    nodes = sig.join(cut(equal, "equal"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands", "bins", "sketch")
     first = F.col("rep") == F.col("doc_id")
-    nodes = cut(nodes.select("doc_id", "n_shingles", "rep", F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")), "nodes")
+    nodes = cut(nodes.select("doc_id", "n_shingles", "rep", F.when(first, F.col("bands")).alias("bands"), "bins", F.when(first, F.col("sketch")).alias("sketch")), "nodes")
+    discard(sig)
     own = nodes.where("bands is not null")
     rows = own.select("doc_id", F.explode("bands").alias("key"))
     heads = cut(rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("head < last").select("key", "head", "size"), "heads")
@@ -233,7 +255,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     members = rows.join(heads.select("key", "size"), "key").join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left")
     members = cut(members.select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = members.join(cut(mixed, "mixed"), "key").join(own.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    left = members.join(cut(mixed, "mixed"), "key").join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
     across = cut(_cross_pairs(left, p).join(stars, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
         ids = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
