@@ -1,8 +1,60 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing.
 
-STAGES = []
+Each stage works on all rows that the one before kept. All but the last
+return the columns of ``documents``; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rangeflow.llm import decontaminate, neardup, packing, quality, secrets
+from rangeflow.llm.queries import table, tokenizer_files
+from rangeflow.llm.shared import cut, mark, release
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    return neardup.keep_first(docs, neardup.NearDupParams(shingle=5, percent=80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of any benchmark item go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), least_items=1)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of binary length."""
+    return packing.pack(docs, **tokenizer_files())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: SQL has neither zstandard nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        start = mark()
+        docs = cut(stage(spark, docs, sf_dir), name)
+        release(start, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)

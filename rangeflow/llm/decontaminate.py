@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import disguised
 from .wordhash import Words, buffers, slices
 
 #: Bytes to bytes: A-Z in lower case, separators (ASCII but 0-9 and a-z) to a space.
@@ -183,5 +184,5 @@ class _Lazy:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    judged = decontaminate(docs, benchmark, carry=tuple(c for c in docs.columns if c != "doc_id"), **options)
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    rows, carry, back = disguised(docs)
+    return decontaminate(rows, benchmark, carry=carry, **options).where(~F.col("contaminated")).select(*back)

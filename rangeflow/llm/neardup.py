@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, discard
+from .shared import cut, mark, release
 from .wordhash import U64, Words, buffers, mix, slices, windows
 
 _LONG = pa.list_(pa.int64())
@@ -235,13 +235,15 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     the links of all of them, and each is returned. Rows with a null doc_id are not
     compared and are kept with a null component. An empty table gives no rows.
     """
+    start = mark()
     sig = cut(signatures(docs, p), "signatures")
+    written = mark()
     named = sig.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     equal = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
     nodes = sig.join(cut(equal, "equal"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands", "bins", "sketch")
     first = F.col("rep") == F.col("doc_id")
     nodes = cut(nodes.select("doc_id", "n_shingles", "rep", F.when(first, F.col("bands")).alias("bands"), "bins", F.when(first, F.col("sketch")).alias("sketch")), "nodes")
-    discard(sig)
+    release(written - 1, keep=mark() - written)  # the signatures are in the nodes now
     own = nodes.where("bands is not null")
     rows = own.select("doc_id", F.explode("bands").alias("key"))
     heads = cut(rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("head < last").select("key", "head", "size"), "heads")
@@ -275,11 +277,12 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
         out = nodes.join(label, "doc_id", "left")
     else:
         out = nodes.join(label, "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = cut(out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "classes")
+    release(start, keep=1)
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with their own columns."""
     kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"])).select(*docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"])).select(*[docs[c] for c in docs.columns])

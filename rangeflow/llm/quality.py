@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .shared import disguised
 from .wordhash import SPACE, U64, Words, buffers, covered, mix, slices, windows
 
 #: Bytes from which a band holds, lowest ratio, highest ratio.
@@ -170,3 +171,9 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carry:
 
     wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
     return docs.select(*wanted).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns."""
+    rows, carry, back = disguised(docs)
+    return quality_rules(rows, rules, carry).where("kept").select(*back)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, quality, secrets, sharding, substring, urls
+from . import decontaminate, language, neardup, packing, quality, secrets, sharding, substring, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("hit_spans")
@@ -44,10 +49,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("text")
 
 
+def page_document() -> Column:
+    """The document a page shows: the last number in its url's path."""
+    return F.expr(r"try_cast(regexp_extract(url, r'^[^?#]*?([0-9]+)[^0-9?#]*($|[?#])', 1) as bigint)")
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, bad): the label of the document whose number a page's path has last."""
-    number = F.expr(r"try_cast(regexp_extract(url, '^[^?#]*?([0-9]+)[^0-9?#]*($|[?#])', 1) as bigint)")
-    pages = table(spark, sf_dir, "pages").select("page_id", number.alias("doc_id"))
+    """(page_id, bad): the label of the document that a page shows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", page_document().alias("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return pages.join(labels, "doc_id").select("page_id", "bad")
 
@@ -57,6 +66,13 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages, logs = language.fit(docs.select("doc_id", "text", "lang"), language.LanguageParams())
+    evidence = language.page_evidence(table(spark, sf_dir, "pages"), page_document())
+    return language.identify(docs, evidence, languages, logs)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = neardup.NearDupParams(shingle=3, percent=85)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), rules)
@@ -70,9 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }

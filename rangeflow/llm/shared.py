@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder (tests, a laptop).
 LOCAL_FALLBACK = "/tmp/checkpoints/rangeflow"
@@ -41,27 +42,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that :func:`cut` wrote and that nothing needs any more."""
-    for file in df.inputFiles()[:1]:
-        _remove(df.sparkSession, file.rsplit("/", 1)[0])
+def mark() -> int:
+    """A point in this driver's list of shared tables, for :func:`release`."""
+    return len(_written)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def release(since: int = 0, keep: int = 0) -> None:
+    """Remove the shared tables written since a mark, but for the last ``keep``.
 
-
-def release() -> None:
-    """Remove what this driver has written to the shared folder (best effort)."""
-    while _written:
-        spark, path = _written.pop()
+    Called when what they led to has been written itself, and for all of them when
+    the driver ends (best effort then: the session may have ended before).
+    """
+    stop = len(_written) - keep
+    gone, _written[since:stop] = _written[since:stop], []
+    for spark, path in gone:
         try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended before the driver's exit hooks run
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001
+            if since:
+                raise
             return
 
 
+def disguised(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
+    """``docs`` with names of its other columns that no operator uses.
+
+    Returns the frame (doc_id, text and the others), the names to carry, and
+    columns that restore the original names and order.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"_carried_{i}" for i, c in enumerate(others)}
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return docs.select("doc_id", "text", *[docs[c].alias(n) for c, n in names.items()]), ("text", *names.values()), back
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """How many pieces the session deals a shuffle into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
