@@ -6,9 +6,10 @@
    which a bit is the parity of the samples that fall on it; the population
    count of two sketches' XOR says how many samples differ.
 2. Equal sets collapse to their smallest document.
-3. In each band bucket all members are paired with its smallest member only.
-   Pairs that the sketches place far below the threshold are dropped; the rest
-   are confirmed on full shingle sets.
+3. Of each band bucket only pairs with its smallest member, the head, count:
+   first each document with the smallest of its heads, then with heads that
+   are not in its component yet. Pairs that the sketches place far below the
+   threshold are dropped; the rest are confirmed on full shingle sets.
 4. Where a bucket still has members of different components, pairs across
    components are filtered by sketch, in bounded blocks, and confirmed too.
 5. Components of the confirmed links give the classes.
@@ -169,12 +170,41 @@ def _possible(p: NearDupParams):
     return sizes & (bits <= most_bits(F.col("bins_a"), F.col("bins_b"), F.col("n_a"), F.col("n_b"), p, F))
 
 
-def _star_pairs(rows: DataFrame, heads: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    pairs = rows.join(heads, "key").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+def _filtered(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     return cut(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").where(_possible(p)).select("a", "b")
 
 
+class _Graph:
+    """Confirmed links and the components they make, growing pass by pass."""
+
+    def __init__(self, docs: DataFrame, p: NearDupParams):
+        self.docs, self.p = docs, p
+        spark = docs.sparkSession
+        self.links = self.tested = spark.createDataFrame([], "a long, b long")
+        self.sets = spark.createDataFrame([], "doc_id long, own binary")
+        self.found = spark.createDataFrame([], "v long, component long")
+
+    def confirm(self, pairs: DataFrame, name: str) -> None:
+        pairs = cut(pairs, name)
+        if not pairs.limit(1).count():
+            return
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        more = cut(ids.join(self.sets, "doc_id", "left_anti"), f"{name}-ids")
+        self.sets = self.sets.union(cut(shingle_sets(self.docs, more, self.p.shingle), f"{name}-sets"))
+        new = cut(_confirmed(pairs, self.sets, self.p), f"{name}-links")
+        self.tested = self.tested.union(pairs)
+        if new.limit(1).count():
+            self.links = self.links.union(new)
+            self.found = components(self.links)
+
+    def label(self, rows: DataFrame, of: str, name: str) -> DataFrame:
+        """``rows`` with the component of column ``of`` as ``name``."""
+        found = self.found.select(F.col("v").alias(of), F.col("component").alias("_component"))
+        return rows.join(found, of, "left").withColumn(name, F.coalesce("_component", of)).drop("_component")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,36 +277,26 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     own = nodes.where("bands is not null")
     rows = own.select("doc_id", F.explode("bands").alias("key"))
     heads = cut(rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("head < last").select("key", "head", "size"), "heads")
-    stars = cut(_star_pairs(rows, heads.select("key", "head"), own, p), "stars")
-    ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = cut(shingle_sets(docs, cut(ids, "ids"), p.shingle), "sets")
-    links = cut(_confirmed(stars, sets, p), "links")
     twins = nodes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links)
+    graph = _Graph(docs, p)
+
+    # each document with the smallest head of its buckets, then with heads of other components
+    stars = cut(rows.join(heads.select("key", "head"), "key").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "all-stars")
+    graph.confirm(_filtered(stars.groupBy("a").agg(F.min("b").alias("b")), own, p), "smallest")
+    apart = graph.label(graph.label(stars, "a", "x"), "b", "y").where("x <> y").select("a", "b")
+    graph.confirm(_filtered(apart.join(graph.tested, ["a", "b"], "left_anti"), own, p), "stars")
 
-    members = rows.join(heads.select("key", "size"), "key").join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-    members = cut(members.select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    members = graph.label(rows.join(heads.select("key", "size"), "key"), "doc_id", "component")
+    members = cut(members.select("key", "size", "doc_id", "component"), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     left = members.join(cut(mixed, "mixed"), "key").join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
-    across = cut(_cross_pairs(left, p).join(stars, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        ids = across.select(F.col("a").alias("doc_id")).union(across.select("b")).distinct()
-        more = cut(ids.join(sets, "doc_id", "left_anti"), "more")
-        sets = sets.union(cut(shingle_sets(docs, more, p.shingle), "more-sets"))
-        late = cut(_confirmed(across, sets, p), "late")
-        if late.limit(1).count():
-            found = components(links.union(late))
-
-    label = found.select(F.col("v").alias("rep"), "component")
+    graph.confirm(_cross_pairs(left, p).join(graph.tested, ["a", "b"], "left_anti"), "across")
+
     same = nodes.groupBy("doc_id").agg(F.min("rep").alias("lowest"), F.max("rep").alias("highest")).where("lowest < highest")
     if same.limit(1).count():  # rows that share a doc_id but not a set: the whole graph anew
-        found = components(links.union(twins))
-        if across.limit(1).count():
-            found = components(links.union(late).union(twins))
-        label = found.select(F.col("v").alias("doc_id"), "component")
-        out = nodes.join(label, "doc_id", "left")
+        out = nodes.join(components(graph.links.union(twins)).withColumnRenamed("v", "doc_id"), "doc_id", "left")
     else:
-        out = nodes.join(label, "rep", "left")
+        out = nodes.join(graph.found.withColumnRenamed("v", "rep"), "rep", "left")
     out = cut(out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "classes")
     release(start, keep=1)
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
