@@ -538,14 +538,14 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_EPOCHS} SELECT epoch, active_n, remaining, round(throughput, 6) AS throughput, round(epoch_throughput, 6) AS epoch_throughput,
-round(max_throughput, 6) AS max_throughput, round(min_throughput, 6) AS min_throughput, round(max_rem_time, 6) AS max_rem_time,
-round(sum_rem_time, 6) AS sum_rem_time, epoch_elapsed,
-round(CASE WHEN active_n > 0 AND sum_rem_time > 1e-9 THEN max_rem_time / (sum_rem_time / active_n) ELSE 0 END, 6) AS imbalance FROM m""")
+WITH {_EPOCHS} SELECT epoch, active_n, remaining, round(throughput, 9) AS throughput, round(epoch_throughput, 9) AS epoch_throughput,
+round(max_throughput, 9) AS max_throughput, round(min_throughput, 9) AS min_throughput, round(max_rem_time, 9) AS max_rem_time,
+round(sum_rem_time, 9) AS sum_rem_time, epoch_elapsed,
+round(CASE WHEN active_n > 0 AND sum_rem_time > 1e-9 THEN max_rem_time / (sum_rem_time / active_n) ELSE 0 END, 9) AS imbalance FROM m""")
 def epoch_metrics(spark, sf_dir):
     exact = {"epoch", "active_n", "remaining", "epoch_elapsed"}
     found = metrics(spark, sf_dir)
-    return found.select(*[F.col(c) if c in exact else F.round(c, 6).alias(c) for c in found.columns])
+    return found.select(*[F.col(c) if c in exact else F.round(c, 9).alias(c) for c in found.columns])
 
 
 @query(f"""
