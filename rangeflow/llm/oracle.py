@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .secrets import RULES as SECRET_RULES
+from .urls import RULES, TreeParams
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 _PLAIN_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,8 +67,81 @@ FROM s JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON s.doc_
 """
 
 
+def archived_pages(least_bytes: int = 0) -> str:
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT page_id, payload_bytes, hex, list_transform(range(0, 4), lambda k: CAST('0x' || hex[k * 10 + 1:k * 10 + 10] AS BIGINT)) AS parts,
+             CASE WHEN payload_bytes >= {least_bytes} THEN max(page_id) OVER (PARTITION BY hex) ELSE page_id END AS original FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((parts[g // 8 + 1] >> CAST(35 - 5 * (g % 8) AS INTEGER)) & 31)]), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM q
+"""
+
+
+def url_verdicts(rules: tuple = RULES, p: TreeParams = TreeParams()) -> str:
+    fits = [(len(r.text), f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in rules]
+    fits.sort(key=lambda x: -x[0])
+    case = lambda what: "CASE " + " ".join(f"WHEN {c} THEN '{what(r)}'" for _, c, r in fits) + " END"
+    levels, last = [], "s0"
+    for d in range(p.depth + 1):
+        parent = "CASE WHEN seg = '' THEN parent ELSE prefix END" if d else "prefix"
+        levels.append(f"""
+g{d} AS (SELECT *, coalesce(shape[{d + 1}], '') AS seg FROM {last}),
+c{d} AS (SELECT host, prefix, seg, sum(n) AS pages FROM g{d} GROUP BY ALL),
+l{d} AS (SELECT host, prefix, seg, pages >= {p.least_pages} AND 100 * pages >= {p.least_percent} * sum(pages) OVER (PARTITION BY host, prefix) AS own FROM c{d}),
+s{d + 1} AS (SELECT host, shape, n, labels, bad, {parent} AS parent, prefix || CASE WHEN seg = '' THEN '' WHEN own THEN '/' || seg ELSE '/*' END AS prefix
+        FROM g{d} JOIN l{d} USING (host, prefix, seg)),""")
+        last = f"s{d + 1}"
+    return f"""
+WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+doc AS (SELECT page_id, try_cast(regexp_extract(url, '^[^?#]*?([0-9]+)[^0-9?#]*($|[?#])', 1) AS BIGINT) AS doc_id FROM pages),
+marks AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM doc JOIN labels USING (doc_id) GROUP BY 1),
+f AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS segs FROM u),
+r AS (SELECT *, CASE WHEN len(segs) > {p.depth} THEN list_append(segs[1:{p.depth}], '**') ELSE segs END AS shape FROM f),
+s0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS bad, '' AS parent, '' AS prefix
+       FROM r LEFT JOIN marks USING (page_id) GROUP BY host, shape),{"".join(levels)}
+lf AS (SELECT host, parent, prefix, sum(labels)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM {last} GROUP BY ALL),
+am AS (SELECT *, sum(n) OVER w - n AS m, sum(b) OVER w - b AS c FROM lf WINDOW w AS (PARTITION BY host, parent)),
+tm AS (SELECT *, CASE WHEN n > 0 AND m > 0 AND (b / n - c / m) * (b / n - c / m) > {p.apart}::DOUBLE * {p.apart}::DOUBLE * ((b + c) / (n + m)) * (1 - (b + c) / (n + m)) * (1 / n + 1 / m)
+              THEN prefix ELSE parent || '/~' END AS template FROM am),
+o AS (SELECT sum(b) / greatest(sum(n), 1) AS overall FROM tm),
+h AS (SELECT host, (sum(b) + {p.weight}::DOUBLE * any_value(overall)) / (sum(n) + {p.weight}::DOUBLE) AS host_share FROM tm, o GROUP BY host),
+pu AS (SELECT host, template, (sum(b) + {p.weight}::DOUBLE * any_value(host_share)) / (sum(n) + {p.weight}::DOUBLE) AS bad_share FROM tm JOIN h USING (host) GROUP BY host, template),
+v AS (SELECT t.host, t.shape, bad_share FROM {last} t JOIN tm USING (host, parent, prefix) JOIN pu USING (host, template))
+SELECT page_id, host, path, {case(lambda x: x.text)} AS rule,
+       coalesce({case(lambda x: x.verdict)}, CASE WHEN bad_share >= {p.reject} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN v USING (host, shape)
+"""
+
+
+def secret_spans(rules: tuple = SECRET_RULES, base: int = 3) -> str:
+    found = []
+    for i, rule in enumerate(rules):
+        pattern = rule.pattern.replace("'", "''")
+        found.append(f"""
+SELECT doc_id, {i} AS kind, '{rule.kind}' AS name, unnest(range(1, len(m) + 1)) AS nth, unnest(list_transform(m, lambda x: len(x))) AS own,
+       unnest(list_transform(p[1:len(m)], lambda x: len(x))) AS gap, unnest(list_transform(v, lambda x: len(x) >= {rule.least})) AS counts
+FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v, string_split_regex(t, '{pattern}') AS p FROM d)""")
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = {i}), 0) AS n_{rules[i].kind}" for i in range(base))
+    names = ", ".join(f"coalesce(n_{rules[i].kind}, 0) AS n_{rules[i].kind}" for i in range(base))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(found)}),
+w AS (SELECT *, CAST(sum(gap + own) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS BIGINT) AS stop FROM a),
+s AS (SELECT doc_id, kind, stop - own AS start, name || ':' || (stop - own) || ':' || stop AS shown FROM w WHERE counts),
+g AS (SELECT doc_id, {counts}, string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < {base}) AS base, string_agg(shown, ',' ORDER BY start, kind) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": repeated_passages(),
+    "op2_secret_scan": secret_spans(),
+    "op4_warc": archived_pages(),
     "op5_decontamination": contamination(),
+    "op7_url_filters": url_verdicts(),
     "op9_near_duplicates": near_duplicates(),
 }
