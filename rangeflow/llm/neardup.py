@@ -229,6 +229,7 @@ def _cross_pairs(rows: DataFrame, p: NearDupParams) -> DataFrame:
     blocks is a group of its own, so that no task holds more than two blocks of a
     bucket. A pair comes from the first band that its members share.
     """
+    rows = rows.where(F.array_contains("bands", F.col("key")))  # a doc_id of several texts has several band lists
     n = F.ceil(F.col("size") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))

@@ -47,7 +47,7 @@ class SubstringParams:
     blocks_per_partition: int = 8
     #: Shuffle partitions for each bucket of names. Every block sends a row to
     #: every bucket, so buckets are as few as their memory allows.
-    partitions_per_bucket: int = 4
+    partitions_per_bucket: int = 3
 
     @property
     def anchor(self) -> int:
