@@ -8,29 +8,40 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(v, component): pointers to smaller vertices followed to their ends, doubling each time."""
+    while True:
+        above = parents.select(F.col("v").alias("component"), F.col("component").alias("further"))
+        jumped = parents.join(above, "component", "left").select("v", F.coalesce("further", "component").alias("component"), (F.col("further") < F.col("component")).alias("moved"))
+        jumped = cut(jumped, "parents")
+        parents = jumped.select("v", "component")
+        if not jumped.where("moved").limit(1).count():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, component): for each vertex of an edge, the smallest vertex it reaches.
 
-    ``edges`` has longs ``a`` and ``b``. Each round takes the smallest label of
-    the neighbours (pre-aggregated on the map side), then jumps from labels to
-    their own labels, so that chains halve; each round is written to the shared
-    folder. Nothing but the number of changed labels comes to the driver.
+    ``edges`` has longs ``a`` and ``b``. Each round points every vertex to its
+    smallest neighbour (pre-aggregated on the map side), follows the pointers
+    to their roots, and contracts the edges to roots: what is inside a tree is
+    gone in the next round. Each round is written to the shared folder; only
+    whether anything is left comes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both, "links")
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = labels.select(F.col("v").alias("b"), F.col("component").alias("theirs"))
-        least = both.join(near, "b").groupBy(F.col("a").alias("v")).agg(F.min("theirs").alias("theirs"))
-        step = cut(
-            labels.join(least, "v", "left").select("v", F.col("component").alias("old"), F.least("component", "theirs").alias("component")),
-            "step",
-        )
-        jump = step.select(F.col("v").alias("component"), F.col("component").alias("further"))
-        jumped = cut(
-            step.join(jump, "component", "left").select("v", "old", F.least("component", F.coalesce("further", "component")).alias("component")),
-            "jumped",
-        )
-        labels = jumped.select("v", "component")
-        if not jumped.where(F.col("old") != F.col("component")).limit(1).count():
-            return labels
+    labels = None
+    left = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while labels is None or left.limit(1).count():
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("component")).union(left.select("b", "a"))
+        roots = _roots(cut(both.groupBy("v").agg(F.least("v", F.min("component")).alias("component")), "parents"))
+        ends = [roots.select(F.col("v").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")]
+        across = left.join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b")
+        left = cut(across.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct(), "edges")
+        labels = roots if labels is None else composed(labels, roots)
+    return labels
+
+
+def composed(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """``labels`` with their components' own components, where ``roots`` has them."""
+    above = roots.select(F.col("v").alias("component"), F.col("component").alias("further"))
+    out = labels.join(above, "component", "left").select("v", F.coalesce("further", "component").alias("component"))
+    return cut(out, "labels")

@@ -10,8 +10,9 @@
    first each document with the smallest of its heads, then with heads that
    are not in its component yet. Pairs that the sketches place far below the
    threshold are dropped; the rest are confirmed on full shingle sets.
-4. Where a bucket still has members of different components, pairs across
-   components are filtered by sketch, in bounded blocks, and confirmed too.
+4. Where a bucket still has members of different components, bounded blocks of
+   members meet in memory: pairs across components that sketches don't rule
+   out are confirmed there, and only links leave the task.
 5. Components of the confirmed links give the classes.
 
 Links are lost only by chance: a pair at the threshold shares no band with
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, composed
 from .shared import cut, mark, release
 from .wordhash import U64, Words, buffers, mix, slices, windows
 
@@ -51,7 +52,7 @@ class NearDupParams:
     sigmas: float = 5.5
     seed: int = 20240229
     #: Members of a bucket that meet in memory at once (pairs of blocks beyond).
-    block: int = 2048
+    block: int = 1024
 
     @property
     def bands(self) -> int:
@@ -186,18 +187,29 @@ class _Graph:
         self.sets = spark.createDataFrame([], "doc_id long, own binary")
         self.found = spark.createDataFrame([], "v long, component long")
 
+    def fetch(self, ids: DataFrame, name: str) -> None:
+        """Makes sure that ``sets`` has these documents."""
+        more = cut(ids.join(self.sets, "doc_id", "left_anti"), f"{name}-ids")
+        if more.limit(1).count():
+            self.sets = self.sets.union(cut(shingle_sets(self.docs, more, self.p.shingle), f"{name}-sets"))
+
     def confirm(self, pairs: DataFrame, name: str) -> None:
+        """Checks pairs on their full sets."""
         pairs = cut(pairs, name)
-        if not pairs.limit(1).count():
+        if pairs.limit(1).count():
+            self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), name)
+            self.tested = self.tested.union(pairs)
+            self.add(_confirmed(pairs, self.sets, self.p), name)
+
+    def add(self, links: DataFrame, name: str) -> None:
+        new = cut(links, f"{name}-links")
+        if not new.limit(1).count():
             return
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        more = cut(ids.join(self.sets, "doc_id", "left_anti"), f"{name}-ids")
-        self.sets = self.sets.union(cut(shingle_sets(self.docs, more, self.p.shingle), f"{name}-sets"))
-        new = cut(_confirmed(pairs, self.sets, self.p), f"{name}-links")
-        self.tested = self.tested.union(pairs)
-        if new.limit(1).count():
-            self.links = self.links.union(new)
-            self.found = components(self.links)
+        self.links = self.links.union(new)
+        # only what the new links join of the components so far
+        ends = self.label(self.label(new, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        fresh = new.select(F.col("a").alias("v")).union(new.select("b")).distinct().join(self.found.select("v"), "v", "left_anti")
+        self.found = composed(self.found.union(fresh.select("v", F.col("v").alias("component"))), components(ends))
 
     def label(self, rows: DataFrame, of: str, name: str) -> DataFrame:
         """``rows`` with the component of column ``of`` as ``name``."""
@@ -210,51 +222,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= p.percent * (len(both) - common))
+                keep.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), p))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(rows: DataFrame, p: NearDupParams) -> DataFrame:
-    """Possible pairs across components of a bucket, block by block, each pair once.
+def _dealt(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    """Members of buckets, in pairs of blocks (key, low, high) of bounded size.
 
-    ``rows``: key, size, doc_id, component, n_shingles, bins, bands, sketch. A
-    bucket of more than ``block`` members is dealt into blocks, and each pair of
-    blocks is a group of its own, so that no task holds more than two blocks of a
-    bucket. A pair comes from the first band that its members share.
+    A bucket of more than ``block`` members is dealt into blocks by id, and each
+    pair of blocks is a group of its own: no task holds more of a bucket.
     """
     rows = rows.where(F.array_contains("bands", F.col("key")))  # a doc_id of several texts has several band lists
     n = F.ceil(F.col("size") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    return dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+
+class _Members:
+    """A pair of blocks of one bucket in memory."""
+
+    def __init__(self, group: pa.Table, p: NearDupParams):
+        self.p = p
+        self.ids, self.comp, self.size, self.bins, self.mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "bins", "mine"))
+        self.comp = self.comp.copy()  # links found here join components here
+        self.flat = np.stack(group.column("sketch").to_numpy()).view(U64)
+        self.bands = np.stack(group.column("bands").to_numpy())
+        self.band = int(np.flatnonzero(self.bands[0] == group.column("key")[0].as_py())[0])
+        self.two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members before i in other components that sizes and sketches don't rule out, if this is their first common band."""
+        p, size = self.p, self.size
+        ok = (self.comp[:i] != self.comp[i]) & (100 * np.minimum(size[:i], size[i]) >= p.percent * np.maximum(size[:i], size[i]))
+        if self.two:
+            ok &= self.mine[:i] != self.mine[i]
+        at = np.flatnonzero(ok)
+        bits = np.bitwise_count(self.flat[at] ^ self.flat[i]).sum(axis=1)
+        at = at[bits <= most_bits(self.bins[at], self.bins[i], size[at], size[i], p)]
+        return at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+
+
+def _in_play(dealt: DataFrame, p: NearDupParams) -> DataFrame:
+    """(key, low, high, doc_id) of members that have a possible partner in another component."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, size, bins, mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "bins", "mine"))
-        flat = np.stack(group.column("sketch").to_numpy()).view(U64)
-        bands = np.stack(group.column("bands").to_numpy())
-        band = int(np.flatnonzero(bands[0] == group.column("key")[0].as_py())[0])
-        two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        found = _Members(group, p)
+        use = np.zeros(group.num_rows, bool)
+        for i in range(group.num_rows):
+            at = found.partners(i)
+            use[at] = True
+            use[i] |= len(at) > 0
+        return group.select(["key", "low", "high", "doc_id"]).filter(pa.array(use))
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "key long, low int, high int, doc_id long")
+
+
+def _across(dealt: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links across components of a bucket, confirmed on the sets (``own``) that the members bring.
+
+    Pairs never leave the task; once a link has joined two components, they need no other.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        found = _Members(group, p)
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("own")]
         a, b = [], []
-        for i in range(len(ids)):
-            ok = (comp != comp[i]) & (ids < ids[i]) & (100 * np.minimum(size, size[i]) >= p.percent * np.maximum(size, size[i]))
-            if two:
-                ok &= mine != mine[i]
-            at = np.flatnonzero(ok)
-            bits = np.bitwise_count(flat[at] ^ flat[i]).sum(axis=1)
-            at = at[bits <= most_bits(bins[at], bins[i], size[at], size[i], p)]
-            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
-            a.append(np.full(len(at), ids[i]))
-            b.append(ids[at])
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+        for i in range(group.num_rows):
+            at = found.partners(i)
+            while len(at):
+                if _linked(sets[i], sets[at[0]], p):
+                    a.append(found.ids[i])
+                    b.append(found.ids[at[0]])
+                    found.comp[found.comp == found.comp[at[0]]] = found.comp[i]
+                    at = at[found.comp[at] != found.comp[i]]
+                else:
+                    at = at[1:]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+def _linked(x: np.ndarray, y: np.ndarray, p: NearDupParams) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= p.percent * (len(both) - common)
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -291,7 +347,11 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     members = cut(members.select("key", "size", "doc_id", "component"), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     left = members.join(cut(mixed, "mixed"), "key").join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
-    graph.confirm(_cross_pairs(left, p).join(graph.tested, ["a", "b"], "left_anti"), "across")
+    play = cut(_in_play(_dealt(left, p), p), "play")
+    if play.limit(1).count():
+        graph.fetch(play.select("doc_id").distinct(), "across")
+        brought = _dealt(left, p).join(play, ["key", "low", "high", "doc_id"]).join(graph.sets, "doc_id")
+        graph.add(_across(brought, p), "across")
 
     same = nodes.groupBy("doc_id").agg(F.min("rep").alias("lowest"), F.max("rep").alias("highest")).where("lowest < highest")
     if same.limit(1).count():  # rows that share a doc_id but not a set: the whole graph anew
