@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import disguised
-from .wordhash import Words, buffers, slices
+from .wordhash import Words, buffers
 
 #: Bytes to bytes: A-Z in lower case, separators (ASCII but 0-9 and a-z) to a space.
 NORMAL = bytes(
@@ -29,8 +29,10 @@ NORMAL = bytes(
 #: Which bytes of a raw text separate words.
 SEPARATES = np.array([NORMAL[b] == 0x20 for b in range(256)])
 
-#: Bytes of benchmark text that one automaton takes; more text makes more blocks, scanned in turn.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text that one automaton takes. A window starts at every word, so the
+#: automaton has a state for each of some ten times as many characters, about 100 bytes each. More
+#: text makes more blocks, of which one is in memory at a time.
+BLOCK_BYTES = 256 << 10
 
 
 def item_windows(text: str | None, k: int) -> set[str]:
@@ -94,23 +96,25 @@ ADDED = (
 )
 
 
-def _hits(text: bytes, automata: list, spans: list | None, starts, ends, heads) -> tuple[int, int, list]:
-    n, runs, items = 0, [], set()
-    for automaton in automata:
-        n, found = scan(text, automaton)
-        for a, b, ids in found:
-            runs.append((a, b))
-            items.update(ids)
-    runs.sort()
-    merged: list[list[int]] = []
-    for a, b in runs:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words in order, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            merged.append([a, b])
-    for a, b in merged:
-        spans.append({"start": int(heads(starts[a])), "end": int(heads(ends[b - 1]))})
-    return n, sum(b - a for a, b in merged), sorted(str(x) for x in items if x is not None)
+            out.append((a, b))
+    return out
+
+
+def _spans(doc: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Runs of words as code points of the original text (worked out only where there are any)."""
+    if not runs:
+        return []
+    data = np.frombuffer(doc, np.uint8)
+    words = Words(data, np.array([0, len(data)]), SEPARATES)
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return [{"start": int(points[words.starts[a]]), "end": int(points[words.ends[b - 1]])} for a, b in runs]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -122,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_
     repeated items with one id count once; an empty benchmark hits nothing.
     Other columns are ignored, those named in ``carry`` returned unchanged.
     One pass over the documents, no shuffle; what is broadcast is the
-    benchmark alone, in blocks of at most ``block_bytes``.
+    benchmark alone, in blocks of at most ``block_bytes`` (or a single longer item).
     """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, block_bytes)]
@@ -131,55 +135,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [build(p.value, window) for p in parts]
+        only = build(parts[0].value, window) if len(parts) == 1 else None
         for batch in batches:
-            text = batch.column("text")
-            for a, b in slices(text):
-                data, offsets = buffers(text.slice(a, b - a))
-                raw = data.tobytes()
-                rows = []
-                for i in range(b - a):
-                    doc = raw[offsets[i] : offsets[i + 1]]
-                    spans: list = []
-                    lazy = _Positions(doc)
-                    n, hit, items = _hits(doc, automata, spans, lazy.starts, lazy.ends, lazy.heads)
-                    rows.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(items) >= least_items, spans))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span)
-                part = [batch.column(c).slice(a, b - a) for c in ("doc_id", *carry)]
-                yield pa.RecordBatch.from_arrays(
-                    part + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                    names=["doc_id", *carry, *added.names],
-                )
+            n = batch.num_rows
+            words, runs, items = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
+            for part in parts:
+                automaton = only or build(part.value, window)
+                for i, doc in _texts(batch):
+                    words[i], found = scan(doc, automaton)
+                    for first, last, ids in found:
+                        runs[i].append((first, last))
+                        items[i].update(ids)
+            runs = [_merged(x) for x in runs]
+            ids = [sorted(str(x) for x in own if x is not None) for own in items]
+            made = {
+                "n_words": words,
+                "n_hit": [sum(b - a for a, b in x) for x in runs],
+                "n_items": [len(x) for x in ids],
+                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
+                "contaminated": [len(x) >= least_items for x in ids],
+                "hit_spans": [_spans(doc, runs[i]) for i, doc in _texts(batch)],
+            }
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span)
+            cols = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(made[c], k) for c, k in zip(added.names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *carry, *added.names])
 
     wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
-class _Positions:
-    """Word places in the original text, worked out only for texts with a match."""
-
-    def __init__(self, doc: bytes):
-        self.doc, self.words, self.points = doc, None, None
-        self.starts, self.ends = _Lazy(self, "starts"), _Lazy(self, "ends")
-
-    def load(self):
-        if self.words is None:
-            data = np.frombuffer(self.doc, np.uint8)
-            self.words = Words(data, np.array([0, len(data)]), SEPARATES)
-            self.points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        return self.words
-
-    def heads(self, byte: int) -> int:
-        return self.points[byte]
-
-
-class _Lazy:
-    def __init__(self, of: _Positions, name: str):
-        self.of, self.name = of, name
-
-    def __getitem__(self, i: int) -> int:
-        return getattr(self.of.load(), self.name)[i]
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """Row numbers and UTF-8 texts of a batch."""
+    data, offsets = buffers(batch.column("text"))
+    for i in range(batch.num_rows):
+        yield i, data[offsets[i] : offsets[i + 1]].tobytes()
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
