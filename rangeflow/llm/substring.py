@@ -36,7 +36,11 @@ from .wordhash import U64, Words, buffers, covered, slices, windows
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 
 NO_ID = np.iinfo(np.int64).max
-_NAMES = "bucket int, block int, high binary, low binary, first binary"
+#: A block is told of its own windows, among which 80 bits of a name are enough.
+SHORT = U64(0xFFFF)
+#: ``first`` of an anchor says whether its block has it twice; of a window it numbers the
+#: block's ``ids``, which holds the first document of each name.
+_NAMES = "bucket int, block int, high binary, low binary, first binary, ids binary"
 
 
 @dataclass(frozen=True)
@@ -119,17 +123,36 @@ def _send(block: int, high: np.ndarray, low: np.ndarray | None, first: np.ndarra
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     groups = np.split(order, cuts) if len(order) else []
+    firsts, ids = [first[g].tobytes() for g in groups], [None] * len(groups)
+    if low is not None:
+        firsts, ids = zip(*[_numbered(first[g]) for g in groups], strict=True) if groups else ([], [])
     return pa.table(
         {
             "bucket": pa.array([bucket[g[0]] for g in groups], pa.int32()),
             "block": pa.array([block] * len(groups), pa.int32()),
             "high": pa.array([high[g].tobytes() for g in groups], pa.binary()),
             "low": pa.array([low[g].tobytes() if low is not None else None for g in groups], pa.binary()),
-            "first": pa.array([first[g].tobytes() for g in groups], pa.binary()),
+            "first": pa.array(firsts, pa.binary()),
+            "ids": pa.array(ids, pa.binary()),
         }
     )
 
 
+def _numbered(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Long values as short numbers of the distinct ones."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32).tobytes(), distinct.tobytes()
+
+
+def _firsts(table: pa.Table) -> np.ndarray:
+    """What :func:`_numbered` was given, of all rows."""
+    out = [np.zeros(0, np.int64)]
+    for number, ids in zip(table.column("first"), table.column("ids"), strict=True):
+        distinct = np.frombuffer(ids.as_buffer(), np.int64)
+        out.append(distinct[np.frombuffer(number.as_buffer(), np.uint16 if len(distinct) <= 1 << 16 else np.uint32)])
+    return np.concatenate(out)
+
+
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -218,7 +241,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
     def later(group: pa.Table) -> pa.Table:
         """For each block: which of its windows start earlier in another block."""
         own = [np.frombuffer(x.as_buffer(), U64) for x in group.column("high")]
-        high, low, first = np.concatenate(own), _unpack(group, "low"), _unpack(group, "first", np.int64)
+        high, low, first = np.concatenate(own), _unpack(group, "low"), _firsts(group)
         order = np.lexsort((first, low, high))
         same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
         lost = np.zeros(len(high), bool)
@@ -228,13 +251,13 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
             if (hit := lost[at : at + len(x)]).any():
                 blocks.append(b)
                 highs.append(x[hit].tobytes())
-                lows.append(low[at : at + len(x)][hit].tobytes())
+                lows.append((low[at : at + len(x)][hit] & SHORT).astype(np.uint16).tobytes())
             at += len(x)
         return pa.table({"block": pa.array(blocks, pa.int32()), "high": pa.array(highs, pa.binary()), "low": pa.array(lows, pa.binary())})
 
     def judge(group: pa.Table, reply: pa.Table) -> pa.Table:
         table = _ordered(group) if group.num_rows else group.select(["doc_id", "text"])
-        highs, lows = _unpack(reply, "high"), _unpack(reply, "low")
+        highs, lows = _unpack(reply, "high"), _unpack(reply, "low", np.uint16)
         order = np.lexsort((lows, highs))
         highs, lows = highs[order], lows[order]
         parts = list(_parts(table, p)) if group.num_rows else []
@@ -245,7 +268,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
         for i, ((_, b), (own, at)) in enumerate(zip(parts, anchors_of, strict=True)):
             starts = np.flatnonzero(b.valid) if len(highs) else np.zeros(0, np.int64)
             high, low = b.names(starts)
-            gone[i][starts[_pair_member(high, low, highs, lows)]] = True
+            gone[i][starts[_pair_member(high, (low & SHORT).astype(np.uint16), highs, lows)]] = True
             starts = b.around(at[_member(own, twice)])
             high, low = b.names(starts)
             seen.append((high, low, np.full(len(starts), i), starts))
