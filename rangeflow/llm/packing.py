@@ -44,6 +44,7 @@ class Encoder:
             named = {"".join(letters[b] for b in token): rank for token, rank in table.items()}
             if named.items() == {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k in named}.items():
                 self.quick = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+                self.tokenizer = None  # one vocabulary in memory is enough
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         if self.quick is not None:

@@ -153,7 +153,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carry:
     ``carry``, which are returned unchanged in front of the verdict. A null or
     empty text has no words and fails (``few words``); a null doc_id is kept as
     null; repeated rows each get a row; an empty table gives no rows. Memory is
-    bounded by about two megabytes of text, or the longest single text.
+    bounded by an Arrow batch.
     """
     added = StructType.fromDDL(ADDED)
     schema = StructType([*docs.select("doc_id", *carry).schema.fields, *added.fields])
