@@ -225,6 +225,27 @@ def array_sync(spark, sf_dir):
     return reduce.array_reduce(table(spark, sf_dir, "embeddings"), "embedding").withColumn("value", F.round("value", 6))
 
 
+@query("""
+SELECT CAST(sum(l_linenumber) AS BIGINT) AS as_int, CAST(sum(l_orderkey) AS BIGINT) AS as_long, CAST(sum(l_partkey) % 4294967296 AS BIGINT) AS as_uint,
+       CAST(sum(CAST(l_suppkey AS DECIMAL(20,0))) AS DOUBLE) AS as_ulong, CAST(max(CAST(l_tax AS FLOAT)) AS FLOAT) AS as_float, min(l_extendedprice) AS as_double
+FROM lineitem""")
+def reduce_types(spark, sf_dir):
+    """One accumulator of each numeric type in a single aggregate."""
+    a = reduce.Accumulator
+    found = [a("as_int", "l_linenumber", "sum", "int"), a("as_long", "l_orderkey"), a("as_uint", "l_partkey", "sum", "uint"), a("as_ulong", "l_suppkey", "sum", "ulong"), a("as_float", "l_tax", "max", "float"), a("as_double", "l_extendedprice", "min", "double")]
+    return reduce.reduce(table(spark, sf_dir, "lineitem"), found).withColumn("as_ulong", F.col("as_ulong").cast("double"))
+
+
+@query("""
+SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS s, max(l_partkey) AS hi, min(l_partkey) AS lo FROM lineitem GROUP BY 1""")
+def reduce_partials(spark, sf_dir):
+    """Partial results of 16 index blocks, carried and folded."""
+    a = reduce.Accumulator
+    found = [a("s", "l_linenumber", "sum", "int"), a("hi", "l_partkey", "max"), a("lo", "l_partkey", "min")]
+    rows = table(spark, sf_dir, "lineitem").withColumn("block", F.col("l_orderkey") % 16)
+    return reduce.combine(reduce.reduce(rows, found, ["l_returnflag", "block"]), found, ["l_returnflag"])
+
+
 # --- cuts and ranges --------------------------------------------------------
 
 
@@ -418,6 +439,21 @@ def heat(spark, sf_dir):
     return kernels.stencil_step(kernels.heat_initial(space.loop(spark, 2000), 2000), 2000, block=256).select("i", F.round("u", 9).alias("u"))
 
 
+_HEAT = "f0 AS (SELECT range AS i, 1.0::DOUBLE + sin(6.2831853::DOUBLE * range / 500) AS u FROM range(0, 500))"
+
+
+@query(f"""
+WITH {_HEAT}, f1 AS ({_STEP.format("f0")}), f2 AS ({_STEP.format("f1")}), f3 AS ({_STEP.format("f2")}), f4 AS ({_STEP.format("f3")})
+SELECT i, round(u, 9) AS u FROM f4""")
+def heat_steps(spark, sf_dir):
+    """Four steps of the heat workload, run by the step loop."""
+    from .controller import run_steps
+
+    field = kernels.heat_initial(space.loop(spark, 500), 500)
+    out = run_steps(field, 4, lambda f: kernels.stencil_step(f, 500, block=128), 64, lambda f: f)
+    return out.select("i", F.round("u", 9).alias("u"))
+
+
 _GRID = "g AS (SELECT p_partkey // 50 AS y, p_partkey % 50 AS x, CASE WHEN p_size % 10 < 3 THEN 1 ELSE 0 END AS alive FROM part), h AS (SELECT count(*) // 50 AS h FROM part)"
 
 
@@ -432,6 +468,20 @@ def life_step(spark, sf_dir):
     return kernels.life_step(part.select(y.alias("y"), x.alias("x"), (F.col("p_size") % 10 < 3).cast("int").alias("alive")), 50, height)
 
 
+@query(f"""
+WITH {_GRID}, d AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(0, 3) a, range(0, 3) b WHERE NOT (a.range = 1 AND b.range = 1)),
+n AS (SELECT (y + dy + h) % h AS y, (x + dx + 50) % 50 AS x, sum(alive) AS n FROM g, d, h GROUP BY 1, 2)
+SELECT (SELECT CAST(sum(alive) AS BIGINT) FROM g) AS before_alive,
+       CAST(sum(CASE WHEN n = 3 OR alive = 1 AND n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS after_alive FROM g JOIN n ON g.y = n.y AND g.x = n.x""")
+def life_population(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    height = part.count() // 50
+    y, x = space.decode(F.col("p_partkey"), [height, 50])
+    cells = part.select(y.alias("y"), x.alias("x"), (F.col("p_size") % 10 < 3).cast("int").alias("alive"))
+    both = cells.select("alive", F.lit(0).alias("new")).union(kernels.life_step(cells, 50, height).select("alive", F.lit(1)))
+    return both.agg(F.sum(F.when(F.col("new") == 0, F.col("alive"))).alias("before_alive"), F.sum(F.when(F.col("new") == 1, F.col("alive"))).alias("after_alive"))
+
+
 # --- generators -------------------------------------------------------------
 
 
@@ -490,6 +540,20 @@ def synthetic_csr(spark, sf_dir):
     return found.select("r", "k", "c", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
+@query(f"""
+WITH d AS (SELECT range AS r, CASE WHEN range < 10 THEN 11 ELSE 2 END AS nnz FROM range(0, 40)),
+f AS (SELECT r, nnz, sum(nnz) OVER (ORDER BY r) - nnz AS first FROM d),
+e AS (SELECT r, unnest(range(0, nnz)) AS k, first FROM f),
+s AS (SELECT r, {_sql_lcg("12345", "(2 * (first + k) + 1)::BIGINT")} % 40 AS c, {_sql_lcg("12345", "(2 * (first + k) + 2)::BIGINT")} AS b FROM e)
+SELECT r, round(sum((0.5::DOUBLE + (b % 100) * 0.01::DOUBLE) * (1 + (c & 3) * 0.25::DOUBLE)), 4) AS y FROM s GROUP BY 1""")
+def spmv_csr(spark, sf_dir):
+    """The sparse workload on a clustered matrix (values are floats, so four places count)."""
+    from ..sources import synthetic
+
+    cells = synthetic.matrix(spark, "clustered", 40, 4)
+    return kernels.spmv(cells.withColumn("v", F.round(F.col("v").cast("double"), 2))).select("r", F.round("y", 4).alias("y"))
+
+
 @query("""
 SELECT i, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, 50), lambda k: sin(i + k) * cos(i - k) + sqrt((i + 1) * (k + 1)))), lambda s, v: s + v), 4) AS fp
 FROM (SELECT range AS i FROM range(0, 300))""")
@@ -719,6 +783,27 @@ def wave_invariance(spark, sf_dir):
     return found
 
 
+@query("SELECT range AS i, range + 1.0::DOUBLE AS data FROM range(0, 5000)")
+def custom_policy(spark, sf_dir):
+    """The exact workload under a policy of the user's own."""
+    from ..conf import Conf
+    from .controller import Controller
+    from .policies import grow_or_shrink
+
+    run = Controller(8, Conf(malleable=True, initial_size=2, balancing=True), grow_or_shrink(2, 2), speed=lambda e, r, n: 20.0 + 80.0 * (r == 0))
+    return run.run(spark, 5000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
+
+
+@query("SELECT range AS i, range + 1.0::DOUBLE AS data FROM range(0, 2000)")
+def resize_demo(spark, sf_dir):
+    """The exact workload under given sizes and a worker that slows down."""
+    from ..conf import Conf
+    from .controller import Controller
+
+    run = Controller(8, Conf(malleable=True, policy="fixed", sequence="2,6,3", balancing=True), speed=lambda e, r, n: 5.0 if r == 1 and e > 3 else 25.0)
+    return run.run(spark, 2000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
+
+
 @query("""
 SELECT 'FIXED' AS policy, * FROM (VALUES (0::BIGINT, 8::INTEGER, 4::INTEGER), (1, 4, 2), (2, 2, 8)) t(epoch, old, new)""")
 def trace_resizes(spark, sf_dir):
