@@ -121,7 +121,13 @@ def horizon_is_short(m: EpochMetrics, epochs: float) -> bool:
 
 
 def ewma(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.5) -> DataFrame:
-    """(by, ewma): keep * old + (1 - keep) * new, folded in order inside each group."""
-    ordered = F.sort_array(F.collect_list(F.struct(order, value)))
-    fold = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.col("xs")[0][value].cast("double"), lambda s, x: keep * s + (1 - keep) * x[value])
-    return rows.groupBy(by).agg(ordered.alias("xs")).select(by, fold.alias("ewma"))
+    """(by, ewma): keep * old + (1 - keep) * new, in order inside each group.
+
+    As a weighted sum: a value has the weight (1 - keep) keep^age, the first one
+    keep^age alone. Groups are sorted (and spill), never held in memory.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    newest, oldest = (Window.partitionBy(by).orderBy(c) for c in (F.col(order).desc(), F.col(order)))
+    aged = rows.select(by, value, (F.row_number().over(newest) - 1).alias("age"), (F.row_number().over(oldest) == 1).alias("first"))
+    weight = F.pow(F.lit(float(keep)), F.col("age")) * F.when(F.col("first"), 1.0).otherwise(1.0 - keep)
+    return aged.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ewma"))

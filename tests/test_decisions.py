@@ -167,6 +167,11 @@ def test_waves_cover_once_whatever_the_policy(spark, name):
     conf = Conf(malleable=True, policy=name, sequence="3,5,2", initial_size=4, balancing=True, min_horizon_epochs=0.0)
     run = Controller(8, conf, speed=lambda e, r, n: 5.0 + (r * 7 + e) % 5)
     out, waves = run.run(spark, 700, lambda s: s.selectExpr("i", "i * 2 v"))
+    dealt = {r.i: (r.wave, r.rank) for r in run.run(spark, 700, lambda s: s)[0].collect()}
+    for w in waves:
+        end = min([x.start for x in waves if x.start > w.start], default=700)
+        for i in range(w.start, end):
+            assert dealt[i][0] == w.epoch and w.cuts[dealt[i][1]] <= i < w.cuts[dealt[i][1] + 1]
     assert sorted((r.i, r.v) for r in out.collect()) == [(i, 2 * i) for i in range(700)]
     starts = [w.start for w in waves]
     assert starts == sorted(starts) and all(1 <= w.size <= 8 and w.cuts[0] == w.start and w.cuts[-1] == 700 for w in waves)
