@@ -40,7 +40,8 @@ SUFFIX_LANGUAGE = {
 class LanguageParams:
     #: Labelled rows that the text models are fitted on (about so many, chosen by hash).
     sample_rows: int = 4000
-    most_languages: int = 200
+    #: Languages told apart: those with most rows in the sample.
+    most_languages: int = 64
     cells: int = 1 << 14
     smoothing: float = 0.1
     #: Each character is in three trigrams, which are far from independent.
@@ -94,10 +95,11 @@ def fit(labelled: DataFrame, p: LanguageParams) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "cell", "n"])
 
     sample = sampled(labelled.where("lang is not null and doc_id is not null"), p.sample_rows).select("lang", "text")
+    common = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
+    languages = sorted(r["lang"] for r in common)
+    sample = sample.where(F.col("lang").isin(languages))
     counts = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()
-    common = rows.groupby("lang").n.sum().sort_values(ascending=False).index[: p.most_languages]
-    languages = sorted(common)
     table = np.full((len(languages), p.cells), p.smoothing)
     for i, lang in enumerate(languages):
         own = rows[rows.lang == lang]

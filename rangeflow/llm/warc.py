@@ -185,17 +185,20 @@ def read_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
         raise ValueError("an archive ends inside a record")
 
 
-def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def _inflated(data: bytes, step: int = 256 << 10, most: int = 4 << 20) -> Iterator[bytes]:
+    """The content of a file, gzipped or not, in pieces of bounded size."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    unpack, rest = zlib.decompressobj(31), data
-    while rest:
-        yield unpack.decompress(rest, step)
-        rest = unpack.unconsumed_tail
-        if unpack.eof:
-            rest = unpack.unused_data
-            unpack = zlib.decompressobj(31)
+    unpack = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        rest = data[at : at + step]
+        while rest:
+            if unpack.eof:  # the next member
+                unpack = zlib.decompressobj(31)
+            yield unpack.decompress(rest, most)
+            rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+    yield unpack.flush()
 
 
 def _page_record(page_id: int | None, url: str | None, html: str | None, version: int, date: str) -> ArcRecord:

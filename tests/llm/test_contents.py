@@ -254,3 +254,12 @@ def test_odd_rows_and_evidence(spark):
 def test_registered_query_covers_all_documents(spark):
     sf = "/root/testdata/sf0.001"
     assert op8_language_id(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_gzip_members_and_small_pieces():
+    import gzip
+
+    raw = bytes(range(256)) * 5000
+    for data in (gzip.compress(raw), gzip.compress(raw) + gzip.compress(b"more") + gzip.compress(b""), raw):
+        whole = raw + (b"more" if data.startswith(b"\x1f\x8b") and data.count(b"\x1f\x8b\x08") > 1 and len(data) > len(gzip.compress(raw)) else b"")
+        assert b"".join(warc._inflated(data, step=100, most=1000)) == whole
