@@ -53,8 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
+    start = mark()
     for name, stage in STAGES[:-1]:
-        start = mark()
         docs = cut(stage(spark, docs, sf_dir), name)
-        release(start, keep=1)
+        release(start, keep=1)  # with what the stage before kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import disguised
-from .wordhash import Words, buffers
+from .wordhash import Words, buffers, trim
 
 #: Bytes to bytes: A-Z in lower case, separators (ASCII but 0-9 and a-z) to a space.
 NORMAL = bytes(
@@ -159,6 +159,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span)
             cols = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(made[c], k) for c, k in zip(added.names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *carry, *added.names])
+        del only
+        trim()
 
     wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
     return docs.select(*wanted).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from .shared import cut
 from .urls import split_url
-from .wordhash import LOWER, buffers, slices
+from .wordhash import LOWER, buffers, slices, trim
 
 # Country-code suffixes that speak for a language.
 SUFFIX_LANGUAGE = {
@@ -123,6 +123,7 @@ def text_scores(docs: DataFrame, languages: list[str], logs: np.ndarray, p: Lang
                 scores -= scores.max(axis=1, keepdims=True)
                 part = [batch.column(c).slice(a, b - a) for c in ("doc_id", *carry)]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(list(scores), pa.list_(pa.float64()))], names=["doc_id", *carry, "scores"])
+        trim()
 
     return docs.select("doc_id", *carry, "text").mapInArrow(run, schema)
 

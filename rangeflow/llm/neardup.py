@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components, composed
 from .shared import cut, mark, release
-from .wordhash import U64, Words, buffers, mix, slices, windows
+from .wordhash import U64, Words, buffers, mix, slices, trim, windows
 
 _LONG = pa.list_(pa.int64())
 
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 cols = [batch.column("doc_id").slice(a, b - a), *_records(batch.column("text").slice(a, b - a), p)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "bands", "bins", "sketch"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, digest binary, bands array<long>, bins long, sketch array<long>"
@@ -156,6 +157,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 found, begin = _shingles(batch.column("text").slice(a, b - a), k)
                 own = [np.unique(found[begin[i] : begin[i + 1]]).tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(own, pa.binary())], names=["doc_id", "own"])
+        trim()
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
     return wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary")
@@ -224,6 +226,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame
             for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
                 keep.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), p))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()

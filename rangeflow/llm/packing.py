@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .wordhash import slices
+from .wordhash import slices, trim
 
 #: Texts of up to so many bytes are encoded at a time.
 STEP_BYTES = 1 << 20
@@ -117,6 +117,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", *["ids"] * with_ids]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del encode
+        trim()
 
     found = docs.select("doc_id", "text").mapInArrow(run, schema)
     return found.withColumns(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .shared import disguised
-from .wordhash import SPACE, U64, Words, buffers, covered, mix, slices, windows
+from .wordhash import SPACE, U64, Words, buffers, covered, mix, slices, trim, windows
 
 #: Bytes from which a band holds, lowest ratio, highest ratio.
 BANDS = (
@@ -168,6 +168,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), carry:
                 part = [batch.column(c).slice(a, b - a) for c in ("doc_id", *carry)]
                 cols = part + [pa.array(found[n], k) for n, k in kinds.items()]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *carry, *kinds])
+        trim()
 
     wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
     return docs.select(*wanted).mapInArrow(run, schema)
