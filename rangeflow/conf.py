@@ -21,7 +21,7 @@ PREFIX = "spark.rangeflow."
 class Conf:
     """Defaults of every key; the type of the default is the type of the key."""
 
-    malleable: bool = False
+    elastic: bool = False
     resize: bool = True
     balancing: bool = False
     initial_size: int = 0  # 0: the whole universe
@@ -49,8 +49,8 @@ class Conf:
 
     @property
     def resizes(self) -> bool:
-        """Sizes can change only where malleability is on as well."""
-        return self.malleable and self.resize
+        """Sizes can change only where elasticity is on as well."""
+        return self.elastic and self.resize
 
 
 #: Lowest and highest values.

@@ -760,7 +760,7 @@ def _folded(name: str, **more):
         from ..conf import Conf
         from ..streaming.telemetry import fold_policy
 
-        return fold_policy(run_metrics(spark, sf_dir), Conf(malleable=True, policy=name, **more), 8)
+        return fold_policy(run_metrics(spark, sf_dir), Conf(elastic=True, policy=name, **more), 8)
 
     folded.__name__ = f"policy_{name}"
     return query(None)(folded)
@@ -777,7 +777,7 @@ def wave_invariance(spark, sf_dir):
     from ..conf import Conf
     from .controller import Controller
 
-    run = Controller(8, Conf(malleable=True, initial_size=2, balancing=True, min_horizon_epochs=0.0), speed=lambda e, r, n: 40.0 / (1 + 0.1 * (n - 1)))
+    run = Controller(8, Conf(elastic=True, initial_size=2, balancing=True, min_horizon_epochs=0.0), speed=lambda e, r, n: 40.0 / (1 + 0.1 * (n - 1)))
     i = F.col("i").cast("double")
     found, _ = run.run(spark, 3000, lambda s: s.select("i", F.round(kernels.elementwise(i + 1, 3000.0 - i), 4).alias("c")))
     return found
@@ -790,7 +790,7 @@ def custom_policy(spark, sf_dir):
     from .controller import Controller
     from .policies import grow_or_shrink
 
-    run = Controller(8, Conf(malleable=True, initial_size=2, balancing=True), grow_or_shrink(2, 2), speed=lambda e, r, n: 20.0 + 80.0 * (r == 0))
+    run = Controller(8, Conf(elastic=True, initial_size=2, balancing=True), grow_or_shrink(2, 2), speed=lambda e, r, n: 20.0 + 80.0 * (r == 0))
     return run.run(spark, 5000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
 
 
@@ -800,7 +800,7 @@ def resize_demo(spark, sf_dir):
     from ..conf import Conf
     from .controller import Controller
 
-    run = Controller(8, Conf(malleable=True, policy="fixed", sequence="2,6,3", balancing=True), speed=lambda e, r, n: 5.0 if r == 1 and e > 3 else 25.0)
+    run = Controller(8, Conf(elastic=True, policy="fixed", sequence="2,6,3", balancing=True), speed=lambda e, r, n: 5.0 if r == 1 and e > 3 else 25.0)
     return run.run(spark, 2000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
 
 
@@ -812,7 +812,7 @@ def trace_resizes(spark, sf_dir):
     from ..conf import Conf
     from .controller import Controller
 
-    waves = Controller(8, Conf(malleable=True, policy="fixed", sequence="4,2,8"), speed=lambda e, r, n: 10.0).waves(400)
+    waves = Controller(8, Conf(elastic=True, policy="fixed", sequence="4,2,8"), speed=lambda e, r, n: 10.0).waves(400)
     rows = trace.trace_rows(spark, waves).where("tag = 'RESIZE'")
     return rows.select(F.lit("FIXED").alias("policy"), "epoch", "old", "new")
 

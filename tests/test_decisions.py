@@ -82,7 +82,7 @@ def trace(machine, universe, size, throughput, epochs, iterative=False):
     return " ".join(out)
 
 
-CONF = Conf(malleable=True)
+CONF = Conf(elastic=True)
 CURVE = lambda n: 100 * n / (1 + 0.1 * (n - 1))
 
 
@@ -101,7 +101,7 @@ def test_golden_policies(machine, universe, size, curve, iterative, expected):
 
 
 def test_gate_fires_defers_and_gives_up():
-    machine = policies.Search(0.0, Conf(malleable=True, balancing=True))
+    machine = policies.Search(0.0, Conf(elastic=True, balancing=True))
     state = policies.SearchState(phase="PROBING", single=100.0, size=4, low=1, high=8)
     m = EpochMetrics(active_n=4, universe=4, remaining=1e6, throughput=400.0, max_slow_streak=3)
     votes = []
@@ -164,7 +164,7 @@ def test_horizon():
 
 @pytest.mark.parametrize("name", ["auto", "throughput", "efficiency", "cost", "fixed"])
 def test_waves_cover_once_whatever_the_policy(spark, name):
-    conf = Conf(malleable=True, policy=name, sequence="3,5,2", initial_size=4, balancing=True, min_horizon_epochs=0.0)
+    conf = Conf(elastic=True, policy=name, sequence="3,5,2", initial_size=4, balancing=True, min_horizon_epochs=0.0)
     run = Controller(8, conf, speed=lambda e, r, n: 5.0 + (r * 7 + e) % 5)
     out, waves = run.run(spark, 700, lambda s: s.selectExpr("i", "i * 2 v"))
     dealt = {r.i: (r.wave, r.rank) for r in run.run(spark, 700, lambda s: s)[0].collect()}
@@ -180,6 +180,6 @@ def test_waves_cover_once_whatever_the_policy(spark, name):
         assert [w.outcome.target for w in waves if w.outcome.resize] == [3, 5, 2]
 
 
-def test_without_malleability_nothing_changes():
+def test_without_elasticity_nothing_changes():
     waves = Controller(6, Conf(policy="auto"), speed=lambda e, r, n: 3.0).waves(200)
     assert {w.size for w in waves} == {6}

@@ -200,7 +200,7 @@ def test_configuration(spark, caplog):
 
 
 def test_trace_rows(spark):
-    waves = Controller(4, conf.Conf(malleable=True, policy="fixed", sequence="2,4"), speed=lambda e, r, n: 10.0).waves(150)
+    waves = Controller(4, conf.Conf(elastic=True, policy="fixed", sequence="2,4"), speed=lambda e, r, n: 10.0).waves(150)
     rows = trace.trace_rows(spark, waves)
     counts = {r.tag: r["count"] for r in rows.groupBy("tag").count().collect()}
     assert counts["RESIZE"] == 2 and counts["START"] == counts["END"] == sum(w.size for w in waves)

@@ -10,7 +10,7 @@ def metrics(epochs):
 
 
 def test_stream_and_batch_decide_alike(spark, tmp_path):
-    conf = Conf(malleable=True, policy="auto")
+    conf = Conf(elastic=True, policy="auto")
     for k in range(4):
         spark.createDataFrame(metrics(range(2 * k, 2 * k + 2)), METRICS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     source = spark.readStream.schema(METRICS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
