@@ -2,6 +2,8 @@ import base64
 import os
 import re
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -84,3 +86,29 @@ def test_good_labels_stay(spark):
     both = quality.quality_rules(docs).join(labels, "doc_id")
     assert both.where("quality = 1 and not base_failed and not kept").count() == 0
     assert both.where("quality = 0 and kept").count() <= 0.5 * both.where("quality = 0").count()
+
+
+def judged(sf):
+    docs = pd.read_parquet(f"/root/testdata/{sf}/documents.parquet").merge(pd.read_parquet(f"/root/testdata/{sf}/labels.parquet"), on="doc_id")
+    found = quality.judge(pa.array(docs.text, pa.string()), quality.QualityRules())
+    docs = docs.assign(size=[len((t or "").encode()) for t in docs.text], **{k: found[k] for k in ("base_failed", "kept", "ratio")})
+    return docs[~docs.base_failed]
+
+
+def test_limits_are_those_fitted_on_clean_labels():
+    clean = judged("sf0.1").query("quality == 1")
+    fitted = quality.fitted_bands(clean["size"].to_numpy(float), clean.ratio.to_numpy(float))
+    assert [b for b in quality.BANDS if 32 <= b[0] < 32768] == fitted
+    press = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    p = quality.QualityRules()
+    ratios = [p.chunk_bytes / len(press.compress(t.encode()[i : i + p.chunk_bytes])) for t in clean.text for i in range(0, len(t.encode()) - p.chunk_bytes + 1, p.chunk_bytes)]
+    assert p.chunk_low <= min(ratios) < p.chunk_low + 0.02 and p.chunk_high - 0.02 < max(ratios) <= p.chunk_high
+
+
+def test_ratios_reject_junk_that_the_base_rule_keeps():
+    for sf, lost in (("sf0.1", 0.002), ("sf0.01", 0.0)):  # sf0.01 has no part in the fit
+        rows = judged(sf)
+        assert (~rows[rows.quality == 1].kept).mean() <= lost
+        junk = rows[rows.quality == 0]
+        assert (~junk.kept).mean() > 0.6
+        assert (~junk[junk["size"] >= 4096].kept).all()
