@@ -16,7 +16,7 @@
 5. Components of the confirmed links give the classes.
 
 Links are lost only by chance: a pair at the threshold shares no band with
-probability ``miss``, or has sketches beyond ``sigmas`` standard deviations.
+probability ``miss``, or has sketches beyond a tail bound of exp(-sigmas^2 / 2).
 """
 
 from __future__ import annotations
@@ -62,25 +62,40 @@ class NearDupParams:
 class _NumPy:
     """The functions that :func:`most_bits` needs, for arrays; for columns it is pyspark's module."""
 
-    exp, sqrt = staticmethod(np.exp), staticmethod(np.sqrt)
+    exp, sqrt, least, greatest = (staticmethod(x) for x in (np.exp, np.sqrt, np.minimum, np.maximum))
+    lit = staticmethod(lambda x: x)
 
 
 def most_bits(bins_a, bins_b, n_a, n_b, p: NearDupParams, f=_NumPy):
-    """XOR count that a linked pair exceeds only beyond ``sigmas`` deviations.
+    """XOR count that a linked pair exceeds only beyond ``sigmas`` deviations, if at all.
 
     At the threshold t, sets of n_a and n_b elements have (n_a + n_b) / (1 + t)
     elements together; these fill u bins, of which a share t agrees. The rest of
-    the samples differ, and each turns a random bit.
+    the samples differ, and each turns a random bit. The number of agreeing bins
+    varies as a sample of u of these elements does, and with u itself; it comes in
+    steps of two samples, so few steps have a long tail, which Bernstein's
+    inequality allows for. No linked pair has more than two differing samples for
+    each element that only one set has, and for small sets that limit is the lower one.
     """
     k, n, t = p.bins, p.sketch_bits, p.percent / 100
     union = (n_a + n_b) / (1 + t)
-    u = k * (1 - f.exp(union * math.log1p(-1 / k)))
-    differ = bins_a + bins_b - 2 * t * u
-    differ = (differ + abs(differ)) / 2 if f is _NumPy else f.greatest(differ, f.lit(0.0))
-    sampled = (4 * t * (1 - t) + 0.4) * u * (1 - u / (union + 1))
+    empty = f.exp(union * math.log1p(-1 / k))
+    u = k * (1 - empty)
+    differ = f.greatest(bins_a + bins_b - 2 * t * u, f.lit(0.0))
+    filled = k * empty * (1 - (1 + union / k) * empty)  # variance of the number of filled bins
+    sampled = 4 * t * (1 - t) * u * (1 - u / (union + 1)) + 4 * t * t * filled
     fade = f.exp(differ * (-2 / n))
     spread = sampled * fade * fade + n / 4 * (1 - fade * fade) - differ * fade * fade
-    return n / 2 * (1 - fade) + p.sigmas * f.sqrt(spread + 1)
+    tail = p.sigmas * p.sigmas / 3
+    likely = n / 2 * (1 - fade) + tail + f.sqrt(tail * tail + p.sigmas * p.sigmas * (spread + 1))
+    return f.least(likely, 2 * (1 - t) * union + 0.5)
+
+
+def sketch(own: np.ndarray, p: NearDupParams) -> tuple[int, np.ndarray]:
+    """Filled bins and odd sketch of a sorted set."""
+    least = own[np.unique(own & U64(p.bins - 1), return_index=True)[1]]  # of each bin, as ``own`` is sorted
+    parity = np.bincount((mix(least) % U64(p.sketch_bits)).astype(np.int64), minlength=p.sketch_bits) & 1
+    return len(least), np.packbits(parity.astype(bool), bitorder="little").view("<i8")
 
 
 def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +126,7 @@ def _records(column: pa.Array, p: NearDupParams) -> list[pa.Array]:
             own = np.unique(found[begin[i] : begin[i + 1]])
             counts[i] = len(own)
             digests[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            least = own[np.unique(own & U64(p.bins - 1), return_index=True)[1]]  # of each bin, as ``own`` is sorted
-            bins[i] = len(least)
-            parity = np.bincount((mix(least) % U64(p.sketch_bits)).astype(np.int64), minlength=p.sketch_bits) & 1
-            sketches[i] = np.packbits(parity.astype(bool), bitorder="little").view("<i8")
+            bins[i], sketches[i] = sketch(own, p)
     full = np.flatnonzero(counts)
     keys = np.zeros((len(full), p.bands), U64)
     rng = np.random.default_rng(p.seed)

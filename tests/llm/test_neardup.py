@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from rangeflow.llm.components import components
-from rangeflow.llm.neardup import NearDupParams, near_duplicates
+from rangeflow.llm.neardup import NearDupParams, most_bits, near_duplicates, sketch
 from rangeflow.llm.oracle import near_duplicates as oracle
 from tests.llm.test_pipeline import sets
 
@@ -61,3 +62,17 @@ def test_parameters_lose_few():
     for p in (NearDupParams(), NearDupParams(shingle=3, percent=85)):
         assert (1 - (p.percent / 100) ** p.rows) ** p.bands <= p.miss
     assert "percent" not in oracle()
+
+
+@pytest.mark.parametrize("percent, unions", [(85, (60, 100, 200, 300, 500, 1000, 4000)), (80, (60, 100, 200, 300, 500, 1000, 4000))])
+def test_sketches_lose_no_pairs_at_the_threshold(percent, unions):
+    p, rng = NearDupParams(percent=percent), np.random.default_rng(percent)
+    for union in unions:
+        lost, common, trials = 0, union * percent // 100, 4000 if union <= 1000 else 500
+        for _ in range(trials):
+            both = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            half = common + (union - common) // 2
+            a, b = np.sort(both[:half]), np.sort(np.concatenate((both[:common], both[half:])))
+            (bins_a, x), (bins_b, y) = sketch(a, p), sketch(b, p)
+            lost += np.bitwise_count((x ^ y).view(np.uint64)).sum() > most_bits(bins_a, bins_b, len(a), len(b), p)
+        assert lost == 0, union
