@@ -1,7 +1,8 @@
 """Quality rules with compression bands.
 
 The zstandard ratio (bytes in over bytes out) of the whole text and of its
-fixed chunks says how repetitive a text is. A ratio means something only for
+chunks says how repetitive a text is. Chunks have one size and cover the text:
+the last one ends with it and may overlap the one before. A ratio means something only for
 texts of about one length, so every length band has limits of its own: above
 the upper one a text repeats itself, below the lower one it is noise that no
 compressor can shorten (encoded or random data).
@@ -134,6 +135,11 @@ def _dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _chunk_starts(n: int, size: int) -> list[int]:
+    """Where the chunks of a text of n bytes begin; the last one ends with the text. One chunk is the text itself: none."""
+    return [*range(0, n - size, size), n - size] if n > size else []
+
+
 def judge(column: pa.Array, rules: QualityRules) -> dict[str, list]:
     """Counts, ratios and verdicts for a string column (null counts as empty)."""
     data, offsets = buffers(column)
@@ -167,8 +173,7 @@ def judge(column: pa.Array, rules: QualityRules) -> dict[str, list]:
         failed = n_words[i] < rules.least_words or 100 * repeats[i] > rules.most_repeat_percent * n_words[i]
         low, high = rules.band(len(text))
         ratio = len(text) / len(press.compress(text)) if text else None
-        chunks = [text[at : at + rules.chunk_bytes] for at in range(0, len(text) - rules.chunk_bytes + 1, rules.chunk_bytes)]
-        ratios = [rules.chunk_bytes / len(press.compress(c)) for c in chunks] if len(chunks) > 1 else []
+        ratios = [rules.chunk_bytes / len(press.compress(text[at : at + rules.chunk_bytes])) for at in _chunk_starts(len(text), rules.chunk_bytes)]
         bad = sum(not rules.chunk_low <= r <= rules.chunk_high for r in ratios)
         why = None
         if failed:

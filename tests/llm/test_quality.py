@@ -2,6 +2,7 @@ import base64
 import os
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -112,3 +113,16 @@ def test_ratios_reject_junk_that_the_base_rule_keeps():
         junk = rows[rows.quality == 0]
         assert (~junk.kept).mean() > 0.6
         assert (~junk[junk["size"] >= 4096].kept).all()
+
+
+def test_chunks_cover_the_end_of_a_text():
+    p = quality.QualityRules()
+    for n in (0, 1, 1023, 1024, 1025, 2047, 2048, 2049, 8191):
+        starts = quality._chunk_starts(n, p.chunk_bytes)
+        assert set().union(*(range(a, a + p.chunk_bytes) for a in starts)) == (set(range(n)) if n > p.chunk_bytes else set())
+    clean = next(t for t in judged("sf0.01").query("quality == 1 and size > 4000").text if t.isascii())
+    noise = base64.b64encode(np.random.default_rng(3).bytes(600)).decode()
+    texts = [clean[:2047], clean[:1847] + noise[:200]]  # shorter than two chunks, and in the limits as a whole
+    found = quality.judge(pa.array(texts), p)
+    assert found["reason"] == [None, "chunks"]
+    assert found["n_chunks"] == [2, 2] and found["n_bad_chunks"] == [0, 1]
