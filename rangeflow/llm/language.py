@@ -4,10 +4,10 @@ For each document four kinds of evidence multiply:
 
 * the likelihood of its text under byte-trigram models, one a language, fitted on
   a bounded sample of labelled rows;
-* the language its markup declares, through P(declared | language), a small
+* the languages its pages declare, through P(declared | language), a small
   smoothed table counted over the whole corpus;
-* the suffix of its address (country codes speak for a language);
-* the prior of its host, smoothed towards its domain's, its suffix's and the overall
+* the suffix of its addresses (country codes speak for a language);
+* the prior of its hosts, smoothed towards its domain's, its suffix's and the overall
   one, from counts over the whole corpus without the document itself.
 
 Corpus counts are sums of posteriors, by grouped aggregation.
@@ -129,12 +129,11 @@ def text_scores(docs: DataFrame, languages: list[str], logs: np.ndarray, p: Lang
 
 
 def page_evidence(pages: DataFrame, doc_id: Column) -> DataFrame:
-    """(doc_id, host, domain, suffix, declared) of each document's page (the last page, if several)."""
+    """(doc_id, host, declared) of each page that shows a document."""
     host, _ = split_url()
     declared = F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1))
-    rows = pages.select(doc_id.alias("doc_id"), "page_id", host.alias("host"), declared.alias("declared")).where("doc_id is not null")
-    last = rows.groupBy("doc_id").agg(F.max(F.struct("page_id", "host", "declared")).alias("x")).select("doc_id", "x.host", "x.declared")
-    return last.select("doc_id", F.nullif("host", F.lit("")).alias("host"), F.nullif("declared", F.lit("")).alias("declared"))
+    rows = pages.select(doc_id.alias("doc_id"), host.alias("host"), declared.alias("declared")).where("doc_id is not null")
+    return rows.select("doc_id", F.nullif("host", F.lit("")).alias("host"), F.nullif("declared", F.lit("")).alias("declared"))
 
 
 def _soft(scores: list[Column]) -> Column:
@@ -149,8 +148,11 @@ def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: n
     """(doc_id, language, probability, text_language, declared, host) for each row of ``docs``.
 
     docs has ``doc_id``, ``text`` and ``source`` (stands for the host where
-    ``evidence`` has none); evidence has doc_id, host and declared, once a
-    doc_id at most. Other columns are ignored. Null or empty texts have equal
+    ``evidence`` has none); evidence has doc_id, host and declared, a row a page.
+    Every page counts for its host and declared language. For a document, what its
+    pages say is averaged (as logarithms, since they are far from independent): declared
+    languages over pages that declare one, suffixes and host priors over all. The
+    ``declared`` and ``host`` returned are those of most pages. Other columns are ignored. Null or empty texts have equal
     likelihoods, so other evidence decides; documents without evidence or a
     null doc_id use what there is. Ties go to the language first in the
     alphabet. Repeated rows each get a row; an empty table gives none. Without
@@ -161,38 +163,54 @@ def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: n
         empty = F.lit(None).cast("string")
         return docs.select("doc_id", empty.alias("language"), F.lit(None).cast("double").alias("probability"), empty.alias("text_language"), empty.alias("declared"), empty.alias("host"))
     scored = text_scores(docs, languages, logs, p, ("source",))
-    evidence = evidence.select(F.col("doc_id").alias("_doc"), "host", "declared")
-    rows = scored.join(evidence, scored["doc_id"] == evidence["_doc"], "left")
-    site = F.coalesce("host", F.concat(F.lit("source:"), "source"), F.lit("none"))
+    evidence = cut(evidence.where("doc_id is not null").groupBy("doc_id", "host", "declared").agg(F.count("*").alias("n")), "pages")
     parts = F.split("host", r"\.")
     suffix = F.coalesce(F.element_at(parts, -1), F.lit(""))
-    domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(site)
+    every = [*languages, "other"]
     known = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared").isNotNull(), "other")
+    pages_of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+    of_suffix = [F.lit(sorted(s for s, lang in SUFFIX_LANGUAGE.items() if lang == x) or [""]) for x in languages]
+    most = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("n", c)))[c]
+    shows = evidence.withColumns({"known": known, "suffix": suffix}).groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.sum("n").alias("pages"),
+        F.array(*[pages_of(F.col("known") == x) for x in every]).alias("told"),
+        F.array(*[pages_of(F.array_contains(of_suffix[i], F.col("suffix")) & (F.col("suffix") != "")) for i in range(n)]).alias("speaks"),
+        most("declared").alias("declared"),
+        most("host").alias("host"),
+    )
+    rows = scored.join(shows, scored["doc_id"] == shows["_doc"], "left")
     by_text = _soft([F.col("scores")[i] for i in range(n)])
-    rows = rows.select("doc_id", "scores", "declared", site.alias("site"), F.coalesce(domain, site).alias("domain"), suffix.alias("suffix"), known.alias("known"), by_text.alias("by_text"))
+    elsewhere = F.coalesce(F.concat(F.lit("source:"), "source"), F.lit("none"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "scores", "declared", elsewhere.alias("elsewhere"), F.coalesce("host", elsewhere).alias("site"), F.coalesce("pages", F.lit(1)).alias("pages"), "told", "speaks", by_text.alias("by_text"))
     rows = cut(rows, "evidence")
 
     sums = lambda of: [F.sum(F.col(of)[i]).alias(f"c{i}") for i in range(n)]
     # P(declared | language): one row for each known language, and one for all others
-    told = rows.where("known is not null").groupBy("known").agg(*sums("by_text")).collect()
-    seen = {r["known"]: [r[f"c{i}"] for i in range(n)] for r in told}
-    every = [*languages, "other"]
+    told = rows.select("by_text", F.posexplode("told").alias("k", "c")).where("c > 0").groupBy("k").agg(*[F.sum(F.col("by_text")[i] * F.col("c")).alias(f"c{i}") for i in range(n)]).collect()
+    seen = {every[r["k"]]: [r[f"c{i}"] for i in range(n)] for r in told}
     total = [sum(c[i] for c in seen.values()) for i in range(n)]
-    table = []
+    logs_of = []
     for d in every:
         row = seen.get(d, [0.0] * n)
         start = [p.declared_weight * (0.9 if d == lang else 0.1 / n) for lang in languages]
-        table += [F.lit(d), F.array(*[F.lit(math.log((row[i] + start[i]) / (total[i] + p.declared_weight))) for i in range(n)])]
-    said = F.element_at(F.create_map(*table), F.col("known"))
-    of_suffix = [F.lit(sorted(s for s, lang in SUFFIX_LANGUAGE.items() if lang == x) or [""]) for x in languages]
-    speaks = [F.when(F.array_contains(of_suffix[i], F.col("suffix")) & (F.col("suffix") != ""), math.log(p.suffix_odds)).otherwise(0.0) for i in range(n)]
-    local = [F.col("scores")[i] + F.coalesce(said[i], F.lit(0.0)) + speaks[i] for i in range(n)]
-    rows = cut(rows.select("doc_id", "declared", "site", "domain", "suffix", F.array(*local).alias("local"), "by_text", _soft(local).alias("own")), "local")
+        logs_of.append([math.log((row[i] + start[i]) / (total[i] + p.declared_weight)) for i in range(n)])
+    table = [F.lit([line[i] for line in logs_of]) for i in range(n)]
+    telling = F.aggregate("told", F.lit(0).cast("long"), lambda x, c: x + c)
+    said = [F.aggregate(F.zip_with("told", table[i], lambda c, x: c * x), F.lit(0.0), lambda x, y: x + y) / F.greatest(telling, F.lit(1)) for i in range(n)]
+    speaks = [math.log(p.suffix_odds) * F.col("speaks")[i] / F.col("pages") for i in range(n)]
+    local = [F.col("scores")[i] + F.coalesce(said[i], F.lit(0.0)) + F.coalesce(speaks[i], F.lit(0.0)) for i in range(n)]
+    rows = cut(rows.select("row", "doc_id", "declared", "elsewhere", "site", "pages", F.array(*local).alias("local"), "by_text", _soft(local).alias("own")), "local")
 
     over = rows.agg(*sums("own"), F.count("*").alias("all")).first()
     prior = [((over[f"c{i}"] or 0.0) + p.prior_weight / n) / (over["all"] + p.prior_weight) for i in range(n)]
     k = p.prior_weight
-    chain = cut(rows.groupBy("site", "domain", "suffix").agg(F.array(*[F.sum(F.col("own")[i]) for i in range(n)]).alias("site_c"), F.count("*").alias("site_n")), "sites")
+    # (row, host) with the number of pages there; a document without pages stands for one
+    hosts = evidence.groupBy(F.col("doc_id").alias("_doc"), "host").agg(F.sum("n").alias("n"))
+    shown = rows.select("row", "doc_id", "elsewhere", "pages", "own").join(hosts, F.col("doc_id") == F.col("_doc"), "left")
+    domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2)))
+    site = F.coalesce("host", "elsewhere")
+    shown = cut(shown.select("row", "pages", "own", F.coalesce("n", F.lit(1)).alias("n"), site.alias("site"), F.coalesce(domain, site).alias("domain"), suffix.alias("suffix")), "shown")
+    chain = cut(shown.groupBy("site", "domain", "suffix").agg(F.array(*[F.sum(F.col("own")[i] * F.col("n")) for i in range(n)]).alias("site_c"), F.sum("n").alias("site_n")), "sites")
     up = lambda key: chain.groupBy(key).agg(F.array(*[F.sum(F.col("site_c")[i]) for i in range(n)]).alias(f"{key}_c"), F.sum("site_n").alias(f"{key}_n"))
     chain = chain.join(up("domain"), "domain").join(up("suffix"), "suffix")
     smooth = lambda c, total, above: [(c[i] + k * above[i]) / (total + k) for i in range(n)]
@@ -200,10 +218,12 @@ def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: n
     chain = chain.withColumn("by_suffix", F.array(*by_suffix))
     chain = chain.withColumn("by_domain", F.array(*smooth(F.col("domain_c"), F.col("domain_n"), [F.col("by_suffix")[i] for i in range(n)])))
     chain = cut(chain.select(F.col("site").alias("_site"), F.col("domain").alias("_domain"), F.col("suffix").alias("_suffix"), "site_c", "site_n", "by_domain"), "priors")
-    same = (rows["site"] == chain["_site"]) & (rows["domain"] == chain["_domain"]) & (rows["suffix"] == chain["_suffix"])
-    others = [(F.col("site_c")[i] - F.col("own")[i] + k * F.col("by_domain")[i]) / (F.col("site_n") - 1 + k) for i in range(n)]
-    final = [F.col("local")[i] + F.log(F.greatest(others[i], F.lit(1e-12))) for i in range(n)]
-    out = rows.join(chain, same).withColumn("posterior", _soft(final))
+    same = (shown["site"] == chain["_site"]) & (shown["domain"] == chain["_domain"]) & (shown["suffix"] == chain["_suffix"])
+    others = [(F.col("site_c")[i] - F.col("own")[i] * F.col("n") + k * F.col("by_domain")[i]) / (F.col("site_n") - F.col("n") + k) for i in range(n)]
+    expected = [F.sum(F.col("n") / F.col("pages") * F.log(F.greatest(others[i], F.lit(1e-12)))) for i in range(n)]
+    expected = shown.join(chain, same).groupBy("row").agg(F.array(*expected).alias("expected"))
+    final = [F.col("local")[i] + F.col("expected")[i] for i in range(n)]
+    out = rows.join(expected, "row").withColumn("posterior", _soft(final))
     names = F.array(*[F.lit(x) for x in languages])
     best = lambda of: F.get(names, F.array_position(of, F.array_max(of)).cast("int") - 1)
     return out.select(

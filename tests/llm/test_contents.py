@@ -251,6 +251,22 @@ def test_odd_rows_and_evidence(spark):
     assert all(r.language is None for r in language.identify(odd, told, [], logs[:0]).collect())
 
 
+def test_every_page_of_a_document_counts(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/5", "<html lang='de'>"), (2, "http://b.com/5", "<html lang=DE>"), (3, "http://c.com/5", "<html>"), (4, "http://c.com/x", "")], "page_id long, url string, html string")
+    found = language.page_evidence(pages, page_document()).collect()
+    assert sorted(map(tuple, found), key=repr) == [(5, "a.com", "de"), (5, "b.com", "de"), (5, "c.com", None)]
+    docs = [(i, "the and of that with for this " * 5, "en", "s") for i in range(60)] + [(100 + i, "der die das und nicht mit ist " * 5, "de", "s") for i in range(20)]
+    docs += [(5000, "", None, "s"), (5001, "", None, "s"), (5001, "", None, "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    languages, logs = language.fit(frame, language.LanguageParams())
+    # German documents are shown by a.net and then by b.net; 5000 by a.net only; the last page of 5001 declares nothing
+    told = [(100 + i, h, None) for i in range(20) for h in ("a.net", "b.net")] + [(5000, "a.net", None), (5001, "x.org", "de"), (5001, "y.org", "de"), (5001, "z.org", None)]
+    got = language.identify(frame, spark.createDataFrame(told, "doc_id long, host string, declared string"), languages, logs).collect()
+    assert len(got) == len(docs)
+    assert all(r.language == ("en" if r.doc_id < 60 else "de") for r in got)
+    assert {r.declared for r in got if r.doc_id == 5001} == {"de"}
+
+
 def test_registered_query_covers_all_documents(spark):
     sf = "/root/testdata/sf0.001"
     assert op8_language_id(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
