@@ -1,7 +1,8 @@
 """URL filters: explicit rules, then a path-template tree of each host.
 
 Paths become templates segment by segment: digits turn into ``#``, and a
-segment that few of its siblings' pages have becomes a wildcard. Leaves of
+segment that few of its siblings' pages have becomes a wildcard, unless it has
+labels enough to be tested. Leaves of
 one parent whose rates of bad labels don't differ significantly from their
 siblings' merge into one template. A template is rejected if its share of bad
 labels, smoothed towards its host's and that towards the overall share, reaches a
@@ -47,9 +48,11 @@ RULES = (
 @dataclass(frozen=True)
 class TreeParams:
     depth: int = 3
-    #: A segment stays itself with so many pages and so many percent of its parent's.
+    #: A segment stays itself with so many pages and so many percent of its parent's,
+    #: or, whatever its share, with so many labels (then they outweigh the prior's).
     least_pages: int = 2
     least_percent: int = 5
+    least_labels: int = 5
     #: Standard errors by which a leaf must differ from its siblings to stay apart.
     apart: float = 1.96
     #: Labels that a prior counts for, and the share of bad labels that rejects.
@@ -85,9 +88,10 @@ def template_verdicts(shapes: DataFrame, p: TreeParams) -> DataFrame:
     for d in range(p.depth + 1):
         segment = F.coalesce(F.get("shape", F.lit(d)), F.lit(""))
         tree = tree.withColumn("segment", segment)
-        child = tree.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("pages"))
+        child = tree.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("pages"), F.sum("labels").alias("marked"))
         parent = child.groupBy("host", "prefix").agg(F.sum("pages").alias("all"))
-        own = (F.col("pages") >= p.least_pages) & (100 * F.col("pages") >= p.least_percent * F.col("all"))
+        common = 100 * F.col("pages") >= p.least_percent * F.col("all")
+        own = (F.col("pages") >= p.least_pages) & (common | (F.col("marked") >= p.least_labels))
         literal = child.join(parent, ["host", "prefix"]).where(own).select("host", "prefix", "segment", F.lit(True).alias("own"))
         next_one = F.when(F.col("segment") == "", "").when(F.col("own"), F.concat(F.lit("/"), "segment")).otherwise("/*")
         tree = tree.join(literal, ["host", "prefix", "segment"], "left").withColumn("last", next_one)

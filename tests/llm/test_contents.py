@@ -223,6 +223,14 @@ def test_templates_reject_bad_branches(spark):
     assert len(templates) < 4  # alike branches share one
 
 
+def test_bad_sections_of_a_branched_host_are_rejected(spark):
+    rows = [(i, f"http://hot.net/section{chr(97 + i % 26)}{chr(97 + i % 31)}/{i}.html") for i in range(26 * 31 * 4)]  # 806 even sections
+    rows = [(i, u.replace("/section", "/s") if i % 26 else f"http://hot.net/spam/{i}.html") for i, u in rows]  # 4 percent
+    marks = [(i, i % 26 == 0) for i in range(len(rows)) if i % 2 == 0]
+    found = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad boolean")).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == {i for i in range(len(rows)) if i % 26 == 0}
+
+
 # --- languages --------------------------------------------------------------
 
 
