@@ -9,10 +9,12 @@
 3. Of each band bucket only pairs with its smallest member, the head, count:
    first each document with the smallest of its heads, then with heads that
    are not in its component yet. Pairs that the sketches place far below the
-   threshold are dropped; the rest are confirmed on full shingle sets.
+   threshold are dropped; the rest are confirmed on full sets of shingles, as words.
 4. Where a bucket still has members of different components, bounded blocks of
    members meet in memory: pairs across components that sketches don't rule
-   out are confirmed there, and only links leave the task.
+   out are confirmed there, and only links leave the task. Members of buckets
+   larger than a block are first keyed anew, by the rarest shingles of each: linked
+   sets share one of these, and texts that share a common part only do not.
 5. Components of the confirmed links give the classes.
 
 Links are lost only by chance: a pair at the threshold shares no band with
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components, composed
 from .shared import cut, mark, release
-from .wordhash import U64, Words, buffers, mix, slices, trim, windows
+from .wordhash import U64, Words, buffers, mix, slices, trim, window_names
 
 _LONG = pa.list_(pa.int64())
 
@@ -51,8 +53,10 @@ class NearDupParams:
     sketch_bits: int = 2048
     sigmas: float = 5.5
     seed: int = 20240229
-    #: Members of a bucket that meet in memory at once (pairs of blocks beyond).
+    #: Members of a bucket that meet in memory at once.
     block: int = 1024
+    #: Cells in which the frequency of shingles is counted (any order of shingles is right, a good one is quick).
+    cells: int = 1 << 20
 
     @property
     def bands(self) -> int:
@@ -98,35 +102,56 @@ def sketch(own: np.ndarray, p: NearDupParams) -> tuple[int, np.ndarray]:
     return len(least), np.packbits(parity.astype(bool), bitorder="little").view("<i8")
 
 
-def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of a batch in row order, and where each row's begin."""
+def _shingles(column: pa.Array, k: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Shingle names of a batch in row order (two halves), and where each row's begin."""
     data, offsets = buffers(column)
     w = Words(data, offsets)
     n = len(w.starts)
-    hashes = w.hashes(lower=True)
-    value = np.zeros(n, U64)
+    names = w.names(lower=True)
+    value = np.zeros((2, n), U64)
     use = w.window_starts(k)
-    full = windows(hashes, k)
-    value[: len(full)] = full
+    full = window_names(names, k)
+    value[:, : len(full[0])] = full
     for size in range(1, k):  # fewer words than a shingle: the whole sequence is one
         at = w.first[:-1][w.counts == size]
         if len(at):
-            value[at] = windows(hashes, size)[at] ^ U64(size)
+            value[:, at] = np.stack(window_names(names, size))[:, at] ^ U64(size)
             use[at] = True
     begin = np.concatenate(([0], np.cumsum(use)))[w.first]
-    return value[use], begin
+    return (value[0, use], value[1, use]), begin
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names of a row, sorted."""
+    order = np.argsort(high)
+    x, y = high[order], low[order]
+    same = x[1:] == x[:-1]
+    if (y[1:][same] != y[:-1][same]).any():  # different names with equal first halves
+        order = np.lexsort((low, high))
+        x, y = high[order], low[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    new = np.concatenate(([True], ~same))
+    return x[new], y[new]
+
+
+def word_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words; one of fewer words, but not none, is one shingle."""
+    words = text.lower().split()  # of bytes: A-Z, and ASCII space as in SPACE
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*[words[i:] for i in range(k)], strict=False))
 
 
 def _records(column: pa.Array, p: NearDupParams) -> list[pa.Array]:
-    found, begin = _shingles(column, p.shingle)
+    (found, low), begin = _shingles(column, p.shingle)
     rows, k = len(column), p.rows * p.bands
     counts, digests, bins, sketches = np.zeros(rows, np.int64), [None] * rows, np.zeros(rows, np.int64), [None] * rows
     for i in range(rows):
         if begin[i] < begin[i + 1]:
-            own = np.unique(found[begin[i] : begin[i + 1]])
-            counts[i] = len(own)
-            digests[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            bins[i], sketches[i] = sketch(own, p)
+            own = _distinct(found[begin[i] : begin[i + 1]], low[begin[i] : begin[i + 1]])
+            counts[i] = len(own[0])
+            digests[i] = hashlib.blake2b(own[0].tobytes() + own[1].tobytes(), digest_size=16).digest()
+            bins[i], sketches[i] = sketch(own[0], p)
     full = np.flatnonzero(counts)
     keys = np.zeros((len(full), p.bands), U64)
     rng = np.random.default_rng(p.seed)
@@ -160,21 +185,6 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, own): the sorted set of shingle hashes of the rows named in ``ids``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                found, begin = _shingles(batch.column("text").slice(a, b - a), k)
-                own = [np.unique(found[begin[i] : begin[i + 1]]).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(own, pa.binary())], names=["doc_id", "own"])
-        trim()
-
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    return wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary")
-
-
 def _possible(p: NearDupParams):
     """By size (intersection / union is at most smaller / larger), and by sketch."""
     sizes = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
@@ -198,14 +208,15 @@ class _Graph:
         self.docs, self.p = docs, p
         spark = docs.sparkSession
         self.links = self.tested = spark.createDataFrame([], "a long, b long")
-        self.sets = spark.createDataFrame([], "doc_id long, own binary")
+        self.texts = spark.createDataFrame([], "doc_id long, text string")
         self.found = spark.createDataFrame([], "v long, component long")
 
     def fetch(self, ids: DataFrame, name: str) -> None:
-        """Makes sure that ``sets`` has these documents."""
-        more = cut(ids.join(self.sets, "doc_id", "left_anti"), f"{name}-ids")
+        """Makes sure that ``texts`` has these documents."""
+        more = cut(ids.join(self.texts, "doc_id", "left_anti"), f"{name}-ids")
         if more.limit(1).count():
-            self.sets = self.sets.union(cut(shingle_sets(self.docs, more, self.p.shingle), f"{name}-sets"))
+            found = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(more, "doc_id")
+            self.texts = self.texts.union(cut(found.where("text is not null").select("doc_id", "text"), f"{name}-texts"))
 
     def confirm(self, pairs: DataFrame, name: str) -> None:
         """Checks pairs on their full sets."""
@@ -213,7 +224,7 @@ class _Graph:
         if pairs.limit(1).count():
             self.fetch(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), name)
             self.tested = self.tested.union(pairs)
-            self.add(_confirmed(pairs, self.sets, self.p), name)
+            self.add(_confirmed(pairs, self.texts, self.p), name)
 
     def add(self, links: DataFrame, name: str) -> None:
         new = cut(links, f"{name}-links")
@@ -231,32 +242,84 @@ class _Graph:
         return rows.join(found, of, "left").withColumn(name, F.coalesce("_component", of)).drop("_component")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, set()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-                keep.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), p))
+            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                x, raw = word_shingles(a.as_buffer().to_pybytes(), p.shingle), b.as_buffer().to_pybytes()
+                if raw != last:  # rows come in the order of b
+                    last, y = raw, word_shingles(raw, p.shingle)
+                keep.append(_linked(len(x & y), len(x), len(y), p))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
         trim()
 
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}"))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _rekeyed(wide: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(key, doc_id): the rarest shingles of each of these documents, so many that linked ones share one.
+
+    Linked sets have at least the share ``percent`` of each in common, so one of the
+    first n - ceil(percent * n) + 1 shingles of both, in any order that is the same for all. Rare
+    ones come first: a text brings about (1 - percent) of its shingles, and those
+    that nobody else has meet nobody.
+    """
+    spark = wide.sparkSession
+    rows = texts.join(wide.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p.cells, np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                total += np.bincount((_shingles(batch.column("text").slice(a, b - a), p.shingle)[0][0] % U64(p.cells)).astype(np.int64), minlength=p.cells)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        trim()
+
+    often = np.zeros(p.cells, np.int64)
+    sums = rows.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()  # at most ``cells`` rows
+    model = spark.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = model.value
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                (found, _), begin = _shingles(batch.column("text").slice(a, b - a), p.shingle)
+                ids, keys = [], [np.zeros(0, U64)]
+                for i in range(b - a):
+                    own = np.unique(found[begin[i] : begin[i + 1]])
+                    n = len(own) - -(-p.percent * len(own) // 100) + 1 if len(own) else 0
+                    keys.append(own[np.argsort(frequency[(own % U64(p.cells)).astype(np.int64)], kind="stable")[:n]])
+                    ids.append(n)
+                ids = batch.column("doc_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids], names=["key", "doc_id"])
+        trim()
+
+    return rows.mapInArrow(rarest, "key long, doc_id long").distinct()
+
+
 def _dealt(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """Members of buckets, in pairs of blocks (key, low, high) of bounded size.
 
     A bucket of more than ``block`` members is dealt into blocks by id, and each
     pair of blocks is a group of its own: no task holds more of a bucket.
     """
-    rows = rows.where(F.array_contains("bands", F.col("key")))  # a doc_id of several texts has several band lists
     n = F.ceil(F.col("size") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, doc_id, component) of keys that have several components, with the ``size`` of each key."""
+    keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y")
+    return members.join(cut(keys.select("key", "size"), "mixed"), "key")
+
+
 class _Members:
     """A pair of blocks of one bucket in memory."""
 
@@ -266,7 +329,8 @@ class _Members:
         self.comp = self.comp.copy()  # links found here join components here
         self.flat = np.stack(group.column("sketch").to_numpy()).view(U64)
         self.bands = np.stack(group.column("bands").to_numpy())
-        self.band = int(np.flatnonzero(self.bands[0] == group.column("key")[0].as_py())[0])
+        same = np.flatnonzero(self.bands[0] == group.column("key")[0].as_py())
+        self.band = int(same[0]) if len(same) and not group.column("anew")[0].as_py() else 0
         self.two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
 
     def partners(self, i: int) -> np.ndarray:
@@ -297,19 +361,29 @@ def _in_play(dealt: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _across(dealt: DataFrame, p: NearDupParams) -> DataFrame:
-    """Links across components of a bucket, confirmed on the sets (``own``) that the members bring.
+    """Links across components of a bucket, confirmed on the texts that the members bring.
 
     Pairs never leave the task; once a link has joined two components, they need no other.
     """
 
     def run(group: pa.Table) -> pa.Table:
         found = _Members(group, p)
-        sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("own")]
+        texts = group.column("text").combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        (names, _), begin = _shingles(texts, p.shingle)
+        sets = [np.unique(names[begin[i] : begin[i + 1]]) for i in range(group.num_rows)]
         a, b = [], []
         for i in range(group.num_rows):
-            at = found.partners(i)
+            at, words = found.partners(i), None
             while len(at):
-                if _linked(sets[i], sets[at[0]], p):
+                both = np.concatenate((sets[i], sets[at[0]]))
+                both.sort()
+                linked = _linked(int((both[1:] == both[:-1]).sum()), len(sets[i]), len(sets[at[0]]), p)
+                if linked:  # by hashes: now by words
+                    words = words or word_shingles(texts[i].as_buffer().to_pybytes(), p.shingle)
+                    other = word_shingles(texts[at[0]].as_buffer().to_pybytes(), p.shingle)
+                    linked = _linked(len(words & other), len(words), len(other), p)
+                if linked:
                     a.append(found.ids[i])
                     b.append(found.ids[at[0]])
                     found.comp[found.comp == found.comp[at[0]]] = found.comp[i]
@@ -321,11 +395,8 @@ def _across(dealt: DataFrame, p: NearDupParams) -> DataFrame:
     return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def _linked(x: np.ndarray, y: np.ndarray, p: NearDupParams) -> bool:
-    both = np.concatenate((x, y))
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= p.percent * (len(both) - common)
+def _linked(common: int, n_a: int, n_b: int, p: NearDupParams) -> bool:
+    return 100 * common >= p.percent * (n_a + n_b - common)
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -358,14 +429,21 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     apart = graph.label(graph.label(stars, "a", "x"), "b", "y").where("x <> y").select("a", "b")
     graph.confirm(_filtered(apart.join(graph.tested, ["a", "b"], "left_anti"), own, p), "stars")
 
-    members = graph.label(rows.join(heads.select("key", "size"), "key"), "doc_id", "component")
-    members = cut(members.select("key", "size", "doc_id", "component"), "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = members.join(cut(mixed, "mixed"), "key").join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
+    # a doc_id of several texts has several band lists, and is a member by each of its keys
+    members = graph.label(rows.join(heads.select("key"), "key").distinct(), "doc_id", "component")
+    left = cut(_mixed(cut(members, "members")), "mixed-members")
+    wide = left.where(F.col("size") > p.block)
+    left = left.where(F.col("size") <= p.block).withColumn("anew", F.lit(False))
+    if wide.limit(1).count():
+        graph.fetch(wide.select("doc_id").distinct(), "wide")
+        again = graph.label(_rekeyed(wide, graph.texts, p), "doc_id", "component")
+        left = left.union(_mixed(cut(again, "anew")).withColumn("anew", F.lit(True)).select(left.columns))
+    left = left.join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
+    left = left.where(F.col("anew") | F.array_contains("bands", F.col("key")))
     play = cut(_in_play(_dealt(left, p), p), "play")
     if play.limit(1).count():
         graph.fetch(play.select("doc_id").distinct(), "across")
-        brought = _dealt(left, p).join(play, ["key", "low", "high", "doc_id"]).join(graph.sets, "doc_id")
+        brought = _dealt(left, p).join(play.distinct(), ["key", "low", "high", "doc_id"]).join(graph.texts, "doc_id")
         graph.add(_across(brought, p), "across")
 
     same = nodes.groupBy("doc_id").agg(F.min("rep").alias("lowest"), F.max("rep").alias("highest")).where("lowest < highest")
@@ -379,6 +457,18 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
 
 
 def keep_first(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with their own columns."""
-    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"])).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stand for their group, with their own columns.
+
+    One document a group stays. Of rows that share its doc_id and text one stays;
+    rows with another text under that doc_id are part of it and stay. Rows without a doc_id
+    are not compared and all stay. Null texts, empty texts and texts without words are
+    groups of their own; other columns may have any name; an empty table gives no rows.
+    """
+    kept = near_duplicates(docs, p).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
+    kept = cut(kept, "kept")
+    found = docs.join(kept, docs["doc_id"] == kept["_kept_id"])
+    own = [docs[c] for c in docs.columns]
+    out = found.where("_kept_rows = 1").select(*own).union(docs.where(F.col("doc_id").isNull()))
+    if kept.where("_kept_rows > 1").limit(1).count():
+        out = out.union(found.where("_kept_rows > 1").select(*own).dropDuplicates(["doc_id", "text"]))
+    return out

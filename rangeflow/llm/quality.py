@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .shared import disguised
-from .wordhash import SPACE, U64, Words, buffers, covered, mix, slices, trim, windows
+from .wordhash import SPACE, U64, Words, buffers, covered, mix, slices, trim, window_names
 
 #: Bytes from which a band holds, lowest ratio, highest ratio. From 32 to 32,768 bytes these are
 #: :func:`fitted_bands` of the 3,330 documents of sf0.1 that are labelled clean and pass the base rule.
@@ -115,7 +115,7 @@ def _repeat_words(w: Words, k: int) -> np.ndarray:
     row = w.row_of_word()
     ok = w.window_starts(k)
     at = np.flatnonzero(ok)
-    names = [windows(w.hashes(f), k, f)[at] ^ mix(row[at].astype(U64) + U64(f)) for f in (0, 1)]
+    names = [name[at] ^ mix(row[at].astype(U64) + U64(i)) for i, name in enumerate(window_names(w.names(), k))]
     order = np.lexsort((names[1], names[0]))
     a, b = names[0][order], names[1][order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])

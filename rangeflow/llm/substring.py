@@ -11,8 +11,8 @@ same offset, and where no anchor repeats no window does. Repeated anchors
 extend to the full windows around them, which get 128-bit names; the first
 holder of each name keeps it.
 
-Documents are dealt into blocks by their id. A block sends each name once, in
-packed arrays for a bucket of names, and hears back which of them others have:
+Documents are dealt into blocks of bounded bytes by their id and text. A block sends each
+name once, in packed arrays for a bucket of names, and hears back which of them others have:
 the traffic of a name is one entry for each block, however often it occurs, and no
 group of occurrences meets in a task. The three passes over the blocks read
 one and the same shuffle of the texts.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import shuffle_partitions
-from .wordhash import U64, Words, buffers, covered, slices, windows
+from .wordhash import U64, Words, buffers, covered, slices, window_names
 
 #: Difference covers: every residue modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -39,7 +39,7 @@ NO_ID = np.iinfo(np.int64).max
 #: A block is told of its own windows, among which 80 bits of a name are enough.
 SHORT = U64(0xFFFF)
 #: ``first`` of an anchor says whether its block has it twice; of a window it numbers the
-#: block's ``ids``, which holds the first document of each name.
+#: block's ``ids``, which holds the first document of each name (id, and place among equal ids).
 _NAMES = "bucket int, block int, high binary, low binary, first binary, ids binary"
 
 
@@ -47,11 +47,13 @@ _NAMES = "bucket int, block int, high binary, low binary, first binary, ids bina
 class SubstringParams:
     window: int = 20
     period: int = 13
-    #: Blocks for each shuffle partition: even loads need a few.
+    #: Blocks for each shuffle partition: even loads need a few, and larger inputs more.
     blocks_per_partition: int = 8
+    block_bytes: int = 32 << 20
     #: Shuffle partitions for each bucket of names. Every block sends a row to
-    #: every bucket, so buckets are as few as their memory allows.
+    #: every bucket, so buckets are as few as their memory allows: one for this much text.
     partitions_per_bucket: int = 3
+    bucket_bytes: int = 128 << 20
 
     @property
     def anchor(self) -> int:
@@ -65,7 +67,8 @@ class _Block:
         self.data, self.offsets = buffers(column)
         self.words, self.p = Words(self.data, self.offsets), p
         self.valid = self.words.window_starts(p.window)
-        self.hashes = [self.words.hashes(0), None]
+        self.halves = self.words.names()
+        self._names = None
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Names and word numbers of the anchors in rows that have a window."""
@@ -78,7 +81,7 @@ class _Block:
         in_cover[list(COVERS[p.period])] = True
         long_row = np.repeat(w.counts >= p.window, w.counts)
         at = np.flatnonzero((in_cover[place % p.period] & long_row & w.window_starts(p.anchor))[:n])
-        return windows(self.hashes[0], p.anchor)[at], at
+        return window_names(self.halves[:1], p.anchor)[0][at], at
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold one of the anchors at the given words."""
@@ -92,24 +95,29 @@ class _Block:
         """128-bit names of the windows at ``starts``."""
         if not len(starts):
             return np.zeros(0, U64), np.zeros(0, U64)
-        if self.hashes[1] is None:
-            self.hashes[1] = self.words.hashes(1)
-        return tuple(windows(h, self.p.window, f)[starts] for f, h in enumerate(self.hashes))
+        if self._names is None:
+            self._names = window_names(self.halves, self.p.window)
+        return self._names[0][starts], self._names[1][starts]
 
 
 def _ordered(block: pa.Table) -> pa.Table:
-    """Rows by id, null ids last, then by text: the order in which windows count as earlier."""
-    return block.select(["doc_id", "text"]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """Rows by id, null ids last, then by place: the order in which windows count as earlier."""
+    keys = ("doc_id", "place", "text")
+    return block.select(list(keys)).combine_chunks().sort_by([(c, "ascending") for c in keys])
 
 
 def _parts(table: pa.Table, p: SubstringParams):
-    """Slices of the ordered block: ids, and their words."""
+    """Slices of the ordered block: numbers of their first rows, and their words."""
     column = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    ids = table.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False) if table.num_rows else []
     for a, b in slices(column):
-        yield np.asarray(ids[a:b]), _Block(column.slice(a, b - a), p)
+        yield a, _Block(column.slice(a, b - a), p)
+
+
+def _places(table: pa.Table) -> np.ndarray:
+    """(id, place) of each row; the least is the earliest."""
+    return np.stack([table.column(c).fill_null(NO_ID).to_numpy() for c in ("doc_id", "place")], axis=1)
 
 
 def _unpack(table: pa.Table, name: str, kind=U64) -> np.ndarray:
@@ -117,7 +125,7 @@ def _unpack(table: pa.Table, name: str, kind=U64) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def _send(block: int, high: np.ndarray, low: np.ndarray | None, first: np.ndarray, buckets: int) -> pa.Table:
+def _send(block: int, high: np.ndarray, low: np.ndarray | None, first: np.ndarray, buckets: int, places: np.ndarray | None = None) -> pa.Table:
     """Names, sorted, as one row for each bucket."""
     bucket = ((high >> U64(33)) % U64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -125,7 +133,7 @@ def _send(block: int, high: np.ndarray, low: np.ndarray | None, first: np.ndarra
     groups = np.split(order, cuts) if len(order) else []
     firsts, ids = [first[g].tobytes() for g in groups], [None] * len(groups)
     if low is not None:
-        firsts, ids = zip(*[_numbered(first[g]) for g in groups], strict=True) if groups else ([], [])
+        firsts, ids = zip(*[_numbered(first[g], places) for g in groups], strict=True) if groups else ([], [])
     return pa.table(
         {
             "bucket": pa.array([bucket[g[0]] for g in groups], pa.int32()),
@@ -138,17 +146,17 @@ def _send(block: int, high: np.ndarray, low: np.ndarray | None, first: np.ndarra
     )
 
 
-def _numbered(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Long values as short numbers of the distinct ones."""
-    distinct, at = np.unique(values, return_inverse=True)
-    return at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32).tobytes(), distinct.tobytes()
+def _numbered(rows: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows as short numbers of the distinct ones, and the places of these."""
+    distinct, at = np.unique(rows, return_inverse=True)
+    return at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32).tobytes(), places[distinct].tobytes()
 
 
 def _firsts(table: pa.Table) -> np.ndarray:
-    """What :func:`_numbered` was given, of all rows."""
-    out = [np.zeros(0, np.int64)]
+    """The places of what :func:`_numbered` was given, of all rows."""
+    out = [np.zeros((0, 2), np.int64)]
     for number, ids in zip(table.column("first"), table.column("ids"), strict=True):
-        distinct = np.frombuffer(ids.as_buffer(), np.int64)
+        distinct = np.frombuffer(ids.as_buffer(), np.int64).reshape(-1, 2)
         out.append(distinct[np.frombuffer(number.as_buffer(), np.uint16 if len(distinct) <= 1 << 16 else np.uint32)])
     return np.concatenate(out)
 
@@ -186,16 +194,20 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
 
     docs has ``doc_id`` (integers) and ``text``; other columns are ignored. A
     null text has no words. Rows that share a doc_id, or have none, are
-    ordered by text among themselves (rows without an id come last); of
+    ordered among themselves by Spark's ``xxhash64`` of the text, then by the text (rows without
+    an id come last), so that no id keeps its rows together; of
     repeated rows the first keeps its words. Texts shorter than a window are
-    returned whole. An empty table gives no rows.
+    returned whole. An empty table gives no rows. The size of the texts is
+    summed first, so that blocks and buckets hold bounded bytes at any size.
     """
     if p.period not in COVERS or p.window < p.period:
         raise ValueError("no difference cover for this period, or the window is too short")
     partitions = shuffle_partitions(docs.sparkSession)
-    n_blocks, buckets = partitions * p.blocks_per_partition, max(8, partitions // p.partitions_per_bucket)
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_blocks = max(partitions * p.blocks_per_partition, -(-total // p.block_bytes))
+    buckets = max(8, partitions // p.partitions_per_bucket, -(-total // p.bucket_bytes))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", F.xxhash64("text"))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "place"), F.lit(n_blocks)).cast("int")).groupBy("block")
 
     def anchors(group: pa.Table) -> pa.Table:
         found = [b.anchors()[0] for _, b in _parts(_ordered(group), p)]
@@ -225,24 +237,24 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), with
     def extend(group: pa.Table, reply: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _send(0, np.zeros(0, U64), None, np.zeros(0, np.int64), buckets)
-        again = np.sort(_unpack(reply, "high"))
+        again, table = np.sort(_unpack(reply, "high")), _ordered(group)
         high, low, first = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for ids, b in _parts(_ordered(group), p) if len(again) else ():
+        for row, b in _parts(table, p) if len(again) else ():
             names, at = b.anchors()
             starts = b.around(at[_member(names, again)])
             h, w = b.names(starts)
             high.append(h)
             low.append(w)
-            first.append(ids[b.words.row_of_word()[starts]])
+            first.append(row + b.words.row_of_word()[starts])
         high, low = np.concatenate(high), np.concatenate(low)
-        at = _first_of_each(high, low)  # rows are in the order of ids: the first has the smallest
-        return _send(group.column("block")[0].as_py(), high[at], low[at], np.concatenate(first)[at], buckets)
+        at = _first_of_each(high, low)  # rows are in order: the first is the earliest
+        return _send(group.column("block")[0].as_py(), high[at], low[at], np.concatenate(first)[at], buckets, _places(table))
 
     def later(group: pa.Table) -> pa.Table:
         """For each block: which of its windows start earlier in another block."""
         own = [np.frombuffer(x.as_buffer(), U64) for x in group.column("high")]
         high, low, first = np.concatenate(own), _unpack(group, "low"), _firsts(group)
-        order = np.lexsort((first, low, high))
+        order = np.lexsort((first[:, 1], first[:, 0], low, high))
         same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
         lost = np.zeros(len(high), bool)
         lost[order[1:][same]] = True

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Two unrelated families; together they make 128-bit names.
-FAMILIES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: Odd numbers for the rounds and joins below.
+ROUNDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Bytes that a word may have to be its own name; longer ones are named by a keyed digest.
+SHORT_WORD = 15
+DIGEST_KEY = b"rangeflow words"
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 #: Bytes of text that one vectorised step holds.
 STEP_BYTES = 1 << 20
@@ -113,23 +118,25 @@ class Words:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, family: int = 0, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, U64)
+    def names(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit names of the words, as two halves.
+
+        A word of up to 15 bytes is a number (its bytes and their count) that a bijection
+        spreads, so two of them never share a name. Longer ones have a keyed BLAKE2b digest.
+        """
+        n = len(self.data)
         lens = self.ends - self.starts
-        begin = np.cumsum(lens) - lens
-        inside = np.arange(int(lens.sum())) - np.repeat(begin, lens)
-        chars = self.data[inside + np.repeat(self.starts, lens)]
-        if lower:
-            chars = LOWER[chars]
-        power = np.ones(int(lens.max()), U64)
-        power[1:] = U64(FAMILIES[family][0])
-        np.multiply.accumulate(power, out=power)
-        value = chars.astype(U64)
-        value += U64(1)
-        value *= power[inside]
-        return mix(np.add.reduceat(value, begin) + lens.astype(U64) * U64(FAMILIES[family][1]))
+        padded = np.zeros(n + 16, np.uint8)
+        padded[:n] = LOWER[self.data] if lower else self.data
+        eight = np.ndarray((n + 9,), "<u8", padded, strides=(1,))
+        x = eight[self.starts] & _LOW_BYTES[np.minimum(lens, 8)]
+        y = eight[self.starts + 8] & _LOW_BYTES[np.clip(lens - 8, 0, 7)] | np.minimum(lens, 16).astype(U64) << U64(56)
+        for key in ROUNDS:
+            x, y = y, x ^ mix(y ^ key)
+        for i in np.flatnonzero(lens > SHORT_WORD):
+            word = padded[self.starts[i] : self.ends[i]]
+            x[i], y[i] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=DIGEST_KEY).digest(), "<u8")
+        return x, y
 
     def window_starts(self, k: int) -> np.ndarray:
         """Whether a window of k words of one row starts at each word."""
@@ -137,25 +144,38 @@ class Words:
         return np.arange(len(end)) + k <= end
 
 
-def windows(hashes: np.ndarray, k: int, family: int = 0) -> np.ndarray:
-    """A hash of the k words from each position on (shorter by k - 1 than the input).
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Names of runs of words from the names of their two parts.
+
+    The halves go through a mixing step each time, so that no pattern of
+    repeated words cancels out (as it does in polynomials modulo 2^64).
+    """
+    x = [mix(u * key + v) for u, v, key in zip(a, b, ROUNDS[1:], strict=False)]
+    if len(x) == 2:
+        x[0] ^= mix(x[1] + ROUNDS[0])
+        x[1] ^= mix(x[0] + ROUNDS[3])
+    return tuple(x)
+
+
+def window_names(parts: tuple, k: int) -> tuple:
+    """Names of the k words from each position on (shorter by k - 1 than the input).
 
-    Windows double in length, so that k words take about 2 log k passes.
+    ``parts`` are halves of the words' names, one or both. Windows double in
+    length, so that k words take about 2 log k passes.
     """
-    n = len(hashes) - k + 1
+    n = len(parts[0]) - k + 1
     if n <= 0:
-        return np.zeros(0, U64)
-    factor = FAMILIES[family][1]
-    out, done, piece, size = None, 0, hashes, 1
-    while done < k:
+        return tuple(np.zeros(0, U64) for _ in parts)
+    out, done, piece, size = None, 0, parts, 1
+    while True:
         if k & size:
-            part = piece[done : done + n]
-            out = part.copy() if out is None else out * U64(pow(factor, size, 1 << 64)) + part
+            part = tuple(x[done : done + n] for x in piece)
+            out = part if out is None else _joined(out, part)
             done += size
-        if done < k:
-            piece = piece[:-size] * U64(pow(factor, size, 1 << 64)) + piece[size:]
-            size *= 2
-    return mix(out)
+        if done == k:
+            return out
+        piece = _joined(tuple(x[:-size] for x in piece), tuple(x[size:] for x in piece))
+        size *= 2
 
 
 def covered(flags: np.ndarray, k: int) -> np.ndarray:

@@ -1,11 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from rangeflow.llm import neardup
 from rangeflow.llm.components import components
-from rangeflow.llm.neardup import NearDupParams, most_bits, near_duplicates, sketch
+from rangeflow.llm.neardup import NearDupParams, keep_first, most_bits, near_duplicates, sketch
 from rangeflow.llm.oracle import near_duplicates as oracle
+from rangeflow.llm.wordhash import Words, buffers
 from tests.llm.test_pipeline import sets
 
 SCHEMA = "doc_id long, text string, key long, sketch string"
@@ -48,6 +51,54 @@ def test_against_brute_force(spark, p):
     assert sorted(map(tuple, near_duplicates(docs, p).collect()), key=repr) == brute(rows, p)
 
 
+def thue_morse(n, zero, one):
+    return "".join((zero, one)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("p", [NearDupParams(), NearDupParams(shingle=3, percent=85)])
+def test_words_that_cancel_out_in_polynomials_differ(spark, p):
+    rows = [(i, thue_morse(n, *x)) for i, (n, x) in enumerate((n, x) for n in (64, 1024, 4096) for x in ("ab", "ba"))]
+    rows += [(10, thue_morse(32, "x ", "y ")), (11, thue_morse(32, "y ", "x ")), (12, "a\0"), (13, "a"), (14, "A")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert sorted(map(tuple, near_duplicates(docs, p).collect()), key=repr) == brute(rows, p)
+
+
+def test_short_words_have_names_of_their_own():
+    words = [f"{i:x}" for i in range(200000)] + ["a\0", "a", "aaaaaaaa", "aaaaaaaa\0", "aaaaaaaab", "é", "z" * 15, "z" * 16, "z" * 17]
+    data, offsets = buffers(pa.array([" ".join(words)]))
+    names = Words(data, offsets).names()
+    assert len(set(zip(*(x.tolist() for x in names), strict=True))) == len(set(words))
+
+
+def test_large_buckets_of_texts_below_the_threshold_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts with a common part of 88 percent of their words: bands meet, no two are linked, and a few pairs are."""
+    p, rng = NearDupParams(block=64), random.Random(9)
+    common = [f"c{i}" for i in range(176)]
+    rows = [(i, " ".join(common + [f"u{rng.randrange(10**9)}" for _ in range(24)])) for i in range(1500)]
+    for i in range(0, 60, 2):  # pairs that are linked, with each other only
+        words = rows[i][1].split()
+        rows.append((5000 + i, " ".join([*words[:-2], "v1", "v2"])))
+    rows = [(i, t) for i, t in rows]
+    copies, inner = [], neardup._dealt
+
+    def counted(left, p):
+        out = inner(left, p)
+        copies.append(out.groupBy("doc_id").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, NearDupParams(percent=90, block=64)).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert max(copies) <= 21  # 0.1 n + 1 shingles, not bands times blocks
+
+
+def test_rows_that_repeat_stay_once(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x"), (None, "x"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert sorted((tuple(r)[:2] for r in keep_first(docs).collect()), key=repr) == sorted([rows[0], (None, "x"), (None, "x"), (3, None), (4, "")], key=repr)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

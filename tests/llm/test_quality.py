@@ -55,6 +55,8 @@ TEXTS = [
     "\n".join(f"line {i % 3}" for i in range(50)),
     "abcdefghij" * 4000 + " a b c d e f g h i j k",
     "é" * 100000,
+    " ".join("ab"[bin(i).count("1") % 2] for i in range(64)) + " " + " ".join("ba"[bin(i).count("1") % 2] for i in range(64)),
+    "".join("ab"[bin(i).count("1") % 2] for i in range(1024)) + " b c d e f " + "".join("ba"[bin(i).count("1") % 2] for i in range(1024)) + " b c d e g h i j",
 ]
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -12,8 +13,9 @@ SCHEMA = "doc_id long, text string, block int, high binary"
 
 
 def brute(rows, k):
-    """rows: (doc_id, text) in any order; results in the order of ids (none last) and texts."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    """rows: (doc_id, text) in any order; those of one id count in the order of their texts' hashes."""
+    place = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, place(r[1])))
     seen, out = set(), []
     for doc_id, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -62,6 +64,25 @@ def test_small_alphabets(spark, rows):
     assert got(spark, rows, p) == brute(rows, 4)
 
 
+def thue_morse(n, zero, one):
+    return "".join((zero, one)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [20, 1024, 4096])
+def test_words_that_cancel_out_in_polynomials_differ(spark, size):
+    same = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{same} {thue_morse(size, 'a', 'b')}"), (2, f"{same} {thue_morse(size, 'b', 'a')}"), (3, f"{same} a\0"), (4, f"{same} a")]
+    rows += [(5, thue_morse(32, "x ", "y ")), (6, thue_morse(32, "y ", "x "))]
+    assert got(spark, rows, SubstringParams()) == brute(rows, 20)
+
+
+def test_rows_without_an_id_meet_in_many_blocks(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None if i % 3 else 7, f"{rng.random()} {passage} {rng.random()}") for i in range(60)]
+    assert got(spark, rows, SubstringParams(block_bytes=200, bucket_bytes=1000)) == brute(rows, 20)
+
+
 def test_empty_table_and_text(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c d y")], "doc_id long, text string")
