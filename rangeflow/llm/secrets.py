@@ -2,24 +2,26 @@
 
 1. Each rule's regular expression gives a Boolean trigram query
    (:mod:`.trigrams`).
-2. Postings (trigram, document) are made for the trigrams that any query asks
-   for, joined with the clauses of the queries, and intersected for each document and
-   clause: the bits of the trigrams found must make up the clause.
+2. Postings (trigram, document) are made in one pass over the texts for the trigrams
+   that any query asks for, joined with the clauses of the queries, and intersected for
+   each document and clause: the bits of the trigrams found must make up the clause.
 3. Only documents with a satisfied clause are searched with the rule's regular
    expression; rules without mandatory trigrams search all documents.
 
 Places are code points. A match is located from the lengths of what lies
-between matches (``split``) and of the matches themselves, summed by a window.
+between matches (``split``) and of the matches themselves, summed along the
+match array in the document's own row: no row is numbered, exploded or grouped again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .trigrams import trigram_query
+from .shared import cut, disguised
+from .trigrams import one_pass, trigram_query
 
 
 @dataclass(frozen=True)
@@ -54,11 +56,15 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+#: Matches of a text that are summed in one go; more take several, so that time stays in proportion.
+STEP = 256
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint,start_byte:bigint,end_byte:bigint,counts:boolean>>"
+
+
 def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The inverted index, for the given trigrams: (trigram, doc_id)."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]))
-    return low.select(F.explode(found).alias("trigram"), "doc_id")
+    """The inverted index, for the given trigrams: (trigram, doc_id), in one pass over the texts."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(one_pass(vocabulary)), F.lit(1)))
+    return docs.select(F.explode(found).alias("trigram"), "doc_id")
 
 
 def candidates(docs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
@@ -75,8 +81,8 @@ def candidates(docs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     return met.where("bits = full").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("may"))
 
 
-def _matches(rule: SecretRule, order: int, may: Column) -> Column:
-    """Array of matches: gap before, length, and whether it counts."""
+def _matches(rule: SecretRule, may: Column) -> Column:
+    """Array of matches: gap before, length, and whether it counts; null where there are none."""
     pattern = F.lit(rule.pattern)
     zipped = F.arrays_zip(
         F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"),
@@ -85,9 +91,7 @@ def _matches(rule: SecretRule, order: int, may: Column) -> Column:
     )
     each = F.transform(
         F.filter(zipped, lambda x: x["m"].isNotNull()),
-        lambda x, i: F.struct(
-            F.lit(order).alias("kind"),
-            i.alias("nth"),
+        lambda x: F.struct(
             F.length(x["p"]).cast("long").alias("gap"),
             F.octet_length(x["p"]).cast("long").alias("gap_bytes"),
             F.length(x["m"]).cast("long").alias("len"),
@@ -98,40 +102,53 @@ def _matches(rule: SecretRule, order: int, may: Column) -> Column:
     return F.when(may & F.rlike("text", pattern), each)
 
 
-def matches(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """One row a match that counts, and one without a kind for a text that has none.
+def _running(items: str, start: Column, step, shown, kind: str) -> Column:
+    """``shown(state, x)`` of each item x, where ``step`` leads from one state to the next.
+
+    Appending to an array copies it, so items go in steps of ``STEP`` into arrays of their own.
+    """
+
+    def some(acc: Column, at: Column) -> Column:
+        begin = F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("own"), acc["out"].alias("out"))
+        add = lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["own"], F.array(shown(a["state"], x))).alias("own"), a["out"].alias("out"))
+        done = lambda a: F.struct(a["state"].alias("state"), F.concat(a["out"], F.array(a["own"])).alias("out"))
+        return F.aggregate(F.slice(items, at * STEP + 1, F.lit(STEP)), begin, add, done)
+
+    steps = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int"))
+    whole = F.aggregate(steps, F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), some, lambda a: F.flatten(a["out"]))
+    return F.when(F.size(items) > 0, whole).otherwise(F.array().cast(kind))
+
+
+def _placed(items: str, kind: int) -> Column:
+    """Spans of one rule's matches, in code points and bytes."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("byte"))
+    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["len"]).alias("at"), (s["byte"] + x["gap_bytes"] + x["len_bytes"]).alias("byte"))
+    shown = lambda s, x: F.struct(
+        (s["at"] + x["gap"]).alias("start"),
+        F.lit(kind).alias("kind"),
+        (s["at"] + x["gap"] + x["len"]).alias("end"),
+        (s["byte"] + x["gap_bytes"]).alias("start_byte"),
+        (s["byte"] + x["gap_bytes"] + x["len_bytes"]).alias("end_byte"),
+        x["counts"].alias("counts"),
+    )
+    return F.filter(_running(items, zero, step, shown, _SPANS), lambda x: x["counts"])
+
+
+def with_spans(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """``docs`` (doc_id, text and columns of no name used here) with ``all``: the spans that count, in order.
 
-    (row, doc_id, text_md5, kind, start, end, start_byte, end_byte); ``kind``
-    is the rule's number, ``row`` tells repeated rows apart.
+    What the postings leave, a row for each document that may have a match, is written
+    first: Spark then broadcasts it if its size allows, and joins by doc_id if not.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    named = candidates(docs, rules).withColumnRenamed("doc_id", "of_doc")
-    joined = docs.join(named, docs["doc_id"].eqNullSafe(named["of_doc"]), "left")
-    joined = joined.withColumn("row", F.monotonically_increasing_id())  # before matches are exploded
+    named = cut(candidates(docs, rules).withColumnRenamed("doc_id", "of_doc"), "candidates")
+    joined = docs.join(named, docs["doc_id"].eqNullSafe(named["of_doc"]), "left").drop("of_doc")
     may = F.coalesce("may", F.lit(0).cast("long"))
-    found = [
-        _matches(r, i, F.lit(True) if trigram_query(r.pattern) is None else may.bitwiseAND(F.lit(1 << i)) != 0)
+    found = {
+        f"found{i}": _matches(r, F.lit(True) if trigram_query(r.pattern) is None else may.bitwiseAND(F.lit(1 << i)) != 0)
         for i, r in enumerate(rules)
-    ]
-    empty = F.expr("array()")
-    every = F.concat(*[F.coalesce(x, empty) if i else F.coalesce(x, F.filter(x, lambda _: F.lit(False)), empty) for i, x in enumerate(found)])
-    rows = joined.select("row", "doc_id", F.md5("text").alias("text_md5"), F.explode_outer(every).alias("m"))
-    rows = rows.select("row", "doc_id", "text_md5", "m.*").repartition("row")
-    so_far = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end, end_byte = F.sum(F.col("gap") + F.col("len")).over(so_far), F.sum(F.col("gap_bytes") + F.col("len_bytes")).over(so_far)
-    placed = rows.withColumns({"end": end, "end_byte": end_byte})
-    keep = F.coalesce("counts", F.lit(False))
-    blank = lambda c: F.when(keep, c)  # noqa: E731  a text whose matches all fail stays as one without
-    return placed.select(
-        "row",
-        "doc_id",
-        "text_md5",
-        blank(F.col("kind")).alias("kind"),
-        blank(F.col("end") - F.col("len")).alias("start"),
-        blank(F.col("end")).alias("end"),
-        blank(F.col("end_byte") - F.col("len_bytes")).alias("start_byte"),
-        blank(F.col("end_byte")).alias("end_byte"),
-    )
+    }
+    placed = joined.withColumns(found).withColumn("all", F.sort_array(F.concat(*[_placed(f"found{i}", i) for i in range(len(rules))])))
+    return placed.drop("may", *found)
 
 
 def _count(kind: int) -> Column:
@@ -148,8 +165,7 @@ def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, base: i
     rule never overlap, those of different rules may.
     """
     names = F.array(*[F.lit(r.kind) for r in rules])
-    one = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))
-    grouped = matches(docs, rules).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    placed = with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
 
     def listed(of: Column) -> Column:
         show = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])
@@ -157,30 +173,32 @@ def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, base: i
 
     own = F.filter("all", lambda x: x["kind"] < base)
     counts = [_count(i).alias(f"n_{rules[i].kind}") for i in range(base)]
-    return grouped.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+    return placed.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mark`` (overlapping spans become one).
+    """``docs`` with every secret replaced by ``mark`` (overlapping and touching spans become one).
 
-    All rows and columns stay; ``n_chars``, if there, follows the new text.
+    All rows and columns stay, whatever their names; ``n_chars``, if there and text changes,
+    follows the new text. Null texts stay null, empty ones empty; null ids and repeated rows
+    are rows like others; an empty table gives none. A text is cut in the row in which
+    it was searched.
     """
-    found = matches(docs, rules).where("kind is not null").select("doc_id", "text_md5", "start_byte", "end_byte").distinct()
-    of_text = Window.partitionBy("doc_id", "text_md5").orderBy("start_byte", "end_byte")
-    reach = F.max("end_byte").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("new", F.when(F.col("start_byte") <= reach, 0).otherwise(1))
-    islands = islands.withColumn("island", F.sum("new").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "text_md5", "island").agg(F.min("start_byte").alias("a"), F.max("end_byte").alias("b"))
-    cuts = merged.groupBy(F.col("doc_id").alias("_doc"), F.col("text_md5").alias("_md5")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc"]) & (F.md5(text) == cuts["_md5"]), "left")
-    raw, last = F.col("text").cast("binary"), F.element_at("_cuts", -1)["b"]
-    # what lies before each cut, and after the last one; slices of bytes take no walk through the text
-    before = F.transform(
-        F.arrays_zip("_cuts", F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["b"])).alias("_from")),
-        lambda x: F.substring(raw, (x["_from"] + 1).cast("int"), (F.coalesce(x["_cuts"]["a"], F.octet_length("text").cast("long")) - x["_from"]).cast("int")).cast("string"),
-    )
-    new = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(before, mark))
-    out = joined.withColumn("_new", new)
-    cols = [F.col("_new").alias(c) if c == "text" else F.when(F.col("_cuts").isNull(), docs[c]).otherwise(F.length("_new").cast("long")).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*cols)
+    rows, _, back = disguised(docs)
+    placed = with_spans(rows, rules)
+    # each span with the end of all before it; the text between those that leave a gap is kept
+    step = lambda reach, x: F.greatest(reach, x["end_byte"])
+    shown = lambda reach, x: F.struct(F.greatest(reach, F.lit(0).cast("long")).alias("from"), x["start_byte"].alias("to"), (x["start_byte"] > reach).alias("apart"))
+    kept = F.filter(_running("all", F.lit(-1).cast("long"), step, shown, "array<struct<from:bigint,to:bigint,apart:boolean>>"), lambda x: x["apart"])
+    raw = F.col("text").cast("binary")
+    part = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    tail = part(F.array_max(F.transform("all", lambda x: x["end_byte"])), F.octet_length("text").cast("long"))
+    new = F.array_join(F.concat(F.transform("_kept", lambda x: part(x["from"], x["to"])), F.array(tail)), mark)
+    changed = F.size("all") > 0
+    out = placed.withColumn("_kept", F.when(changed, kept)).withColumn("_new", F.when(changed, new).otherwise(F.col("text")))
+    own = dict(zip(docs.columns, back, strict=True))
+    own["text"] = F.col("_new").alias("text")
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(F.coalesce(changed, F.lit(False)), F.length("_new").cast(kind)).otherwise(back[docs.columns.index("n_chars")]).alias("n_chars")
+    return out.select(*[own[c] for c in docs.columns])

@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests, a laptop).
+#: Used only in local mode where the session names no folder (tests, a laptop).
 LOCAL_FALLBACK = "/tmp/checkpoints/rangeflow"
 
-_written: list[tuple[SparkSession, str]] = []
+_every: list[list[tuple[SparkSession, str]]] = []
+
+
+class _Tables(threading.local):
+    """The shared tables that this thread's run has written: runs in one driver don't see each other's."""
+
+    def __init__(self) -> None:
+        self.written: list[tuple[SparkSession, str]] = []
+        _every.append(self.written)
+
+
+_tables = _Tables()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    """The folder all executors share: ``spark.checkpoint.dir``. Only local mode has another if it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or LOCAL_FALLBACK).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path.rsplit("/", 1)[0]))
+    _tables.written.append((spark, path.rsplit("/", 1)[0]))
     return path
 
 
@@ -43,26 +53,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """A point in this driver's list of shared tables, for :func:`release`."""
-    return len(_written)
+    """A point in this run's list of shared tables, for :func:`release`."""
+    return len(_tables.written)
 
 
-def release(since: int = 0, keep: int = 0) -> None:
-    """Remove the shared tables written since a mark, but for the last ``keep``.
+def release(since: int, keep: int = 0) -> None:
+    """Remove the shared tables that this run wrote since a mark, but for the last ``keep``.
 
-    Called when what they led to has been written itself, and for all of them when
-    the driver ends (best effort then: the session may have ended before).
+    Called when what they led to has been written itself.
     """
-    stop = len(_written) - keep
-    gone, _written[since:stop] = _written[since:stop], []
+    stop = len(_tables.written) - keep
+    gone, _tables.written[since:stop] = _tables.written[since:stop], []
     for spark, path in gone:
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001
-            if since:
-                raise
-            return
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    """What is left when the driver ends (best effort: the session may have ended before)."""
+    for written in _every:
+        for spark, path in written:
+            try:
+                _remove(spark, path)
+            except Exception:  # noqa: BLE001
+                return
 
 
 def disguised(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:

@@ -74,3 +74,17 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
         clauses.append(grams)
     # a clause that contains another one adds nothing
     return [c for c in dict.fromkeys(clauses) if not any(d < c for d in clauses)]
+
+
+def one_pass(grams: list[str]) -> str:
+    """A Java expression whose group 1 is, at each place of a lower-case text, the trigram that starts there, if asked for.
+
+    The trigrams are a tree by their characters, so that most places end at the first.
+    """
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(grams):
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    one = lambda c: c if c.isalnum() else "\\" + c
+    heads = "".join(map(one, tree))
+    ways = [one(a) + "(?:" + "|".join(f"{one(b)}[{''.join(map(one, c))}]" for b, c in rest.items()) + ")" for a, rest in tree.items()]
+    return f"(?=[{heads}])(?=({'|'.join(ways)}))"
