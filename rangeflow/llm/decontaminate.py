@@ -1,9 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Windows of benchmark words become patterns over normalised text (lower case,
-words joined by one space). Each document is normalised once and scanned once;
-the automaton reports ends of matches, which map back to word numbers and to
-code points of the original text.
+Windows of benchmark words become patterns over normalised text: its words in
+lower case, as numbers. Each document is normalised once and scanned once; the
+automaton reports the words at which matches end, and these map back to code
+points of the original text.
+
+An automaton holds a state for each of a window's words, so its size is checked: a
+benchmark of more bytes than ``AUTOMATON_BYTES`` stays distributed. Then each
+document's windows are looked up in a bitmap of bounded size, and those found
+there join the benchmark's windows by their 128-bit names.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import disguised
-from .wordhash import Words, buffers, trim
+from .shared import cut, disguised
+from .wordhash import U64, Words, buffers, trim, window_names
 
 #: Bytes to bytes: A-Z in lower case, separators (ASCII but 0-9 and a-z) to a space.
 NORMAL = bytes(
@@ -28,66 +33,46 @@ NORMAL = bytes(
 )
 #: Which bytes of a raw text separate words.
 SEPARATES = np.array([NORMAL[b] == 0x20 for b in range(256)])
+#: The same for normalised bytes.
+NORMAL_BYTES, SPACE_ONLY = np.frombuffer(NORMAL, np.uint8), np.arange(256) == 0x20
 
-#: Bytes of benchmark text that one automaton takes. A window starts at every word, so the
-#: automaton has a state for each of some ten times as many characters, about 100 bytes each. More
-#: text makes more blocks, of which one is in memory at a time.
-BLOCK_BYTES = 256 << 10
+#: Bytes of benchmark text that an automaton takes: a state of some 100 bytes for each of the ``window`` words
+#: of a window, and a window for each word, so about 150 bytes a byte.
+AUTOMATON_BYTES = 1 << 20
+#: Bits of the bitmap that stands in for a larger benchmark, at most (the driver makes it of so many / 64 rows).
+FILTER_BITS = 1 << 26
 
 
-def item_windows(text: str | None, k: int) -> set[str]:
+def item_windows(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     """The windows of an item; one of fewer words, but not none, is one window."""
     found = (text or "").encode("utf-8").translate(NORMAL).split()
     n = max(1, len(found) - k + 1) if found else 0
-    return {b" ".join(found[i : i + k]).decode("latin-1") for i in range(n)}
-
-
-def build(items: list[tuple], k: int) -> ahocorasick.Automaton:
-    """Patterns carry their number of words and the items that have them."""
-    owners: dict[str, set] = {}
-    for item_id, text in items:
-        for window in item_windows(text, k):
-            owners.setdefault(window, set()).add(item_id)
-    automaton = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        automaton.add_word(f" {window} ", (window.count(" ") + 1, tuple(ids)))
-    if owners:
-        automaton.make_automaton()
-    return automaton
-
-
-def scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
-    """Number of words, and the matches as (first word, end word, items)."""
-    found = text.translate(NORMAL).split()
-    if not found or not len(automaton):
-        return len(found), []
-    flat = " " + b" ".join(found).decode("latin-1") + " "
-    ends = None
-    matches = []
-    for at, (words, ids) in automaton.iter(flat):
-        if ends is None:  # place of the space after each word
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        last = int(np.searchsorted(ends, at)) + 1
-        matches.append((last - words, last, ids))
-    return len(found), matches
-
-
-def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """Benchmark items in blocks of bounded size.
-
-    A benchmark is a fixed question set, small beside the corpus; it streams to
-    the driver and is cut so that no automaton outgrows a worker.
-    """
-    out: list[list[tuple]] = [[]]
-    size = 0
-    for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((text or "").encode("utf-8"))
-        if size + n > block_bytes and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((item_id, text))
-        size += n
-    return out
+    return {tuple(found[i : i + k]) for i in range(n)}
+
+
+class Matcher:
+    """The automaton over numbered words; patterns carry their length and the items that have them."""
+
+    def __init__(self, items: list[tuple], k: int):
+        owners: dict[tuple, set] = {}
+        for item_id, text in items:
+            for window in item_windows(text, k):
+                owners.setdefault(window, set()).add(item_id)
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in owners.items():
+            self.automaton.add_word(tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in window]), (len(window), tuple(ids)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, tuple]]]:
+        """Number of words, and the matches as (first word, end word, items)."""
+        found = text.translate(NORMAL).split()
+        if not found or not len(self.automaton):
+            return len(found), []
+        known = self.numbers.get
+        numbers = tuple([known(w, 0) for w in found])
+        return len(found), [(at + 1 - n, at + 1, ids) for at, (n, ids) in self.automaton.iter(numbers)]
 
 
 ADDED = (
@@ -117,55 +102,143 @@ def _spans(doc: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": int(points[words.starts[a]]), "end": int(points[words.ends[b - 1]])} for a, b in runs]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, automaton_bytes: int = AUTOMATON_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Which words of each document lie in benchmark windows.
 
     ``hit_spans`` are code points of the original text, merged and in order.
     Null or empty texts have no words and are never hit; an item with a null
     text has no windows, one with a null id marks words but is not counted;
-    repeated items with one id count once; an empty benchmark hits nothing.
+    repeated items with one id count once; an empty benchmark hits nothing; repeated
+    rows each get a row, an empty table gives none.
     Other columns are ignored, those named in ``carry`` returned unchanged.
-    One pass over the documents, no shuffle; what is broadcast is the
-    benchmark alone, in blocks of at most ``block_bytes`` (or a single longer item).
+    One pass over the documents, without a shuffle, if the benchmark has at most
+    ``automaton_bytes`` of text (only then does it leave the executors).
     """
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, block_bytes)]
+    asked = benchmark.select("item_id", "text").where(F.octet_length("text") > 0)
+    size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     added = StructType.fromDDL(ADDED)
     schema = StructType([*docs.select("doc_id", *carry).schema.fields, *added.fields])
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    names = ["doc_id", *carry]
+    wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
+    if size > automaton_bytes:
+        return _joined(docs.select(*wanted), asked, window, least_items, names, schema)
+    items = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = build(parts[0].value, window) if len(parts) == 1 else None
+        matcher = None
         for batch in batches:
-            n = batch.num_rows
-            words, runs, items = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
-            for part in parts:
-                automaton = only or build(part.value, window)
-                for i, doc in _texts(batch):
-                    words[i], found = scan(doc, automaton)
-                    for first, last, ids in found:
-                        runs[i].append((first, last))
-                        items[i].update(ids)
-            runs = [_merged(x) for x in runs]
-            ids = [sorted(str(x) for x in own if x is not None) for own in items]
-            made = {
-                "n_words": words,
-                "n_hit": [sum(b - a for a, b in x) for x in runs],
-                "n_items": [len(x) for x in ids],
-                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
-                "contaminated": [len(x) >= least_items for x in ids],
-                "hit_spans": [_spans(doc, runs[i]) for i, doc in _texts(batch)],
-            }
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span)
-            cols = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(made[c], k) for c, k in zip(added.names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *carry, *added.names])
-        del only
+            matcher = matcher or Matcher(items.value, window)
+            words, runs, ids = [], [], []
+            for _, doc in _texts(batch):
+                n, found = matcher.scan(doc)
+                words.append(n)
+                runs.append([x[:2] for x in found])
+                ids.append(set().union(*[x[2] for x in found]))
+            yield _verdicts(batch, words, runs, ids, least_items, names, added)
+        del matcher
         trim()
 
-    wanted = ["doc_id", *[c for c in carry if c != "text"], "text"]
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
+def _verdicts(batch: pa.RecordBatch, words: list[int], runs: list[list], items: list[set], least: int, names: list[str], added: StructType) -> pa.RecordBatch:
+    runs = [_merged(x) for x in runs]
+    ids = [sorted(str(x) for x in own if x is not None) for own in items]
+    made = {
+        "n_words": words,
+        "n_hit": [sum(b - a for a, b in x) for x in runs],
+        "n_items": [len(x) for x in ids],
+        "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
+        "contaminated": [len(x) >= least for x in ids],
+        "hit_spans": [_spans(doc, runs[i]) for i, doc in _texts(batch)],
+    }
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span)
+    cols = [batch.column(c) for c in names] + [pa.array(made[c], k) for c, k in zip(added.names, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(cols, names=[*names, *added.names])
+
+
+def _named(column: pa.Array) -> tuple[Words, tuple[np.ndarray, np.ndarray]]:
+    data, offsets = buffers(column)
+    w = Words(NORMAL_BYTES[data], offsets, SPACE_ONLY)
+    return w, w.names()
+
+
+def _joined(docs: DataFrame, asked: DataFrame, k: int, least: int, names: list[str], schema: StructType) -> DataFrame:
+    """The same for a benchmark of any size: windows meet by name.
+
+    Texts go by (doc_id, digest), as equal rows have equal results. A window's items are
+    listed once, before any document meets them.
+    """
+    spark = docs.sparkSession
+    kind = asked.schema["item_id"].dataType.simpleString()
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, found = _named(batch.column("text"))
+            item, n, high, low = [], [], [], []
+            for size in range(1, k + 1):  # of an item with fewer words there is one window
+                x, y = window_names(found, size)
+                use = w.window_starts(size)[: len(x)]
+                row = w.row_of_word()[: len(x)]
+                at = np.flatnonzero(use & ((w.counts[row] == size) | (size == k)))
+                item.append(row[at])
+                n.append(np.full(len(at), size))
+                high.append(x[at])
+                low.append(y[at])
+            cols = [batch.column("item_id").take(pa.array(np.concatenate(item)))]
+            cols += [pa.array(np.concatenate(x).astype(np.int64)) for x in (n, high, low)]
+            yield pa.RecordBatch.from_arrays(cols, names=["item_id", "n", "high", "low"])
+        trim()
+
+    key = ["n", "high", "low"]
+    windows = asked.mapInArrow(own, f"item_id {kind}, n long, high long, low long").groupBy(*key).agg(F.collect_set("item_id").alias("items"))
+    windows = cut(windows, "windows")
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most ``k``
+    bits = min(FILTER_BITS, 1 << max(16, (16 * windows.count()).bit_length()))
+    place = F.col("high").bitwiseAND(F.lit(bits - 1))
+    marks = windows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(high & 63 as int))")).alias("mark")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("mark").to_numpy()
+    model = spark.sparkContext.broadcast(bitmap.view(U64))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = model.value
+        for batch in batches:
+            for i, (_, doc) in enumerate(_texts(batch)):
+                w, found = _named(pa.array([doc.decode("utf-8")]))
+                for size in sizes:
+                    x, y = window_names(found, size)
+                    at = np.flatnonzero(marked[(x & U64(bits - 1)) >> U64(6)] >> (x & U64(63)) & U64(1))
+                    if len(at):
+                        where = [batch.column(c).take(pa.array([i] * len(at))) for c in ("doc_id", "digest")]
+                        cols = [*where, pa.array(np.full(len(at), size)), pa.array(at), pa.array(x[at].view(np.int64)), pa.array(y[at].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "n", "first", "high", "low"])
+        trim()
+
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    spots = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(seen, f"doc_id {id_kind}, digest string, n long, first long, high long, low long")
+    met = cut(spots.distinct().join(windows, key), "met")
+    of = [F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")]
+    runs = met.groupBy(*of).agg(F.collect_set(F.struct("first", (F.col("first") + F.col("n")).alias("last"))).alias("_runs"))
+    items = met.select(*of, F.explode_outer("items").alias("item")).groupBy("_doc", "_digest").agg(F.collect_set("item").alias("_items"))
+    same = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_digest"] == b["_digest"])
+    hits = cut(runs.join(items, same(runs, items)).select(runs["_doc"], runs["_digest"], "_runs", "_items"), "hits")
+    rows = docs.withColumn("_key", digest)
+    rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_doc"]) & (rows["_key"] == hits["_digest"]), "left").drop("_doc", "_digest", "_key")
+    added = StructType.fromDDL(ADDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [len(doc.translate(NORMAL).split()) for _, doc in _texts(batch)]
+            found = [[(r["first"], r["last"]) for r in x or ()] for x in batch.column("_runs").to_pylist()]
+            yield _verdicts(batch, words, found, [set(x or ()) for x in batch.column("_items").to_pylist()], least, names, added)
+        trim()
+
+    return rows.mapInArrow(run, schema)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     """Row numbers and UTF-8 texts of a batch."""
     data, offsets = buffers(batch.column("text"))
@@ -174,6 +247,9 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns."""
+    """The rows of ``docs`` that are not contaminated, with their own columns, whatever their names.
+
+    Null and empty texts stay, null ids and repeated rows are rows like others, an empty table gives none.
+    """
     rows, carry, back = disguised(docs)
     return decontaminate(rows, benchmark, carry=carry, **options).where(~F.col("contaminated")).select(*back)

@@ -53,12 +53,13 @@ DOCS = [
 def test_hits_match_brute_force(spark):
     docs = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, n_hit int")
     items = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, doc_id string")
-    for block in (1 << 20, 40):
-        got = decontaminate.decontaminate(docs, items, block_bytes=block).collect()
+    for most in (1 << 20, 40):  # by the automaton, and by joins of windows
+        got = decontaminate.decontaminate(docs, items, automaton_bytes=most).collect()
         assert sorted([tuple(r)[:6] for r in got], key=repr) == sorted(((d[0], *brute_hits(d[1], ITEMS)) for d in DOCS), key=repr)
     spans = {r.doc_id: r.hit_spans for r in got if r.doc_id in (1, 7)}
     assert [DOCS[0][1][s.start : s.end] for s in spans[1]] == ["THE quick-brown fox: jumps over the lazy DOG"]
     assert spans[7] == []
+    assert {r.n_hit for r in decontaminate.decontaminate(docs, items, window=3, automaton_bytes=0).where("doc_id = 2").collect()} == {4}
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
     assert decontaminate.decontaminate(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
@@ -127,6 +128,22 @@ def test_shards(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_shard_order_is_fixed_by_the_seed(spark, tmp_path):
+    long = "z" * 3_000_000
+    rows = [(i, f"text {i}" if i else long) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs, found = spark.read.parquet(str(tmp_path / "d")), set()
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    for values in (("4", "true", "true"), ("13", "true", "false"), ("2", "false", "true")):
+        for k, v in zip(keys, values, strict=True):
+            spark.conf.set(k, v)
+        found.add(tuple((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs).select("doc_id", "shard", "slot").orderBy("doc_id").collect()))
+    for k, v in zip(keys, before, strict=True):
+        spark.conf.set(k, v)
+    assert len(found) == 1
+
+
 def test_shard_order_is_mixed(spark):
     docs = spark.range(20000).select("id", "id").toDF("doc_id", "text").selectExpr("doc_id", "cast(text as string) text")
     order = [r.doc_id for r in sharding.shard(docs).orderBy("slot", "shard").collect()]
