@@ -80,37 +80,44 @@ FROM q
 """
 
 
-def url_verdicts(rules: tuple = RULES, p: TreeParams = TreeParams()) -> str:
+def url_verdicts(rules: tuple = RULES, p: TreeParams = TreeParams(), depth: int = 6) -> str:
+    """For paths of fewer than ``depth`` segments (those of the tables have two): levels are written out."""
     fits = [(len(r.text), f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in rules]
     fits.sort(key=lambda x: -x[0])
     case = lambda what: "CASE " + " ".join(f"WHEN {c} THEN '{what(r)}'" for _, c, r in fits) + " END"
-    levels, last = [], "s0"
-    for d in range(p.depth + 1):
-        parent = "CASE WHEN seg = '' THEN parent ELSE prefix END" if d else "prefix"
+    far = f"n > 0 AND m > 0 AND (b / n - c / m) * (b / n - c / m) > {p.apart}::DOUBLE * {p.apart}::DOUBLE * ((b + c) / (n + m)) * (1 - (b + c) / (n + m)) * (1 / n + 1 / m)"
+    levels, merges = [], []
+    for d in range(depth):
         levels.append(f"""
-g{d} AS (SELECT *, coalesce(shape[{d + 1}], '') AS seg FROM {last}),
-c{d} AS (SELECT host, prefix, seg, sum(n) AS pages FROM g{d} GROUP BY ALL),
-l{d} AS (SELECT host, prefix, seg, pages >= {p.least_pages} AND 100 * pages >= {p.least_percent} * sum(pages) OVER (PARTITION BY host, prefix) AS own FROM c{d}),
-s{d + 1} AS (SELECT host, shape, n, labels, bad, {parent} AS parent, prefix || CASE WHEN seg = '' THEN '' WHEN own THEN '/' || seg ELSE '/*' END AS prefix
-        FROM g{d} JOIN l{d} USING (host, prefix, seg)),""")
-        last = f"s{d + 1}"
+g{d} AS (SELECT *, coalesce(shape[{d + 1}], '') AS seg FROM s{d}),
+c{d} AS (SELECT host, leaf, seg, sum(n) AS pages, sum(labels) AS marked FROM g{d} WHERE NOT closed GROUP BY ALL),
+l{d} AS (SELECT host, leaf, seg, seg = '' OR sum(marked) OVER w < {p.least_labels} AS stop,
+                pages >= {p.least_pages} AND (100 * pages >= {p.least_percent} * sum(pages) OVER w OR marked >= {p.least_labels}) AS own FROM c{d} WINDOW w AS (PARTITION BY host, leaf)),
+s{d + 1} AS (SELECT host, shape, n, labels, bad, closed OR coalesce(stop, true) AS closed,
+                    CASE WHEN closed OR stop THEN leaf WHEN own THEN list_append(leaf, seg) ELSE list_append(leaf, '*') END AS leaf
+             FROM g{d} LEFT JOIN l{d} USING (host, leaf, seg)),""")
+        merges.append(f"""
+y{d} AS (SELECT *, template[1:{d}] AS above, template[{d + 1}] AS branch, template[{d + 2}:] AS below FROM t{d}),
+z{d} AS (SELECT host, above, branch, below, sum(n) AS n, sum(b) AS b FROM y{d} WHERE branch IS NOT NULL GROUP BY ALL),
+q{d} AS (SELECT *, sum(n) OVER v - n AS m, sum(b) OVER v - b AS c FROM z{d} WINDOW v AS (PARTITION BY host, above, below)),
+e{d} AS (SELECT host, above, branch, coalesce(string_agg(below::VARCHAR || (b / n > c / m), '|' ORDER BY below::VARCHAR) FILTER ({far}), '') AS kind FROM q{d} GROUP BY ALL),
+x{d} AS (SELECT host, above, branch, kind, n, b, sum(n) OVER v - n AS m, sum(b) OVER v - b AS c FROM z{d} JOIN e{d} USING (host, above, branch) WINDOW v AS (PARTITION BY host, above, kind, below)),
+a{d} AS (SELECT host, above, branch, kind, bool_or(kind <> '' AND {far}) AS apart FROM x{d} GROUP BY ALL),
+t{d + 1} AS (SELECT host, leaf, n, b, CASE WHEN branch IS NULL OR apart THEN template ELSE list_concat(list_append(above, '~' || kind), below) END AS template
+             FROM y{d} LEFT JOIN a{d} USING (host, above, branch)),""")
     return f"""
 WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 doc AS (SELECT page_id, try_cast(regexp_extract(url, '^[^?#]*?([0-9]+)[^0-9?#]*($|[?#])', 1) AS BIGINT) AS doc_id FROM pages),
 marks AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM doc JOIN labels USING (doc_id) GROUP BY 1),
-f AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS segs FROM u),
-r AS (SELECT *, CASE WHEN len(segs) > {p.depth} THEN list_append(segs[1:{p.depth}], '**') ELSE segs END AS shape FROM f),
-s0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS bad, '' AS parent, '' AS prefix
+r AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS shape FROM u),
+s0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS bad, false AS closed, CAST([] AS VARCHAR[]) AS leaf
        FROM r LEFT JOIN marks USING (page_id) GROUP BY host, shape),{"".join(levels)}
-lf AS (SELECT host, parent, prefix, sum(labels)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM {last} GROUP BY ALL),
-am AS (SELECT *, sum(n) OVER w - n AS m, sum(b) OVER w - b AS c FROM lf WINDOW w AS (PARTITION BY host, parent)),
-tm AS (SELECT *, CASE WHEN n > 0 AND m > 0 AND (b / n - c / m) * (b / n - c / m) > {p.apart}::DOUBLE * {p.apart}::DOUBLE * ((b + c) / (n + m)) * (1 - (b + c) / (n + m)) * (1 / n + 1 / m)
-              THEN prefix ELSE parent || '/~' END AS template FROM am),
-o AS (SELECT sum(b) / greatest(sum(n), 1) AS overall FROM tm),
-h AS (SELECT host, (sum(b) + {p.weight}::DOUBLE * any_value(overall)) / (sum(n) + {p.weight}::DOUBLE) AS host_share FROM tm, o GROUP BY host),
-pu AS (SELECT host, template, (sum(b) + {p.weight}::DOUBLE * any_value(host_share)) / (sum(n) + {p.weight}::DOUBLE) AS bad_share FROM tm JOIN h USING (host) GROUP BY host, template),
-v AS (SELECT t.host, t.shape, bad_share FROM {last} t JOIN tm USING (host, parent, prefix) JOIN pu USING (host, template))
+t0 AS (SELECT host, leaf, sum(labels)::DOUBLE AS n, sum(bad)::DOUBLE AS b, leaf AS template FROM s{depth} GROUP BY host, leaf),{"".join(merges)}
+o AS (SELECT sum(b) / greatest(sum(n), 1) AS overall FROM t{depth}),
+h AS (SELECT host, (sum(b) + {p.weight}::DOUBLE * any_value(overall)) / (sum(n) + {p.weight}::DOUBLE) AS host_share FROM t{depth}, o GROUP BY host),
+pu AS (SELECT host, template, (sum(b) + {p.weight}::DOUBLE * any_value(host_share)) / (sum(n) + {p.weight}::DOUBLE) AS bad_share FROM t{depth} JOIN h USING (host) GROUP BY host, template),
+v AS (SELECT s.host, s.shape, bad_share FROM s{depth} s JOIN t{depth} t USING (host, leaf) JOIN pu ON pu.host = t.host AND pu.template = t.template)
 SELECT page_id, host, path, {case(lambda x: x.text)} AS rule,
        coalesce({case(lambda x: x.verdict)}, CASE WHEN bad_share >= {p.reject} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN v USING (host, shape)

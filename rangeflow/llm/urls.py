@@ -1,17 +1,20 @@
 """URL filters: explicit rules, then a path-template tree of each host.
 
-Paths become templates segment by segment: digits turn into ``#``, and a
-segment that few of its siblings' pages have becomes a wildcard, unless it has
-labels enough to be tested. Leaves of
-one parent whose rates of bad labels don't differ significantly from their
-siblings' merge into one template. A template is rejected if its share of bad
+Paths become templates segment by segment, as deep as labels go: digits turn into
+``#``, and a segment that few of its siblings' pages have becomes the wildcard ``*``,
+unless it has labels enough to be tested. A branch with too few labels to split
+is a leaf. Then, from the root down, branches of one parent merge (``~``) if their rates
+of bad labels differ significantly from their siblings' at the same places below them, leaf
+or deeper, and there in the same direction; who differs from those of its own direction
+again stays apart. A template is rejected if its share of bad
 labels, smoothed towards its host's and that towards the overall share, reaches a
-threshold. Everything is grouped aggregation on (host, path shape); no host
+threshold. Everything is grouped aggregation on (host, path); no host
 is ever gathered in one task.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,13 +50,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreeParams:
-    depth: int = 3
     #: A segment stays itself with so many pages and so many percent of its parent's,
     #: or, whatever its share, with so many labels (then they outweigh the prior's).
+    #: A branch with fewer labels has no branches of its own.
     least_pages: int = 2
     least_percent: int = 5
     least_labels: int = 5
-    #: Standard errors by which a leaf must differ from its siblings to stay apart.
+    #: Standard errors by which a branch must differ from its siblings, somewhere, to stay apart.
     apart: float = 1.96
     #: Labels that a prior counts for, and the share of bad labels that rejects.
     weight: float = 5.0
@@ -76,48 +79,83 @@ def longest_rule(rules: tuple[UrlRule, ...]) -> tuple[Column, Column]:
     return text, verdict
 
 
-def path_shape(depth: int) -> Column:
-    """The first ``depth`` segments with digits as ``#``; ``**`` stands for deeper ones."""
-    parts = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+def path_shape() -> Column:
+    """The segments, with digits as ``#``."""
+    return F.filter(F.split(F.regexp_replace("path", "[0-9]+", "#"), "/"), lambda s: s != "")
+
+
+def grown(shapes: DataFrame, p: TreeParams) -> tuple[DataFrame, int]:
+    """The template tree: (host, shape, labels, bad, leaf) from (host, shape, n, labels, bad), and its depth.
+
+    Each round takes the open branches one segment deeper; there are as many as
+    ``least_labels`` labels share segments, and what is closed takes no part in them.
+    """
+    done, depth = [], 0
+    tree = cut(shapes.withColumn("leaf", F.array().cast("array<string>")), "level-0")
+    while True:
+        tree = tree.withColumn("segment", F.coalesce(F.get("shape", F.lit(depth)), F.lit("")))
+        child = tree.groupBy("host", "leaf", "segment").agg(F.sum("n").alias("pages"), F.sum("labels").alias("marked"))
+        parent = child.groupBy("host", "leaf").agg(F.sum("pages").alias("all"), F.sum("marked").alias("all_marked"))
+        common = (100 * F.col("pages") >= p.least_percent * F.col("all")) | (F.col("marked") >= p.least_labels)
+        closed = (F.col("segment") == "") | (F.col("all_marked") < p.least_labels)
+        step = F.when(~closed, F.when((F.col("pages") >= p.least_pages) & common, F.col("segment")).otherwise("*"))
+        steps = child.join(parent, ["host", "leaf"]).select("host", "leaf", "segment", step.alias("step"))
+        moved = cut(tree.join(steps, ["host", "leaf", "segment"]).drop("segment"), f"level-{depth + 1}")
+        done.append(moved.where("step is null").select("host", "shape", "labels", "bad", "leaf"))
+        tree = moved.where("step is not null").withColumn("leaf", F.concat("leaf", F.array("step"))).drop("step")
+        if not tree.limit(1).count():
+            return functools.reduce(DataFrame.union, done), depth
+        depth += 1
+
+
+def _differs(p: TreeParams) -> Column:
+    """1 or -1 if the rate of bad labels is significantly above or below that of all others, else 0."""
+    some = lambda x: F.nullif(x.cast("double"), F.lit(0.0))  # noqa: E731  no labels, no rate
+    n, b = some(F.col("labels")), F.col("bad").cast("double")
+    m, c = some(F.col("all_labels") - F.col("labels")), (F.col("all_bad") - F.col("bad")).cast("double")
+    share = (b + c) / (n + m)
+    error = p.apart * p.apart * share * (1 - share) * (1 / n + 1 / m)
+    far = (b / n - c / m) * (b / n - c / m) > error
+    return F.when(far, F.when(b / n > c / m, 1).otherwise(-1)).otherwise(0)
+
+
+def merged(leaves: DataFrame, depth: int, p: TreeParams) -> DataFrame:
+    """``leaves`` (host, leaf, labels, bad) with ``template``: similar branches are ``~``, level by level from the root."""
+    rows = leaves.withColumn("template", F.col("leaf"))
+    for d in range(depth):
+        part = {"above": F.slice("template", 1, F.lit(d)), "branch": F.get("template", F.lit(d)), "below": F.slice("template", d + 2, F.greatest(F.size("template") - d - 1, F.lit(0)))}
+        rows = rows.withColumns(part)
+        cells = rows.where("branch is not null").groupBy("host", "above", "branch", "below").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+        pooled = cells.groupBy("host", "above", "below").agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
+        cells = cut(cells.join(pooled, ["host", "above", "below"]).withColumn("differs", _differs(p)).drop("all_labels", "all_bad"), f"cells-{d}")
+        # a name of where and how a branch differs: 0 is nowhere
+        kind = F.coalesce(F.bit_xor(F.when(F.col("differs") != 0, F.xxhash64("below", "differs"))), F.lit(0).cast("long"))
+        kinds = cells.groupBy("host", "above", "branch").agg(kind.alias("kind"))
+        again = cells.drop("differs").join(kinds, ["host", "above", "branch"])
+        pooled = again.groupBy("host", "above", "kind", "below").agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
+        again = again.join(pooled, ["host", "above", "kind", "below"]).groupBy("host", "above", "branch", "kind").agg(F.max((F.col("kind") != 0) & (_differs(p) != 0)).alias("apart"))
+        rows = rows.join(again, ["host", "above", "branch"], "left")
+        shared = F.concat(F.lit("~"), F.when(F.col("kind") != 0, F.lower(F.hex("kind"))).otherwise(""))
+        new = F.when(F.col("apart"), F.col("template")).otherwise(F.concat("above", F.array(shared), "below"))
+        rows = cut(rows.withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(new)).select("host", "leaf", "labels", "bad", "template"), f"merged-{d}")
+    return rows
 
 
 def template_verdicts(shapes: DataFrame, p: TreeParams) -> DataFrame:
     """(host, shape, template, bad_share) from (host, shape, n, labels, bad)."""
-    tree = shapes.withColumn("prefix", F.lit(""))
-    for d in range(p.depth + 1):
-        segment = F.coalesce(F.get("shape", F.lit(d)), F.lit(""))
-        tree = tree.withColumn("segment", segment)
-        child = tree.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("pages"), F.sum("labels").alias("marked"))
-        parent = child.groupBy("host", "prefix").agg(F.sum("pages").alias("all"))
-        common = 100 * F.col("pages") >= p.least_percent * F.col("all")
-        own = (F.col("pages") >= p.least_pages) & (common | (F.col("marked") >= p.least_labels))
-        literal = child.join(parent, ["host", "prefix"]).where(own).select("host", "prefix", "segment", F.lit(True).alias("own"))
-        next_one = F.when(F.col("segment") == "", "").when(F.col("own"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        tree = tree.join(literal, ["host", "prefix", "segment"], "left").withColumn("last", next_one)
-        parent_of = F.when(F.col("last") == "", F.col("parent")).otherwise(F.col("prefix")) if d else F.col("prefix")
-        tree = tree.withColumn("parent", parent_of).withColumn("prefix", F.concat("prefix", "last")).drop("segment", "own", "last")
-        tree = cut(tree, f"level-{d}")
-
+    tree, depth = grown(shapes, p)
     sums = (F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-    leaves = tree.groupBy("host", "parent", "prefix").agg(*sums)
-    among = leaves.groupBy("host", "parent").agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
-    n, b = F.col("labels").cast("double"), F.col("bad").cast("double")
-    m, c = (F.col("all_labels") - F.col("labels")).cast("double"), (F.col("all_bad") - F.col("bad")).cast("double")
-    pooled = (b + c) / (n + m)
-    error = p.apart * p.apart * pooled * (1 - pooled) * (1 / n + 1 / m)
-    apart = F.when((n > 0) & (m > 0), (b / n - c / m) * (b / n - c / m) > error).otherwise(False)
-    merged = leaves.join(among, ["host", "parent"]).withColumn("template", F.when(apart, F.col("prefix")).otherwise(F.concat("parent", F.lit("/~"))))
-    merged = cut(merged.select("host", "parent", "prefix", "template", "labels", "bad"), "templates")
-
-    overall = merged.agg(*sums).select((F.coalesce("bad", F.lit(0)) / F.greatest(F.coalesce("labels", F.lit(0)), F.lit(1))).alias("overall"))
-    hosts = merged.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"))
+    leaves = merged(cut(tree.groupBy("host", "leaf").agg(*sums), "leaves"), depth, p)
+
+    overall = leaves.agg(*sums).select((F.coalesce("bad", F.lit(0)) / F.greatest(F.coalesce("labels", F.lit(0)), F.lit(1))).alias("overall"))
+    hosts = leaves.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"))
     hosts = hosts.crossJoin(F.broadcast(overall))  # a single row
     hosts = hosts.select("host", ((F.col("host_bad") + p.weight * F.col("overall")) / (F.col("host_labels") + p.weight)).alias("host_share"))
-    purity = merged.groupBy("host", "template").agg(*sums).join(hosts, "host")
+    purity = leaves.groupBy("host", "template").agg(*sums).join(hosts, "host")
     purity = purity.select("host", "template", ((F.col("bad") + p.weight * F.col("host_share")) / (F.col("labels") + p.weight)).alias("bad_share"))
-    named = tree.select("host", "shape", "parent", "prefix").join(merged.select("host", "parent", "prefix", "template"), ["host", "parent", "prefix"])
-    return named.join(purity, ["host", "template"]).select("host", "shape", "template", "bad_share")
+    named = tree.select("host", "shape", "leaf").join(leaves.select("host", "leaf", "template"), ["host", "leaf"])
+    shown = F.concat(F.lit("/"), F.array_join("template", "/"))
+    return named.join(purity, ["host", "template"]).select("host", "shape", shown.alias("template"), "bad_share")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[UrlRule, ...] = RULES, p: TreeParams = TreeParams()) -> DataFrame:
@@ -132,7 +170,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[UrlRule, ...
     """
     host, path = split_url()
     rule, ruled = longest_rule(rules)
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", path_shape(p.depth))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", path_shape())
     marks = labelled.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     known = rows.join(marks, "page_id", "left")
     shapes = known.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0).cast("long")).alias("bad"))

@@ -248,6 +248,28 @@ def test_bad_sections_of_a_branched_host_are_rejected(spark):
     assert {r.page_id for r in found if r.verdict == "block"} == {i for i in range(len(rows)) if i % 26 == 0}
 
 
+def verdicts(spark, rows, marks):
+    found = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad boolean")).collect()
+    return {r.page_id: (r.verdict, r.template) for r in found}
+
+
+def test_deep_branches_have_verdicts_of_their_own(spark):
+    rows = [(i, f"http://h.net/a/b/c/{'spam' if i % 2 else 'news'}/d/e/{i}") for i in range(200)]
+    rows += [(500 + i, f"http://h.net/a/b/c/spam/d/e/{i}/" + "x/" * 3000) for i in range(3)]  # very long, without labels
+    got = verdicts(spark, rows, [(i, i % 2 == 1) for i in range(200)])
+    assert {got[i][0] for i in range(1, 200, 2)} == {"block"} and {got[i][0] for i in range(0, 200, 2)} == {"allow"}
+
+
+def test_inner_branches_merge_where_they_behave_alike(spark):
+    kinds = [(s, k) for s in ("en", "de", "fr", "mixed") for k in ("spam", "news")] * 40
+    rows = [(i, f"http://h.net/{s}/{k}/{i}") for i, (s, k) in enumerate(kinds)]
+    bad = [(k == "spam") != (s == "mixed") for s, k in kinds]  # one section is the other way round
+    got = verdicts(spark, rows, list(enumerate(bad)))
+    assert all((got[i][0] == "block") == b for i, b in enumerate(bad))
+    templates = {s: {got[i][1] for i, (x, _) in enumerate(kinds) if x == s} for s, _ in kinds}
+    assert templates["en"] == templates["de"] == templates["fr"] and not templates["en"] & templates["mixed"]
+
+
 # --- languages --------------------------------------------------------------
 
 
