@@ -2,8 +2,8 @@
 
 For each document four kinds of evidence multiply:
 
-* the likelihood of its text under byte-trigram models, one a language, fitted on
-  a bounded sample of labelled rows;
+* the likelihood of its text under byte-trigram models, one for each language that
+  any row is labelled with, fitted on a bounded sample of each language's rows;
 * the languages its pages declare, through P(declared | language), a small
   smoothed table counted over the whole corpus;
 * the suffix of its addresses (country codes speak for a language);
@@ -38,10 +38,10 @@ SUFFIX_LANGUAGE = {
 
 @dataclass(frozen=True)
 class LanguageParams:
-    #: Labelled rows that the text models are fitted on (about so many, chosen by hash).
-    sample_rows: int = 4000
-    #: Languages told apart: those with most rows in the sample.
-    most_languages: int = 64
+    #: Labelled rows of each language that its text model is fitted on (about so many, chosen by hash; all if there are fewer).
+    sample_rows: int = 1000
+    #: More labels than these are not languages: an error. A model takes ``cells`` floats a language.
+    most_languages: int = 1000
     cells: int = 1 << 14
     smoothing: float = 0.1
     #: Each character is in three trigrams, which are far from independent.
@@ -67,18 +67,26 @@ def _cells(column: pa.Array, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (code % cells)[inside], begin[np.minimum(offsets, len(code))]
 
 
-def sampled(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` labelled rows, the same ones each time."""
-    total = labelled.count()
-    if total <= rows:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < (rows * (1 << 20)) // total)
+def sampled(labelled: DataFrame, p: LanguageParams) -> tuple[list[str], DataFrame]:
+    """All languages that rows are labelled with, counted over all rows, and about ``sample_rows`` rows of each, the same ones each time."""
+    labelled = labelled.where("lang is not null and doc_id is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    found = sorted((r["lang"], r["n"]) for r in counts.limit(p.most_languages + 1).collect())
+    if len(found) > p.most_languages:
+        raise ValueError(f"more than {p.most_languages} different labels in column lang")
+    spark, places = labelled.sparkSession, 1 << 30
+    table = spark.createDataFrame([(lang, min(places, p.sample_rows * places // n)) for lang, n in found], "_lang string, _share long")
+    place = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(places))
+    rows = labelled.join(F.broadcast(table), F.col("lang") == F.col("_lang")).where(place < F.col("_share"))  # a row a language
+    return [lang for lang, _ in found], rows.drop("_lang", "_share")
 
 
 def fit(labelled: DataFrame, p: LanguageParams) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(trigram cell | language), from (doc_id, text, lang).
 
-    What reaches the driver is a table of at most languages times cells.
+    Rows without a label or a doc_id, and null or empty texts, add nothing; repeated rows count
+    each; a table without labels gives no languages. What reaches the driver is a
+    table of at most languages times cells.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +102,8 @@ def fit(labelled: DataFrame, p: LanguageParams) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "cell", "n"])
 
-    sample = sampled(labelled.where("lang is not null and doc_id is not null"), p.sample_rows).select("lang", "text")
-    common = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
-    languages = sorted(r["lang"] for r in common)
-    sample = sample.where(F.col("lang").isin(languages))
+    languages, sample = sampled(labelled, p)
+    sample = sample.select("lang", "text")
     counts = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()
     table = np.full((len(languages), p.cells), p.smoothing)
@@ -136,12 +142,18 @@ def page_evidence(pages: DataFrame, doc_id: Column) -> DataFrame:
     return rows.select("doc_id", F.nullif("host", F.lit("")).alias("host"), F.nullif("declared", F.lit("")).alias("declared"))
 
 
-def _soft(scores: list[Column]) -> Column:
-    """Probabilities from log scores, as an array."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    raw = F.array(*[F.exp(s - top) for s in scores])
-    total = sum((F.exp(s - top) for s in scores), F.lit(0.0))
-    return F.transform(raw, lambda x: x / total)
+def _soft(scores: Column, n: int) -> Column:
+    """Probabilities from log scores."""
+    raw = F.zip_with(scores, F.array_repeat(F.array_max(scores), n), lambda x, top: F.exp(x - top))
+    return F.zip_with(raw, F.array_repeat(_total(raw), n), lambda x, total: x / total)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: np.ndarray, p: LanguageParams = LanguageParams()) -> DataFrame:
@@ -166,42 +178,40 @@ def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: n
     evidence = cut(evidence.where("doc_id is not null").groupBy("doc_id", "host", "declared").agg(F.count("*").alias("n")), "pages")
     parts = F.split("host", r"\.")
     suffix = F.coalesce(F.element_at(parts, -1), F.lit(""))
-    every = [*languages, "other"]
-    known = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared").isNotNull(), "other")
-    pages_of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
-    of_suffix = [F.lit(sorted(s for s, lang in SUFFIX_LANGUAGE.items() if lang == x) or [""]) for x in languages]
+    names = F.lit(languages)
+    at = lambda c: F.nullif(F.array_position(names, c).cast("int"), F.lit(0)) - 1  # noqa: E731  place among the languages, or null
+    spoken = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
+    known = F.when(F.col("declared").isNotNull(), F.coalesce(at(F.col("declared")), F.lit(n)))  # n: some other language
+    told = evidence.select(F.col("doc_id").alias("_of"), known.alias("known"), at(F.try_element_at(spoken, suffix)).alias("speaks"), "n")
+    told = told.groupBy("_of", "known", "speaks").agg(F.sum("n").alias("c"))
+    told = told.groupBy("_of").agg(F.collect_list(F.struct("known", "speaks", "c")).alias("told"))  # at most a row for each two languages
     most = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("n", c)))[c]
-    shows = evidence.withColumns({"known": known, "suffix": suffix}).groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.sum("n").alias("pages"),
-        F.array(*[pages_of(F.col("known") == x) for x in every]).alias("told"),
-        F.array(*[pages_of(F.array_contains(of_suffix[i], F.col("suffix")) & (F.col("suffix") != "")) for i in range(n)]).alias("speaks"),
-        most("declared").alias("declared"),
-        most("host").alias("host"),
-    )
+    shows = evidence.groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("n").alias("pages"), most("declared").alias("declared"), most("host").alias("host"))
+    shows = shows.join(told, F.col("_doc") == F.col("_of")).drop("_of")
     rows = scored.join(shows, scored["doc_id"] == shows["_doc"], "left")
-    by_text = _soft([F.col("scores")[i] for i in range(n)])
     elsewhere = F.coalesce(F.concat(F.lit("source:"), "source"), F.lit("none"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "scores", "declared", elsewhere.alias("elsewhere"), F.coalesce("host", elsewhere).alias("site"), F.coalesce("pages", F.lit(1)).alias("pages"), "told", "speaks", by_text.alias("by_text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "scores", "declared", elsewhere.alias("elsewhere"), F.coalesce("host", elsewhere).alias("site"), F.coalesce("pages", F.lit(1)).alias("pages"), "told", _soft(F.col("scores"), n).alias("by_text"))
     rows = cut(rows, "evidence")
 
-    sums = lambda of: [F.sum(F.col(of)[i]).alias(f"c{i}") for i in range(n)]
     # P(declared | language): one row for each known language, and one for all others
-    told = rows.select("by_text", F.posexplode("told").alias("k", "c")).where("c > 0").groupBy("k").agg(*[F.sum(F.col("by_text")[i] * F.col("c")).alias(f"c{i}") for i in range(n)]).collect()
-    seen = {every[r["k"]]: [r[f"c{i}"] for i in range(n)] for r in told}
-    total = [sum(c[i] for c in seen.values()) for i in range(n)]
-    logs_of = []
-    for d in every:
-        row = seen.get(d, [0.0] * n)
-        start = [p.declared_weight * (0.9 if d == lang else 0.1 / n) for lang in languages]
-        logs_of.append([math.log((row[i] + start[i]) / (total[i] + p.declared_weight)) for i in range(n)])
-    table = [F.lit([line[i] for line in logs_of]) for i in range(n)]
-    telling = F.aggregate("told", F.lit(0).cast("long"), lambda x, c: x + c)
-    said = [F.aggregate(F.zip_with("told", table[i], lambda c, x: c * x), F.lit(0.0), lambda x, y: x + y) / F.greatest(telling, F.lit(1)) for i in range(n)]
-    speaks = [math.log(p.suffix_odds) * F.col("speaks")[i] / F.col("pages") for i in range(n)]
-    local = [F.col("scores")[i] + F.coalesce(said[i], F.lit(0.0)) + F.coalesce(speaks[i], F.lit(0.0)) for i in range(n)]
-    rows = cut(rows.select("row", "doc_id", "declared", "elsewhere", "site", "pages", F.array(*local).alias("local"), "by_text", _soft(local).alias("own")), "local")
-
-    over = rows.agg(*sums("own"), F.count("*").alias("all")).first()
+    pairs = rows.select("by_text", F.explode("told").alias("t")).where("t.known is not null")
+    pairs = pairs.groupBy("t.known").agg(F.array(*[F.sum(F.col("by_text")[i] * F.col("t.c")) for i in range(n)]).alias("c"))
+    seen = np.zeros((n + 1, n))
+    for r in pairs.collect():  # a row a language
+        seen[r["known"]] = r["c"]
+    start = p.declared_weight * np.vstack([np.full((n, n), 0.1 / n) + (0.9 - 0.1 / n) * np.eye(n), np.full((1, n), 0.1 / n)])
+    table = F.lit(np.log((seen + start) / (seen.sum(axis=0) + p.declared_weight)).tolist())
+    none = F.array_repeat(F.lit(0.0), n)
+    declares = F.filter("told", lambda t: t["known"].isNotNull())
+    telling = F.aggregate(declares, F.lit(0).cast("long"), lambda x, t: x + t["c"])
+    said = F.aggregate(declares, none, lambda x, t: F.zip_with(x, F.get(table, t["known"]), lambda y, z: y + t["c"] * z / telling))
+    odds = lambda t: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == t["speaks"], math.log(p.suffix_odds) * t["c"] / F.col("pages")).otherwise(0.0))
+    speaks = F.aggregate(F.filter("told", lambda t: t["speaks"].isNotNull()), none, lambda x, t: _plus(x, odds(t)))
+    local = F.when(F.col("told").isNull(), F.col("scores")).otherwise(_plus(_plus(F.col("scores"), said), speaks))
+    rows = rows.select("row", "doc_id", "declared", "elsewhere", "site", "pages", local.alias("local"), "by_text")
+    rows = cut(rows.withColumn("own", _soft(F.col("local"), n)), "local")
+
+    over = rows.agg(*[F.sum(F.col("own")[i]).alias(f"c{i}") for i in range(n)], F.count("*").alias("all")).first()
     prior = [((over[f"c{i}"] or 0.0) + p.prior_weight / n) / (over["all"] + p.prior_weight) for i in range(n)]
     k = p.prior_weight
     # (row, host) with the number of pages there; a document without pages stands for one
@@ -213,18 +223,14 @@ def identify(docs: DataFrame, evidence: DataFrame, languages: list[str], logs: n
     chain = cut(shown.groupBy("site", "domain", "suffix").agg(F.array(*[F.sum(F.col("own")[i] * F.col("n")) for i in range(n)]).alias("site_c"), F.sum("n").alias("site_n")), "sites")
     up = lambda key: chain.groupBy(key).agg(F.array(*[F.sum(F.col("site_c")[i]) for i in range(n)]).alias(f"{key}_c"), F.sum("site_n").alias(f"{key}_n"))
     chain = chain.join(up("domain"), "domain").join(up("suffix"), "suffix")
-    smooth = lambda c, total, above: [(c[i] + k * above[i]) / (total + k) for i in range(n)]
-    by_suffix = smooth(F.col("suffix_c"), F.col("suffix_n"), [F.lit(x) for x in prior])
-    chain = chain.withColumn("by_suffix", F.array(*by_suffix))
-    chain = chain.withColumn("by_domain", F.array(*smooth(F.col("domain_c"), F.col("domain_n"), [F.col("by_suffix")[i] for i in range(n)])))
+    smooth = lambda c, total, above: F.zip_with(c, above, lambda x, y: (x + k * y) / (F.col(total) + k))
+    chain = chain.withColumn("by_suffix", smooth("suffix_c", "suffix_n", F.lit(prior))).withColumn("by_domain", smooth("domain_c", "domain_n", F.col("by_suffix")))
     chain = cut(chain.select(F.col("site").alias("_site"), F.col("domain").alias("_domain"), F.col("suffix").alias("_suffix"), "site_c", "site_n", "by_domain"), "priors")
     same = (shown["site"] == chain["_site"]) & (shown["domain"] == chain["_domain"]) & (shown["suffix"] == chain["_suffix"])
     others = [(F.col("site_c")[i] - F.col("own")[i] * F.col("n") + k * F.col("by_domain")[i]) / (F.col("site_n") - F.col("n") + k) for i in range(n)]
     expected = [F.sum(F.col("n") / F.col("pages") * F.log(F.greatest(others[i], F.lit(1e-12)))) for i in range(n)]
     expected = shown.join(chain, same).groupBy("row").agg(F.array(*expected).alias("expected"))
-    final = [F.col("local")[i] + F.col("expected")[i] for i in range(n)]
-    out = rows.join(expected, "row").withColumn("posterior", _soft(final))
-    names = F.array(*[F.lit(x) for x in languages])
+    out = rows.join(expected, "row").withColumn("posterior", _soft(_plus(F.col("local"), F.col("expected")), n))
     best = lambda of: F.get(names, F.array_position(of, F.array_max(of)).cast("int") - 1)
     return out.select(
         "doc_id",

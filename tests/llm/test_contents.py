@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -275,8 +276,8 @@ def test_inner_branches_merge_where_they_behave_alike(spark):
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    p = language.LanguageParams(sample_rows=300)
-    seen = language.sampled(docs, p.sample_rows).select("doc_id")
+    p = language.LanguageParams(sample_rows=75)
+    seen = language.sampled(docs, p)[1].select("doc_id")
     assert 200 < seen.count() < 400
     languages, logs = language.fit(docs, p)
     evidence = language.page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), page_document())
@@ -314,6 +315,105 @@ def test_every_page_of_a_document_counts(spark):
     assert {r.declared for r in got if r.doc_id == 5001} == {"de"}
 
 
+def brute_languages(docs, evidence, languages, logs, p):
+    """The fusion as loops over documents, pages and hosts."""
+    n = len(languages)
+
+    def soft(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    def score(text):
+        raw = (text or "").encode().lower()
+        found, _ = language._cells(pa.array([raw.decode()]), p.cells)
+        sums = logs.astype(np.float32)[:, found].astype(float).sum(axis=1) * p.temper
+        return sums - sums.max()
+
+    pages = [[e for e in evidence if e[0] == d[0] and d[0] is not None] for d in docs]
+    texts = [score(d[1]) for d in docs]
+    by_text = [soft(x) for x in texts]
+    known = lambda e: languages.index(e[2]) if e[2] in languages else n
+    seen = np.zeros((n + 1, n))
+    for own, mine in zip(pages, by_text, strict=True):
+        for e in own:
+            if e[2] is not None:
+                seen[known(e)] += mine
+    table = np.zeros((n + 1, n))
+    for d in range(n + 1):
+        for i in range(n):
+            start = p.declared_weight * (0.9 if d == i else 0.1 / n)
+            table[d, i] = np.log((seen[d, i] + start) / (seen[:, i].sum() + p.declared_weight))
+    local = []
+    for own, x in zip(pages, texts, strict=True):
+        x, telling = np.array(x, float), [e for e in own if e[2] is not None]
+        for e in telling:
+            x += table[known(e)] / len(telling)
+        for e in own:
+            lang = language.SUFFIX_LANGUAGE.get((e[1] or "").split(".")[-1])
+            if lang in languages:
+                x[languages.index(lang)] += np.log(p.suffix_odds) / len(own)
+        local.append(x)
+    soft_local = [soft(x) for x in local]
+    overall = (sum(soft_local) + p.prior_weight / n) / (len(docs) + p.prior_weight)
+    elsewhere = lambda d: "none" if d[3] is None else "source:" + d[3]
+    sites = [[e[1] if e[1] is not None else elsewhere(d) for e in own] or [elsewhere(d)] for d, own in zip(docs, pages, strict=True)]
+    hosted = [[e[1] is not None for e in own] or [False] for own in pages]
+    domain = lambda s, real: ".".join(s.split(".")[-2:]) if real and "." in s else s
+    suffix = lambda s, real: s.split(".")[-1] if real else ""
+    count = {}
+    for own, real, x in zip(sites, hosted, soft_local, strict=True):
+        for s, r in zip(own, real, strict=True):
+            for key in (("site", s, domain(s, r), suffix(s, r)), ("domain", domain(s, r)), ("suffix", suffix(s, r))):
+                c, total = count.get(key, (np.zeros(n), 0))
+                count[key] = c + x, total + 1
+    out = []
+    for d, own, real, x, mine in zip(docs, sites, hosted, local, soft_local, strict=True):
+        x = x.copy()
+        for s, r in zip(own, real, strict=True):
+            times = sum(y == s and z == r for y, z in zip(own, real, strict=True))
+            above = overall
+            for key in (("suffix", suffix(s, r)), ("domain", domain(s, r))):
+                c, total = count[key]
+                above = (c + p.prior_weight * above) / (total + p.prior_weight)
+            c, total = count["site", s, domain(s, r), suffix(s, r)]
+            x += np.log(np.maximum((c - mine * times + p.prior_weight * above) / (total - times + p.prior_weight), 1e-12)) / len(own)
+        end = soft(x)
+        out.append((d[0], languages[int(end.argmax())], round(float(end.max()), 4)))
+    return sorted(out, key=repr)
+
+
+def test_fusion_matches_brute_force(spark):
+    """Six languages, one of them with a single row; documents on several hosts, on one, on none."""
+    rng, words = np.random.default_rng(4), {x: [f"{x}{i}{x[::-1]}" for i in range(30)] for x in ("en", "de", "fr", "es", "qq", "rare")}
+    docs = []
+    for i in range(120):
+        lang = ("en", "de", "fr", "es", "qq")[i % 5] if i else "rare"
+        mixed = words[lang] + words["en" if i % 4 == 0 else lang]
+        docs.append((i, " ".join(rng.choice(mixed, rng.integers(0, 12))) if i % 11 else None, lang, f"s{i % 3}" if i % 7 else None))
+    docs[0] = (0, " ".join(words["rare"]), "rare", "s0")
+    docs += [(None, "de1ed de2ed", None, "s1"), (5, docs[5][1], None, "s2")]
+    hosts = ["a.b.de", "b.de", "x.com", "y.x.com", "single", "z.fr", None]
+    evidence = [(int(d), hosts[rng.integers(7)], (None, "de", "en", "zz", "fr")[rng.integers(5)]) for d in rng.integers(0, 90, 150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    p = language.LanguageParams(cells=1 << 10)
+    languages, logs = language.fit(frame, p)
+    assert languages == ["de", "en", "es", "fr", "qq", "rare"]
+    got = language.identify(frame, spark.createDataFrame(evidence, "doc_id long, host string, declared string"), languages, logs, p).collect()
+    assert sorted(((r.doc_id, r.language, round(r.probability, 4)) for r in got), key=repr) == brute_languages(docs, evidence, languages, logs, p)
+
+
+def test_every_labelled_language_is_told_apart(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 90 % 26)}{i % 90}w{j}" for j in range(20)), f"l{i % 90}", "s") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    p = language.LanguageParams(sample_rows=3)
+    languages, logs = language.fit(frame, p)
+    assert len(languages) == 90
+    none = spark.createDataFrame([], "doc_id long, host string, declared string")
+    assert language.identify(frame, none, languages, logs, p).join(frame.select("doc_id", "lang"), "doc_id").where("language = lang").count() > 890
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(frame, language.LanguageParams(most_languages=50))
+
+
 def test_registered_query_covers_all_documents(spark):
     sf = "/root/testdata/sf0.001"
     assert op8_language_id(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
