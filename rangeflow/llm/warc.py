@@ -4,12 +4,13 @@ An ARC file has one version block and then records whose header line depends
 on the version: five fields in version 1, ten in version 2, the declared
 length last in both. The converter reads header lines and declared lengths,
 and makes the WARC record that says the same: a record id, an ISO date, a
-type, and SHA-1 digests of block and payload.
+type, and SHA-1 digests of block and payload. What is not HTTP becomes a ``resource``.
 
-Archives are written by Spark's text writer (a WARC record ends with an empty
-line, which is the writer's line separator), so that every file goes
-through the commit protocol and any Hadoop file system; they are read back as
-whole files by declared lengths.
+A WARC file begins with a ``warcinfo`` record, holds about ``file_bytes`` of records, and
+each record is a gzip member of its own, so that a reader can go to any of them by its
+place. Files are rows of bytes that Spark's text writer commits to any Hadoop file
+system, one a file; its line separator, a zero byte at the end, is padding that
+gzip allows. They are read back as whole files, by declared lengths.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,7 +45,8 @@ class WarcParams:
     least_bytes: int = 0
     #: When pages carry no date: the archive's.
     date: str = "20000101000000"
-    records_per_file: int = 10_000
+    #: Bytes of records before compression at which a file is full (a longer record has one of its own).
+    file_bytes: int = 32 << 20
 
 
 @dataclass
@@ -55,14 +57,47 @@ class ArcRecord:
     date: str
     content_type: str
     body: bytes
+    #: Where its header line begins in the uncompressed file.
+    offset: int = 0
 
 
-def _address(url: str | None) -> str:
+def _address(url: bytes) -> str:
     """An address without characters that would end a field of a header line."""
-    shown = []
-    for b in (url or "urn:none").encode("utf-8"):
-        shown.append(chr(b) if 0x21 <= b <= 0x7E else f"%{b:02X}")
-    return "".join(shown)
+    return "".join(chr(b) if 0x21 <= b <= 0x7E else f"%{b:02X}" for b in url)
+
+
+class _Pieces:
+    """A file that arrives in pieces, of which only what is needed is held."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.more, self.held, self.at = iter(chunks), bytearray(), 0
+
+    def _grow(self) -> bool:
+        for chunk in self.more:
+            if chunk:
+                self.held += chunk
+                return True
+        return False
+
+    def _cut(self, size: int, drop: int = 0) -> bytes:
+        found = bytes(self.held[:size])
+        del self.held[: size + drop]
+        self.at += size + drop
+        return found
+
+    def until(self, end: bytes) -> bytes | None:
+        """What comes before ``end``, or None if that doesn't come."""
+        start = 0
+        while (stop := self.held.find(end, start)) < 0:
+            start = max(0, len(self.held) - len(end) + 1)
+            if not self._grow():
+                return None
+        return self._cut(stop, len(end))
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size and self._grow():
+            pass
+        return self._cut(size)
 
 
 def arc_file(records: list[ArcRecord], version: int, name: str = "pages.arc") -> bytes:
@@ -71,27 +106,30 @@ def arc_file(records: list[ArcRecord], version: int, name: str = "pages.arc") ->
     spare = b" 200 - - 0 %s" % name.encode() if version == 2 else b""
     out = [b"filedesc://%s 0.0.0.0 20000101000000 text/plain%s %d\n" % (name.encode(), spare, len(about)), about, b"\n"]
     for r in records:
-        head = " ".join((_address(r.url), r.ip, r.date, r.content_type)).encode("ascii")
+        head = " ".join((r.url, r.ip, r.date, r.content_type)).encode("ascii")
         out += [head, spare, b" %d\n" % len(r.body), r.body, b"\n"]
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
+def read_arc(chunks: Iterable[bytes]) -> Iterator[ArcRecord]:
     """Records of an ARC file of either version, by their declared lengths."""
-    at, version = 0, None
-    while at < len(data):
-        stop = data.find(b"\n", at)
-        if stop < 0:
-            raise ValueError(f"ARC header line at {at} does not end")
-        line = data[at:stop]
+    source, version = _Pieces(chunks), None
+    while True:
+        begin = source.at
+        line = source.until(b"\n")
+        if line is None:
+            if source.held.strip():
+                raise ValueError(f"ARC header line at {begin} does not end")
+            return
         if not line.strip():  # what separates records
-            at = stop + 1
             continue
-        length = int(line.rsplit(b" ", 1)[1])
-        body = data[stop + 1 : stop + 1 + length]
+        last = line.rsplit(b" ", 1)[-1].strip()
+        if not last.isdigit():
+            raise ValueError(f"ARC header line at {begin} declares no length: {line[:80]!r}")
+        length = int(last)
+        body = source.take(length)
         if len(body) < length:
-            raise ValueError(f"ARC record at {at} declares {length} bytes and has {len(body)}")
-        at = stop + 1 + length
+            raise ValueError(f"ARC record at {begin} declares {length} bytes and has {len(body)}")
         if version is None:
             if not line.startswith(b"filedesc://"):
                 raise ValueError("an ARC file begins with its version block")
@@ -99,11 +137,11 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
             continue
-        fields = line.rsplit(b" ", len(ARC_FIELDS[version].split()) - 1)
+        fields = line.strip().rsplit(b" ", len(ARC_FIELDS[version].split()) - 1)
         if len(fields) != len(ARC_FIELDS[version].split()):
-            raise ValueError(f"ARC version {version} header line has {len(fields)} fields")
-        url, ip, date, kind = (x.decode("ascii") for x in fields[:4])
-        yield ArcRecord(version, url, ip, date, kind, body)
+            raise ValueError(f"ARC version {version} header line at {begin} has {len(fields)} fields")
+        ip, date, kind = (x.decode("latin-1") for x in fields[1:4])
+        yield ArcRecord(version, _address(fields[0]), ip, date, kind, body, begin)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -127,66 +165,92 @@ def numbered(record: str) -> int | None:
     return number - (1 << 64) if number >> 63 else number
 
 
+def named_id(*names: object) -> str:
+    """A record id that follows from names (the file, the place in it, the address and the date)."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, names)))}>"
+
+
 def _split_http(block: bytes) -> tuple[bytes, bytes]:
-    head, _, payload = block.partition(END)
-    return head + END, payload
+    """Head, with the empty line that ends it, and payload."""
+    for end in (END, b"\n\n"):
+        if (at := block.find(end)) >= 0:
+            return block[: at + len(end)], block[at + len(end) :]
+    return block, b""
 
 
 def http_field(head: bytes, name: bytes) -> str | None:
-    for line in head.split(b"\r\n")[1:]:
+    for line in head.split(b"\n")[1:]:
         key, _, value = line.partition(b":")
         if key.lower() == name.lower():
-            return value.strip().decode("utf-8")
+            return value.strip().decode("latin-1")
     return None
 
 
-def to_warc(record: ArcRecord, original: int | None = None, is_revisit: bool = False) -> bytes:
-    """The equivalent WARC record, without the empty line that ends it."""
-    head, payload = _split_http(record.body)
-    block = head if is_revisit else record.body
-    d = record.date.ljust(14, "0")
-    page = http_field(head, b"X-Page-Id")
-    lines = [
-        "WARC/1.0",
-        f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(None if page is None else int(page))}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {record.url}",
-        f"WARC-IP-Address: {record.ip}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
-        f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if is_revisit:
-        lines[2:2] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(original)}"]
-    return "\r\n".join(lines).encode("ascii") + END + block
-
-
-def read_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def _iso(date: str) -> str:
+    d = date + "00000101000000"[len(date) :]  # shorter dates name a year, month or day
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = ["WARC/1.0", *[f"{k}: {v}" for k, v in fields], f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("ascii") + END + block + END
+
+
+def to_warc(record: ArcRecord, identifier: str, original: str | None = None) -> bytes:
+    """The equivalent WARC record; one with an ``original`` (a record id) revisits it."""
+    http = record.body.startswith(b"HTTP/")
+    head, payload = _split_http(record.body) if http else (b"", record.body)
+    kind = "revisit" if original else "response" if http else "resource"
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", identifier), ("WARC-Date", _iso(record.date)), ("WARC-Target-URI", record.url)]
+    if original:
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", original)]
+    if record.ip not in ("0.0.0.0", "-", ""):  # unknown
+        fields.append(("WARC-IP-Address", record.ip))
+    fields.append(("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"))
+    fields.append(("Content-Type", "application/http; msgtype=response" if http else _address(record.content_type.encode("latin-1"))))
+    return _record(fields, head if original else record.body)
+
+
+def _member(record: bytes) -> bytes:
+    press = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return press.compress(record) + press.flush()
+
+
+def warc_files(records: Iterable[tuple[str, str, bytes]], file_bytes: int) -> Iterator[bytes]:
+    """Whole WARC files from (record id, ARC date, record), each with its ``warcinfo``."""
+    out, size = [], 0
+    for identifier, date, record in records:
+        if out and size + len(record) > file_bytes:
+            yield b"".join(out)
+            out, size = [], 0
+        if not out:
+            about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", named_id("warcinfo", identifier)), ("WARC-Date", _iso(date)), ("Content-Type", "application/warc-fields")]
+            out.append(_member(_record(about, b"software: rangeflow\r\nformat: WARC File Format 1.0\r\n")))
+        out.append(_member(record))
+        size += len(record)
+    if out:
+        yield b"".join(out)
+
+
+def read_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and blocks, by declared lengths; ``chunks`` are pieces of an archive in order."""
-    held = bytearray()
-    for chunk in chunks:
-        held += chunk
-        at = 0
-        while (stop := held.find(END, at)) >= 0:
-            lines = bytes(held[at:stop]).decode("ascii").split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-            fields = dict(x.split(": ", 1) for x in lines[1:])
-            size = int(fields["Content-Length"])
-            begin, end = stop + len(END), stop + len(END) + size
-            if len(held) < end + len(END):
-                break
-            yield fields, bytes(held[begin:end])
-            at = end + len(END)
-        del held[:at]
-    if held:
+    source = _Pieces(chunks)
+    while (head := source.until(END)) is not None:
+        first, *lines = head.decode("utf-8").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"not a WARC record: {first[:40]!r}")
+        fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = int(fields["Content-Length"])
+        block = source.take(size)
+        if len(block) < size or source.take(len(END)) != END:
+            raise ValueError("an archive ends inside a record")
+        yield fields, block
+    if source.held:
         raise ValueError("an archive ends inside a record")
 
 
 def _inflated(data: bytes, step: int = 256 << 10, most: int = 4 << 20) -> Iterator[bytes]:
-    """The content of a file, gzipped or not, in pieces of bounded size."""
+    """The content of a file, gzipped (one member or many, zeros after the last) or not, in pieces of bounded size."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
@@ -195,17 +259,24 @@ def _inflated(data: bytes, step: int = 256 << 10, most: int = 4 << 20) -> Iterat
         rest = data[at : at + step]
         while rest:
             if unpack.eof:  # the next member
-                unpack = zlib.decompressobj(31)
-            yield unpack.decompress(rest, most)
-            rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
-    yield unpack.flush()
+                rest = rest.lstrip(b"\0")
+                unpack = zlib.decompressobj(31) if rest else unpack
+            if rest:
+                yield unpack.decompress(rest, most)
+                rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+    if not unpack.eof:
+        yield unpack.flush()
 
 
-def _page_record(page_id: int | None, url: str | None, html: str | None, version: int, date: str) -> ArcRecord:
+def _page_record(url: str | None, html: str | None, version: int, date: str) -> ArcRecord:
     payload = (html or "").encode("utf-8")
-    head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n"
-    head += f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
-    return ArcRecord(version, url, "0.0.0.0", date, "text/html", head.encode("ascii") + b"\r\n" + payload)
+    head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    return ArcRecord(version, _address((url or "urn:none").encode("utf-8")), "0.0.0.0", date, "text/html", head.encode("ascii") + payload)
+
+
+def _write(files: DataFrame, path: str) -> None:
+    """Each row's bytes as a file."""
+    files.select(F.col("file").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_archives(pages: DataFrame, path: str, p: WarcParams = WarcParams()) -> None:
@@ -214,7 +285,9 @@ def write_archives(pages: DataFrame, path: str, p: WarcParams = WarcParams()) ->
     Of pages with equal payloads of at least ``least_bytes`` the one with the
     largest id is a response, and the others revisit it. Only digests are
     grouped; the pages themselves join the list of revisits, which Spark
-    broadcasts if it is small and else meets by page id.
+    broadcasts if it is small and else meets by page id. A null html is an empty
+    payload, a null url ``urn:none``; pages without an id, and pages that repeat, are
+    records of their own; other columns are ignored; an empty table writes no archive.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -226,39 +299,71 @@ def write_archives(pages: DataFrame, path: str, p: WarcParams = WarcParams()) ->
     same = pages["page_id"].eqNullSafe(again["_page"]) & (F.sha1(payload) == again["_digest"])
     marked = pages.join(again, same, "left").select("page_id", "url", "html", "original")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64).to_pylist()
-                out = []
                 for version in ARC_FIELDS:
                     mine = [r for r in rows if (r["page_id"] or 0) % 2 + 1 == version]
-                    image = arc_file([_page_record(r["page_id"], r["url"], r["html"], version, p.date) for r in mine], version)
-                    for r, record in zip(mine, read_arc(image), strict=True):
-                        out.append(to_warc(record, r["original"], r["original"] is not None).decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
+                    image = arc_file([_page_record(r["url"], r["html"], version, p.date) for r in mine], version)
+                    for r, record in zip(mine, read_arc([image]), strict=True):
+                        own, original = record_id(r["page_id"]), r["original"]
+                        yield own, record.date, to_warc(record, own, None if original is None else record_id(original))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in warc_files(records(batches), p.file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
+
+    _write(marked.mapInArrow(convert, "file binary"), path)
+
+
+def convert_archives(spark: SparkSession, source: str, target: str, p: WarcParams = WarcParams()) -> None:
+    """Convert the ARC files at ``source`` (of either version, gzipped or not) to WARC files at ``target``.
+
+    Every record is converted, and its id follows from its file's name, its place there, its
+    address and its date. A file that breaks off or declares a wrong length is an error; one without
+    records, or no file at all, gives no archive. Spark reads whole files (of less than 2 GB; ARC
+    files have some 100 MB by convention); their content is unpacked in pieces.
+    """
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for record in read_arc(_inflated(content.as_py())):
+                    own = named_id(path.rsplit("/", 1)[-1], record.offset, record.url, record.date)
+                    yield own, record.date, to_warc(record, own)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in warc_files(records(batches), p.file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["file"])
 
-    writer = marked.mapInArrow(convert, "record string").write.option("lineSep", END.decode()).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", p.records_per_file).text(path)
+    _write(spark.read.format("binaryFile").load(source).select("path", "content").mapInArrow(convert, "file binary"), target)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, record_id) of every record."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, record_id) of every record but ``warcinfo``.
+
+    Digests are checked. Page ids are those that :func:`record_id` put into the record ids, null for
+    other records; bytes of a revisit's payload are what its HTTP head says (null if that is silent).
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
                 for fields, block in read_warc(_inflated(content.as_py())):
-                    head, payload = _split_http(block)
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = fields["WARC-Type"]
-                    if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:") or kind == "response" and sha1_base32(payload) != digest:
+                    if kind == "warcinfo":
+                        continue
+                    head, payload = _split_http(block) if fields["Content-Type"].startswith("application/http") else (b"", block)
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:") or kind != "revisit" and sha1_base32(payload) != digest:
                         raise ValueError(f"a digest doesn't hold: {fields['WARC-Record-ID']}")
+                    size = http_field(head, b"Content-Length") if kind == "revisit" else len(payload)
                     rows.append(
                         {
                             "page_id": numbered(fields["WARC-Record-ID"]),
-                            "payload_bytes": int(http_field(head, b"Content-Length")),
+                            "payload_bytes": None if size is None else int(size),
                             "payload_digest": digest,
                             "record_type": kind,
                             "refers_to": numbered(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,

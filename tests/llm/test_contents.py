@@ -1,6 +1,7 @@
 """Decontamination, packing, sharding, archives, urls and languages."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -189,19 +190,46 @@ def test_archives_round_trip(spark, least):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+BODY = b"HTTP/1.0 200 OK\r\nContent-Type: x\r\n\r\n\n\nbody \xff\n"
+
+
 def test_arc_versions_convert_alike():
-    records = [warc.ArcRecord(v, "http://a.b/c", "1.2.3.4", "19990102030405", "text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 5\r\n\r\n\n\nbody\n") for v in (1, 2)]
+    records = [warc.ArcRecord(v, "http://a.b/c", "1.2.3.4", "19990102030405", "text/html", BODY) for v in (1, 2)]
     images = [warc.arc_file([r, r], v) for v, r in zip((1, 2), records, strict=True)]
     assert images[0] != images[1]
-    read = [list(warc.read_arc(x)) for x in images]
-    assert [len(x) for x in read] == [2, 2] and {r.body for x in read for r in x} == {records[0].body}
-    assert warc.to_warc(read[0][0]) == warc.to_warc(read[1][0])
-    fields, block = next(warc.read_warc(iter([warc.to_warc(read[0][0]) + warc.END])))
-    assert fields["WARC-Date"] == "1999-01-02T03:04:05Z" and fields["WARC-Type"] == "response" and block == records[0].body
-    assert fields["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(b"\n\nbody\n") and warc.numbered(fields["WARC-Record-ID"]) == 5
-    for bad in (images[0][:-10], b"x" + images[0], images[0].replace(b"1 0 rangeflow", b"9 0 rangeflow")):
+    read = [list(warc.read_arc([x])) for x in images]
+    assert read[0] == list(warc.read_arc([bytes([b]) for b in images[0]]))  # whatever the pieces
+    assert [len(x) for x in read] == [2, 2] and {r.body for x in read for r in x} == {BODY}
+    one = warc.to_warc(read[0][0], warc.record_id(5))
+    assert one == warc.to_warc(read[1][0], warc.record_id(5))
+    fields, block = next(warc.read_warc([one]))
+    assert fields["WARC-Date"] == "1999-01-02T03:04:05Z" and fields["WARC-Type"] == "response" and block == BODY and fields["WARC-IP-Address"] == "1.2.3.4"
+    assert fields["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(b"\n\nbody \xff\n") and warc.numbered(fields["WARC-Record-ID"]) == 5
+    for bad in (images[0][:-10], b"x" + images[0], images[0].replace(b"1 0 rangeflow", b"9 0 rangeflow"), images[0] + b"no length\n"):
         with pytest.raises(ValueError):
-            list(warc.read_arc(bad))
+            list(warc.read_arc([bad]))
+
+
+def test_archives_of_arc_files(spark, tmp_path):
+    records = [warc.ArcRecord(1, f"http://a.b/{i}", "1.2.3.4", "19990102", "text/html", BODY + b"%d" % i) for i in range(50)]
+    records += [warc.ArcRecord(1, "dns:a.b", "-", "1999", "text/dns", b"a.b. 1 IN A 1.2.3.4\n"), warc.ArcRecord(1, "http://a.b/e", "1.2.3.4", "19990102", "no-type", b"")]
+    (tmp_path / "in").mkdir()
+    for name, version, pack in (("one.arc", 1, bytes), ("two.arc.gz", 2, gzip.compress)):
+        (tmp_path / "in" / name).write_bytes(pack(warc.arc_file(records, version)))
+    members = b"".join(gzip.compress(x) for x in (warc.arc_file([], 1), b"http://m/ 1.2.3.4 19990102030405 text/html 7\nHTTP/1\n\n"))
+    (tmp_path / "in" / "three.arc.gz").write_bytes(members)
+    warc.convert_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"), warc.WarcParams(file_bytes=2000))
+    found = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    assert len(found) == 105 == len({r.record_id for r in found}) and all(r.page_id is None for r in found)
+    assert Counter(r.record_type for r in found) == {"response": 101, "resource": 4}
+    assert {r.date for r in found if r.url == "dns:a.b"} == {"1999-01-01T00:00:00Z"}
+    by_url = {r.url: r.payload_digest for r in found}
+    assert by_url["http://a.b/7"] == warc.sha1_base32(b"\n\nbody \xff\n7") and by_url["dns:a.b"] == warc.sha1_base32(b"a.b. 1 IN A 1.2.3.4\n")
+    files = [x.read_bytes() for x in (tmp_path / "out").glob("part-*")]
+    assert len(files) > 10
+    for data in files:  # each begins with its description, and each record is a member of its own
+        kinds = [f["WARC-Type"] for f, _ in warc.read_warc([gzip.decompress(data)])]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1 and data.count(b"\x1f\x8b\x08") >= len(kinds)
 
 
 @pytest.mark.parametrize("n", [None, 0, 1, -1, 2**62, -(2**63), 2**63 - 1])
@@ -420,9 +448,7 @@ def test_registered_query_covers_all_documents(spark):
 
 
 def test_gzip_members_and_small_pieces():
-    import gzip
-
     raw = bytes(range(256)) * 5000
-    for data in (gzip.compress(raw), gzip.compress(raw) + gzip.compress(b"more") + gzip.compress(b""), raw):
+    for data in (gzip.compress(raw), gzip.compress(raw) + gzip.compress(b"more") + gzip.compress(b"") + bytes(200), raw):
         whole = raw + (b"more" if data.startswith(b"\x1f\x8b") and data.count(b"\x1f\x8b\x08") > 1 and len(data) > len(gzip.compress(raw)) else b"")
         assert b"".join(warc._inflated(data, step=100, most=1000)) == whole
