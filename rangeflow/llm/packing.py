@@ -23,14 +23,17 @@ from .wordhash import slices, trim
 
 #: Texts of up to so many bytes are encoded at a time.
 STEP_BYTES = 1 << 20
+#: What split patterns differ on: contractions, letters beside digits and signs, runs of space, other scripts, marks.
+PROBE = "Don't we'll I'M THEY'VE 12345x3.14 a_b--c?! #tag\t\tif (x):\r\n\r\n    return  y  \u00a0\u2003z e\u0301\u0301 \u0939\u093f \u65e5\u672c\u8a9e\u3067\u3059 \U0001f3fd\u200d antidisestablishmentarianism <|endoftext|> "
 
 
 class Encoder:
     """Ids of a ``tokenizers`` file, by the quicker of two equal encoders.
 
-    The file is read with ``tokenizers``. If the rank file holds exactly the
-    same vocabulary, the merges run in ``tiktoken`` (same ids, several times
-    the speed); otherwise ``tokenizers`` encodes.
+    The file is read with ``tokenizers``. If the rank file holds the same
+    vocabulary, no entry more or less but the added tokens, and both encode a probe alike
+    (it tells other split patterns and merges apart), the merges run in ``tiktoken`` (same
+    ids, several times the speed); otherwise ``tokenizers`` encodes.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -42,9 +45,11 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             letters = _byte_letters()
             named = {"".join(letters[b] for b in token): rank for token, rank in table.items()}
-            if named.items() == {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k in named}.items():
-                self.quick = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-                self.tokenizer = None  # one vocabulary in memory is enough
+            added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            if named == {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in added}:
+                quick = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+                if quick.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+                    self.quick, self.tokenizer = quick, None  # one vocabulary in memory is enough
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         if self.quick is not None:

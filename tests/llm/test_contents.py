@@ -108,6 +108,22 @@ def test_quick_encoder_gives_the_same_ids(spark):
     assert quick(texts) == plain(texts)
 
 
+def test_repeated_rows_give_pieces_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "some words here")] * 3, "doc_id long, text string")
+    got = packing.pack(docs, **tokenizer_files())
+    assert got.count() == got.select("sequence_id").distinct().count() == 3 * len(packing.pieces(4, 2048))
+
+
+def test_other_rank_files_are_refused(tmp_path):
+    files = tokenizer_files()
+    lines = open(files["ranks"], "rb").read().splitlines()
+    (tmp_path / "fewer").write_bytes(b"\n".join(lines[:-1]))
+    encoder = lambda ranks, pattern: packing.Encoder(files["tokenizer"], str(ranks), pattern)
+    assert encoder(files["ranks"], files["pattern"]).quick is not None
+    assert encoder(tmp_path / "fewer", files["pattern"]).quick is None
+    assert encoder(files["ranks"], r"\S+|\s+").quick is None
+
+
 # --- sharding ---------------------------------------------------------------
 
 
@@ -327,6 +343,15 @@ def test_odd_rows_and_evidence(spark):
     assert all(r.language is None for r in language.identify(odd, told, [], logs[:0]).collect())
 
 
+def test_very_long_texts(spark):
+    long = "the and of that with for this " * 200000
+    frame = spark.createDataFrame([(1, long, "en", "s"), (2, "der die das und nicht", "de", "s")], "doc_id long, text string, lang string, source string")
+    languages, logs = language.fit(frame, language.LanguageParams())
+    none = spark.createDataFrame([], "doc_id long, host string, declared string")
+    assert {r.doc_id: r.language for r in language.identify(frame, none, languages, logs).collect()} == {1: "en", 2: "de"}
+    assert {r.doc_id: r["size"] for r in sharding.shard(frame).collect()} == {1: len(long) + 16, 2: 21 + 16}
+
+
 def test_every_page_of_a_document_counts(spark):
     pages = spark.createDataFrame([(1, "http://a.com/5", "<html lang='de'>"), (2, "http://b.com/5", "<html lang=DE>"), (3, "http://c.com/5", "<html>"), (4, "http://c.com/x", "")], "page_id long, url string, html string")
     found = language.page_evidence(pages, page_document()).collect()

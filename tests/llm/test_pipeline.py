@@ -78,6 +78,15 @@ def test_stages_keep_columns_and_take_odd_rows(spark, stage):
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
 
 
+def test_packing_takes_odd_rows(spark):
+    schema = "doc_id long, text string, length string, start long, ids_crc32 string"
+    docs = spark.createDataFrame([(1, None, "x", 1, None), (None, "a b", None, 2, "y"), (2, "", "x", 3, "z"), (3, "w " * 5000, "x", 4, ""), (3, "w " * 5000, "x", 4, "")], schema)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert got.where("doc_id = 1 or doc_id = 2").select("length", "doc_tokens").distinct().collect() == [(1, 1)]
+    assert got.where("doc_id is null").agg({"length": "sum"}).first()[0] == 3 and got.where("doc_id = 3").agg({"length": "sum"}).first()[0] == 2 * got.where("doc_id = 3").first().doc_tokens
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_near_duplicates_need_no_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in neardup.near_duplicates(docs).collect()}

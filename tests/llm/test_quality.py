@@ -62,7 +62,7 @@ TEXTS = [
 
 def test_counts_and_verdicts_match_brute_force(spark):
     rules = quality.QualityRules()
-    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(TEXTS)] + [(None, TEXTS[4], False)], "doc_id long, text string, kept boolean")
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(TEXTS)] + [(None, TEXTS[4], False), (4, TEXTS[4], True), (4, TEXTS[4], True)], "doc_id long, text string, kept boolean")
     for r in quality.quality_rules(docs, rules).collect():
         expected = brute(TEXTS[4 if r.doc_id is None else r.doc_id], rules)
         assert {k: r[k] for k in expected} == expected, r.doc_id
