@@ -2,9 +2,11 @@
 
 1. Each rule's regular expression gives a Boolean trigram query
    (:mod:`.trigrams`).
-2. Postings (trigram, document) are made in one pass over the texts for the trigrams
-   that any query asks for, joined with the clauses of the queries, and intersected for
-   each document and clause: the bits of the trigrams found must make up the clause.
+2. Postings (trigram, document) are made for the trigrams that any query asks for: one
+   pass over the texts finds the rarest trigram of each clause, and only where that one is
+   the others of the clause are looked for, rarest first. They are joined with the clauses of
+   the queries and intersected for each document and clause: the bits of the trigrams
+   found must make up the clause.
 3. Only documents with a satisfied clause are searched with the rule's regular
    expression; rules without mandatory trigrams search all documents.
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, disguised
-from .trigrams import one_pass, trigram_query
+from .trigrams import by_rarity, one_pass, trigram_query
 
 
 @dataclass(frozen=True)
@@ -61,10 +63,19 @@ STEP = 256
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint,start_byte:bigint,end_byte:bigint,counts:boolean>>"
 
 
-def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The inverted index, for the given trigrams: (trigram, doc_id), in one pass over the texts."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(one_pass(vocabulary)), F.lit(1)))
-    return docs.select(F.explode(found).alias("trigram"), "doc_id")
+def postings(docs: DataFrame, clauses: list[frozenset[str]]) -> DataFrame:
+    """The inverted index for the trigrams of these clauses: (trigram, doc_id), as far as a clause may hold."""
+    ordered = [by_rarity(c) for c in clauses]
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    low = low.withColumn("first", F.array_distinct(F.regexp_extract_all("low", F.lit(one_pass(sorted({c[0] for c in ordered}))), F.lit(1))))
+    none = F.array().cast("array<string>")
+    found = []
+    for first, *others in ordered:
+        more = none
+        for gram in reversed(others):
+            more = F.when(F.contains("low", F.lit(gram)), F.concat(F.array(F.lit(gram)), more)).otherwise(none)
+        found.append(F.when(F.array_contains("first", first), F.concat(F.array(F.lit(first)), more)).otherwise(none))
+    return low.where(F.size("first") > 0).select(F.explode(F.array_distinct(F.concat(*found))).alias("trigram"), "doc_id")
 
 
 def candidates(docs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
@@ -75,7 +86,7 @@ def candidates(docs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
         for j, grams in enumerate(trigram_query(rule.pattern) or []):
             clauses += [(i, j, 1 << k, (1 << len(grams)) - 1, t) for k, t in enumerate(sorted(grams))]
     table = spark.createDataFrame(clauses, "rule int, clause int, bit long, full long, trigram string")
-    index = postings(docs, sorted({c[-1] for c in clauses}))
+    index = postings(docs, [c for rule in rules for c in trigram_query(rule.pattern) or []])
     # the clauses are as many as the rules say, whatever the corpus
     met = index.join(F.broadcast(table), "trigram").groupBy("doc_id", "rule", "clause", "full").agg(F.bit_or("bit").alias("bits"))
     return met.where("bits = full").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("may"))

@@ -13,6 +13,8 @@ from re import _constants as C
 from re import _parser as parser
 
 GAP = "\0"
+#: Characters by how common they are in prose, the commonest first (others are rarer than these).
+COMMON = " etaoinsrhldcumfgpwybvkjxqz"
 #: A class of more characters than this ends a run; so many ways at most are told apart.
 MOST_CHARS, MOST_WAYS = 8, 64
 
@@ -76,6 +78,13 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return [c for c in dict.fromkeys(clauses) if not any(d < c for d in clauses)]
 
 
+def by_rarity(clause: frozenset[str]) -> list[str]:
+    """The trigrams of a clause, the one to look for first in front: its first character lets a search skip most places."""
+    rank = lambda c: COMMON.index(c) if c in COMMON else len(COMMON)
+    first = max(sorted(clause), key=lambda t: (rank(t[0]), sum(map(rank, t))))
+    return [first, *sorted(clause - {first}, key=lambda t: (-sum(map(rank, t)), t))]
+
+
 def one_pass(grams: list[str]) -> str:
     """A Java expression whose group 1 is, at each place of a lower-case text, the trigram that starts there, if asked for.
 

@@ -102,3 +102,12 @@ def test_no_python_in_the_plan(spark):
     for out in (secrets.find_secrets(docs), secrets.redact(docs)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_postings_are_of_the_trigrams_in_a_text(spark):
+    docs = spark.createDataFrame([(1, "a ToKen here"), (2, "broken"), (3, "no such"), (None, "AKIA and xoxb-"), (4, None)], "doc_id long, text string")
+    clauses = [c for r in secrets.RULES for c in trigram_query(r.pattern) or []]
+    found = {}
+    for r in secrets.postings(docs, clauses).collect():
+        found.setdefault(r.doc_id, set()).add(r.trigram)
+    assert found == {1: {"tok", "oke", "ken"}, 2: {"ken"}, None: {"aki", "kia", "xox", "oxb", "xb-"}}
