@@ -1,11 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Windows of benchmark words become patterns over normalised text: its words in
-lower case, as numbers. Each document is normalised once and scanned once; the
-automaton reports the words at which matches end, and these map back to code
-points of the original text.
+lower case, each a number of a few digits (all words that no item has are one). Each
+document is normalised once and scanned once; the automaton reports where matches end,
+which maps back to word numbers and to code points of the original text.
 
-An automaton holds a state for each of a window's words, so its size is checked: a
+An automaton holds a state for each digit of a window, so its size is checked: a
 benchmark of more bytes than ``AUTOMATON_BYTES`` stays distributed. Then each
 document's windows are looked up in a bitmap of bounded size, and those found
 there join the benchmark's windows by their 128-bit names.
@@ -14,6 +14,7 @@ there join the benchmark's windows by their 128-bit names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,9 +37,13 @@ SEPARATES = np.array([NORMAL[b] == 0x20 for b in range(256)])
 #: The same for normalised bytes.
 NORMAL_BYTES, SPACE_ONLY = np.frombuffer(NORMAL, np.uint8), np.arange(256) == 0x20
 
-#: Bytes of benchmark text that an automaton takes: a state of some 100 bytes for each of the ``window`` words
-#: of a window, and a window for each word, so about 150 bytes a byte.
+#: Bytes of benchmark text that an automaton takes: a window starts at each word, and its words have two or three
+#: digits with a state of about 60 bytes each, so some 200 bytes a byte.
 AUTOMATON_BYTES = 1 << 20
+#: Digits of word numbers; the first of a word is of another kind, so matches begin where words do. Nodes search
+#: their branches one by one, so a digit has few values.
+LEADS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UNKNOWN = "~"
 #: Bits of the bitmap that stands in for a larger benchmark, at most (the driver makes it of so many / 64 rows).
 FILTER_BITS = 1 << 26
 
@@ -51,28 +56,40 @@ def item_windows(text: str | None, k: int) -> set[tuple[bytes, ...]]:
 
 
 class Matcher:
-    """The automaton over numbered words; patterns carry their length and the items that have them."""
+    """The automaton over numbered words; patterns carry their number of words and the items that have them."""
 
     def __init__(self, items: list[tuple], k: int):
         owners: dict[tuple, set] = {}
         for item_id, text in items:
             for window in item_windows(text, k):
                 owners.setdefault(window, set()).add(item_id)
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        words = sorted({w for window in owners for w in window})
+        self.numbers = dict(zip(words, self._numbers(len(words)), strict=True))
+        self.automaton = ahocorasick.Automaton()
         for window, ids in owners.items():
-            self.automaton.add_word(tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in window]), (len(window), tuple(ids)))
+            self.automaton.add_word("".join([self.numbers[w] for w in window]), (len(window), tuple(ids)))
         if owners:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _numbers(n: int) -> list[str]:
+        size = 1
+        while len(LEADS) * len(DIGITS) ** (size - 1) < n:
+            size += 1
+        return ["".join(x) for x in itertools.islice(itertools.product(LEADS, *[DIGITS] * (size - 1)), n)]
+
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, tuple]]]:
         """Number of words, and the matches as (first word, end word, items)."""
         found = text.translate(NORMAL).split()
         if not found or not len(self.automaton):
             return len(found), []
-        known = self.numbers.get
-        numbers = tuple([known(w, 0) for w in found])
-        return len(found), [(at + 1 - n, at + 1, ids) for at, (n, ids) in self.automaton.iter(numbers)]
+        parts = list(map(self.numbers.get, found, itertools.repeat(UNKNOWN)))
+        matches = list(self.automaton.iter("".join(parts)))
+        if not matches:
+            return len(found), []
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        lasts = np.searchsorted(ends, [at + 1 for at, _ in matches]) + 1
+        return len(found), [(int(last) - n, int(last), ids) for last, (_, (n, ids)) in zip(lasts, matches, strict=True)]
 
 
 ADDED = (
