@@ -328,9 +328,7 @@ class _Members:
         self.ids, self.comp, self.size, self.bins, self.mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "bins", "mine"))
         self.comp = self.comp.copy()  # links found here join components here
         self.flat = np.stack(group.column("sketch").to_numpy()).view(U64)
-        self.bands = np.stack(group.column("bands").to_numpy())
-        same = np.flatnonzero(self.bands[0] == group.column("key")[0].as_py())
-        self.band = int(same[0]) if len(same) and not group.column("anew")[0].as_py() else 0
+        self.bands = np.stack(group.column("bands").to_numpy()).reshape(group.num_rows, -1)  # before this key's own
         self.two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
 
     def partners(self, i: int) -> np.ndarray:
@@ -342,7 +340,7 @@ class _Members:
         at = np.flatnonzero(ok)
         bits = np.bitwise_count(self.flat[at] ^ self.flat[i]).sum(axis=1)
         at = at[bits <= most_bits(self.bins[at], self.bins[i], size[at], size[i], p)]
-        return at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+        return at[~(self.bands[at] == self.bands[i]).any(axis=1)]
 
 
 def _in_play(dealt: DataFrame, p: NearDupParams) -> DataFrame:
@@ -419,18 +417,19 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     release(written - 1, keep=mark() - written)  # the signatures are in the nodes now
     own = nodes.where("bands is not null")
     rows = own.select("doc_id", F.explode("bands").alias("key"))
-    heads = cut(rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("head < last").select("key", "head", "size"), "heads")
+    heads = cut(rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head"), "heads")
+    shared = cut(rows.join(heads, "key"), "shared")  # rows of bands that nobody else has are gone
     twins = nodes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     graph = _Graph(docs, p)
 
     # each document with the smallest head of its buckets, then with heads of other components
-    stars = cut(rows.join(heads.select("key", "head"), "key").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "all-stars")
+    stars = cut(shared.where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "all-stars")
     graph.confirm(_filtered(stars.groupBy("a").agg(F.min("b").alias("b")), own, p), "smallest")
     apart = graph.label(graph.label(stars, "a", "x"), "b", "y").where("x <> y").select("a", "b")
     graph.confirm(_filtered(apart.join(graph.tested, ["a", "b"], "left_anti"), own, p), "stars")
 
     # a doc_id of several texts has several band lists, and is a member by each of its keys
-    members = graph.label(rows.join(heads.select("key"), "key").distinct(), "doc_id", "component")
+    members = graph.label(shared.select("key", "doc_id").distinct(), "doc_id", "component")
     left = cut(_mixed(cut(members, "members")), "mixed-members")
     wide = left.where(F.col("size") > p.block)
     left = left.where(F.col("size") <= p.block).withColumn("anew", F.lit(False))
@@ -439,7 +438,10 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
         again = graph.label(_rekeyed(wide, graph.texts, p), "doc_id", "component")
         left = left.union(_mixed(cut(again, "anew")).withColumn("anew", F.lit(True)).select(left.columns))
     left = left.join(own.select("doc_id", "n_shingles", "bins", "bands", "sketch"), "doc_id")
-    left = left.where(F.col("anew") | F.array_contains("bands", F.col("key")))
+    place = F.array_position("bands", F.col("key")).cast("int")
+    left = left.where(F.col("anew") | (place > 0))
+    left = left.withColumn("bands", F.when(F.col("anew"), F.array().cast("array<bigint>")).otherwise(F.slice("bands", 1, F.greatest(place - 1, F.lit(0)))))  # those before the key's own
+    left = cut(left, "left")  # with sketches, for both passes below
     play = cut(_in_play(_dealt(left, p), p), "play")
     if play.limit(1).count():
         graph.fetch(play.select("doc_id").distinct(), "across")
