@@ -466,11 +466,12 @@ def keep_first(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame
     are not compared and all stay. Null texts, empty texts and texts without words are
     groups of their own; other columns may have any name; an empty table gives no rows.
     """
-    kept = near_duplicates(docs, p).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
-    kept = cut(kept, "kept")
-    found = docs.join(kept, docs["doc_id"] == kept["_kept_id"])
-    own = [docs[c] for c in docs.columns]
-    out = found.where("_kept_rows = 1").select(*own).union(docs.where(F.col("doc_id").isNull()))
-    if kept.where("_kept_rows > 1").limit(1).count():
-        out = out.union(found.where("_kept_rows > 1").select(*own).dropDuplicates(["doc_id", "text"]))
+    found = near_duplicates(docs, p).where("doc_id is not null")
+    # texts meet the ids that go, which are fewer than those that stay
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    twice = cut(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    if twice.limit(1).count():
+        again = out.join(twice, out["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(twice, out["doc_id"] == twice["_id"], "left_anti").union(again)
     return out
