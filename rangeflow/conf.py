@@ -44,6 +44,7 @@ class Conf:
     migration_cost: float = 0.20
     rebalance_cost: float = 0.02
     log_level: str = "INFO"
+    log_all_workers: bool = False
     trace: bool = False
     timing: bool = False
 

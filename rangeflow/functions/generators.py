@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the stream: multiplier, increment, modulus.
@@ -32,15 +34,39 @@ def jump(steps: int) -> tuple[int, int]:
     return factor, offset
 
 
-def lcg_at(seed: int, position: Column, bits: int = 40) -> Column:
+def _digits(seed: int, bits: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(lowest bit, factors, offsets) for twelve bits of a position at a time."""
+    for low in range(0, bits, 12):
+        maps = [jump(d << low) for d in range(1 << 12)]
+        yield low, [f for f, _ in maps], [(f * (seed & MASK) + o) & MASK if low == 0 else o for f, o in maps]
+
+
+def _pick(values: list[int], position: Column, low: int) -> Column:
+    digit = F.shiftright(position, low).bitwiseAND(4095).cast("int")
+    return F.coalesce(F.get(F.lit(values), digit), F.lit(0))  # never null, which spares filters
+
+
+def lcg_at(seed: int, position: Column, bits: int = 36) -> Column:
     """The state after ``position`` steps from one seed, in closed form for each row.
 
-    The bits of the position choose which powers of the affine map to apply, so any
-    row of a long stream is worked out alone: nothing runs in sequence.
+    Twelve bits of the position at a time look up the affine map of so many steps, so any
+    row of a long stream is worked out alone, in generated code: nothing runs in sequence.
     """
-    powers = F.array(*[F.struct(F.lit(b).alias("bit"), *[F.lit(x).cast("long").alias(n) for n, x in zip("fo", jump(1 << b), strict=True)]) for b in range(bits)])
-    step = lambda s, x: F.when(F.call_function("shiftright", position, x["bit"]).bitwiseAND(1) == 1, _affine(s, x["f"], x["o"])).otherwise(s)
-    return F.aggregate(powers, F.lit(seed & MASK).cast("long"), step)
+    state = None
+    for low, factors, offsets in _digits(seed, bits):
+        at = _pick(offsets, position, low)
+        state = at if state is None else _affine(state, _pick(factors, position, low), at)
+    return state
+
+
+def with_lcg(df: DataFrame, position: Column, out: str, seed: int, bits: int = 36) -> DataFrame:
+    """``df`` with :func:`lcg_at` as a column, a step a projection: none is computed twice."""
+    df = df.withColumn("_position", position)
+    at = F.col("_position")
+    for low, factors, offsets in _digits(seed, bits):
+        step = _pick(offsets, at, low)
+        df = df.withColumn(out, step if low == 0 else _affine(F.col(out), _pick(factors, at, low), step))
+    return df.drop("_position")
 
 
 def lcg_fold(seed: Column, steps: int) -> Column:

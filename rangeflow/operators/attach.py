@@ -17,23 +17,50 @@ class Access(Enum):
     SHARED_ALL = "shared_all"
 
 
-#: Most rows that a replicated buffer may have to be broadcast; larger ones join by shuffle.
-REPLICA_ROWS = 1_000_000
+#: Most bytes that a replicated buffer may have to be broadcast, by the plan's statistics; larger ones join by shuffle.
+REPLICA_BYTES = 64 << 20
 
 
 def attach(space: DataFrame, buffer: DataFrame, access: Access = Access.PARTITIONED, on: str = "i", result: bool = False) -> DataFrame:
     """``space`` with a buffer bound to it by a key.
 
-    Partitioned buffers are joined by index. Replicated ones are broadcast if a
-    count shows that they are small. An output (``result``) cannot be replicated
-    on all workers, which raises.
+    Partitioned buffers are joined by index. Replicated ones are broadcast if the
+    optimizer knows them to be small (it estimates bytes from above, without running anything).
+    An output (``result``) cannot be replicated on all workers, which raises.
     """
     if result and access is Access.SHARED_ALL:
         raise ValueError("an output cannot be replicated on all workers")
     if access is Access.PARTITIONED:
         return space.join(buffer, on)
-    small = buffer.limit(REPLICA_ROWS + 1).count() <= REPLICA_ROWS
-    return space.join(F.broadcast(buffer) if small else buffer, on)
+    return space.join(F.broadcast(buffer) if planned_bytes(buffer) <= REPLICA_BYTES else buffer, on)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def from_root(values: DataFrame, ranks: DataFrame, root: int = 0) -> DataFrame:
+    """The root's row of ``values`` (rank and others) for every rank of ``ranks``: both have a row a worker."""
+    own = values.where(F.col("rank") == root).drop("rank")
+    return ranks.select("rank").crossJoin(F.broadcast(own))
+
+
+def allgather(field: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The whole field for every rank: rows of ``field`` times the few ranks (a row a worker)."""
+    return field.crossJoin(F.broadcast(ranks.select("rank")))
+
+
+def ragged_resync(buffer: DataFrame, owners: DataFrame, row: str = "row") -> DataFrame:
+    """(rank, i, size, base, row): a buffer of array rows dealt to new owners (rank, s, e).
+
+    ``base`` is where a row begins in its owner's flat buffer. Owners are a few ranges a worker; rows meet
+    theirs by position, and bases are summed for each owner.
+    """
+    held = buffer.join(F.broadcast(owners.select("rank", "s", "e")), (F.col("i") >= F.col("s")) & (F.col("i") < F.col("e")))
+    size = F.coalesce(F.size(row), F.lit(0)).cast("long")
+    before = Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.withColumn("size", size).select("rank", "i", "size", (F.sum("size").over(before) - F.col("size")).alias("base"), row)
 
 
 def output(space: DataFrame, name: str, kind: str = "double") -> DataFrame:
@@ -56,8 +83,8 @@ def to_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("x")).select("i", F.transform("x", lambda c: c["v"]).alias("row"))
 
 
-def running_total(df: DataFrame, index: str, value: str, out: str, block: int = 1 << 16) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` before each row in the order of ``index``.
+def running_total(df: DataFrame, index: str, value: str, out: str, block: int = 1 << 16, total: str | None = None) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` before each row in the order of ``index`` (and ``total``, if named: that of all).
 
     Two levels: totals of index blocks (few rows) are summed in one task, rows inside
     each block in theirs. No task sorts all rows.
@@ -65,10 +92,11 @@ def running_total(df: DataFrame, index: str, value: str, out: str, block: int =
     rows = df.withColumn("_block", quotient(F.col(index).cast("long"), block))
     totals = rows.groupBy("_block").agg(F.sum(value).alias("_n"))
     upto = Window.partitionBy(F.lit(1)).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.select("_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    every = [F.sum("_n").over(Window.partitionBy(F.lit(1))).alias(total)] if total else []
+    totals = totals.select("_block", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), *every)
     inside = Window.partitionBy("_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("_before") + F.sum(value).over(inside) - F.col(value)
-    return rows.join(totals, "_block").withColumn(out, total).drop("_block", "_before")
+    before = F.col("_before") + F.sum(value).over(inside) - F.col(value)
+    return rows.join(totals, "_block").withColumn(out, before).drop("_block", "_before")
 
 
 def csr_offsets(cells: DataFrame, rows: int) -> DataFrame:

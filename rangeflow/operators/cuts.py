@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +55,19 @@ def updated_weights(throughputs: Sequence[float], old_size: int, target: int) ->
     return [x / total if k < target else 0.0 for k, x in enumerate(throughputs)]
 
 
-def weighted_cuts(weights: DataFrame, total: int) -> DataFrame:
-    """(rank, start, size) from (rank, weight): the part of :func:`weighted` that is relational.
+def weighted_cuts(weights: DataFrame, total: int, balancing: bool = True) -> DataFrame:
+    """(rank, start, size) from (rank, weight): :func:`weighted` of the table's rows, in the order of ranks.
 
-    For positive weights that leave no part empty. The table has one row a worker.
+    The table has one row a worker, so one task holds it.
     """
-    every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = F.lit(total) * F.col("weight") / F.sum("weight").over(every)
-    rows = weights.select("rank", share.alias("share")).withColumn("floor", F.floor("share").cast("long"))
-    left = F.lit(total) - F.sum("floor").over(every)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("share") - F.col("floor")).desc(), "rank"))
-    size = F.col("floor") + F.when(place <= left, 1).otherwise(0)
-    before = Window.partitionBy(F.lit(1)).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("rank", size.cast("long").alias("size")).withColumn("start", (F.sum("size").over(before) - F.col("size")).cast("long"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        found = weighted(total, rows.weight.tolist(), len(rows), balancing)
+        return pd.DataFrame({"rank": rows["rank"], "start": found[:-1], "size": [b - a for a, b in zip(found, found[1:], strict=False)]})
+
+    kind = weights.schema["rank"].dataType.simpleString()
+    return weights.select("rank", F.col("weight").cast("double").alias("weight"), F.lit(0).alias("all")).groupBy("all").applyInPandas(run, f"rank {kind}, start long, size long")
 
 
 def cost_cuts(telemetry: DataFrame, target: int) -> DataFrame:
@@ -132,11 +133,8 @@ def row_cuts(degrees: DataFrame, parts: int, row: str = "r", size: str = "nnz")
     degrees has a row a matrix row. Sums run block by block, and each row finds the
     shares that it is the first to reach: no task sees all rows.
     """
-    rows = running_total(degrees.select(F.col(row).alias("r"), F.col(size).cast("long").alias("n")), "r", "n", "before")
-    total = degrees.agg(F.sum(size).cast("long")).first()[0] or 0
-    if not total:
-        return rows.where(F.lit(False)).select(F.lit(0).cast("int").alias("part"), F.col("r").alias("cut"))
-    reached = lambda c: (c * parts - c * parts % total) / total  # noqa: E731  shares up to a cumulative size
+    rows = running_total(degrees.select(F.col(row).alias("r"), F.col(size).cast("long").alias("n")), "r", "n", "before", total="total").where("total > 0")
+    reached = lambda c: (c * parts - c * parts % F.col("total")) / F.col("total")  # noqa: E731  shares up to a cumulative size
     hit = rows.withColumns({"low": reached(F.col("before")).cast("int"), "high": reached(F.col("before") + F.col("n")).cast("int")})
     shares = F.explode(F.sequence(F.col("low") + 1, "high")).alias("part")
     return hit.where("high > low").select(shares, F.col("r").alias("cut")).where(F.col("part") < parts)

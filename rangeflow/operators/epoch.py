@@ -120,13 +120,19 @@ def horizon_is_short(m: EpochMetrics, epochs: float) -> bool:
     return left < epochs * m.epoch_ms / 1000
 
 
-def ewma(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.5) -> DataFrame:
+def ewma(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.5, reset: str | None = None) -> DataFrame:
     """(by, ewma): keep * old + (1 - keep) * new, in order inside each group.
 
     As a weighted sum: a value has the weight (1 - keep) keep^age, the first one
-    keep^age alone. Groups are sorted (and spill), never held in memory.
+    keep^age alone. Groups are sorted (and spill), never held in memory. Whenever the
+    column ``reset`` (a size) differs from the row before, the average starts anew.
     """
     rows = rows.where(F.col(value).isNotNull())
+    if reset:  # what follows the last change counts
+        back = Window.partitionBy(by).orderBy(F.col(order).desc())
+        changes = F.sum(F.col("_new").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1))
+        here = ~F.lag(reset).over(Window.partitionBy(by).orderBy(order)).eqNullSafe(F.col(reset))
+        rows = rows.withColumn("_new", here).withColumn("_after", F.coalesce(changes, F.lit(0))).where("_after = 0")
     newest, oldest = (Window.partitionBy(by).orderBy(c) for c in (F.col(order).desc(), F.col(order)))
     aged = rows.select(by, value, (F.row_number().over(newest) - 1).alias("age"), (F.row_number().over(oldest) == 1).alias("first"))
     weight = F.pow(F.lit(float(keep)), F.col("age")) * F.when(F.col("first"), 1.0).otherwise(1.0 - keep)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, periodic_weight
 from ..functions.generators import lcg_fold, lcg_next, unit
-from .space import loop, quotient
+from .space import loop, loop_nd, quotient
 
 
 # --- element-wise -----------------------------------------------------------
@@ -27,9 +28,11 @@ def elementwise(a: Column, b: Column, passes: int = 1000) -> Column:
 
 
 def matvec(matrix: DataFrame, x: list[float] | Column, row: str = "row") -> DataFrame:
-    """``matrix`` with ``y``: each row array times a replicated vector."""
-    vector = x if isinstance(x, Column) else F.array(*[F.lit(float(v)) for v in x])
-    return matrix.withColumn("y", dot(F.col(row), vector))
+    """``matrix`` with ``y``: each row array times a replicated vector (one array value, broadcast as a row)."""
+    if isinstance(x, Column):
+        return matrix.withColumn("y", dot(F.col(row), x))
+    vector = matrix.sparkSession.createDataFrame([([float(v) for v in x],)], "_x array<double>")
+    return matrix.crossJoin(F.broadcast(vector)).withColumn("y", dot(F.col(row), F.col("_x"))).drop("_x")
 
 
 def matmul(a: DataFrame, b: DataFrame, skip_zeros: bool = False) -> DataFrame:
@@ -76,6 +79,50 @@ def stencil_step(field: DataFrame, size: int, alpha: float = 0.25, block: int =
     return rows.select("i", (F.col("u") + alpha * (left - 2 * F.col("u") + right)).alias("u"))
 
 
+def stencil_many(field: DataFrame, size: int, steps: int, cut, alpha: float = 0.25, block: int = 1 << 14, depth: int = 256) -> DataFrame:
+    """(i, u) after many periodic steps: blocks with a halo of ``depth`` cells do as many steps alone.
+
+    A round is one shuffle of the cells (and the halos, 2 depth / block more) instead of one
+    a step; ``cut`` ends the lineage after it. A block is at most twice ``block`` cells in a NumPy array.
+    """
+    n_blocks = max(1, size // max(block, depth))
+    each = size // n_blocks if n_blocks > 1 else size
+    while steps > 0 and size > 0:
+        k = min(depth, steps)
+        field = cut(_stencil_round(field, size, each, n_blocks, k, alpha))
+        steps -= k
+    return field
+
+
+def _stencil_round(field: DataFrame, size: int, each: int, n_blocks: int, k: int, alpha: float) -> DataFrame:
+    own = F.least(quotient(F.col("i"), each), F.lit(n_blocks - 1))
+    start = lambda b: b * each
+    length = lambda b: F.when(b == n_blocks - 1, size - start(b)).otherwise(each)
+    place = F.col("i") - start(own)
+    left, right = F.pmod(own - 1, F.lit(n_blocks)), F.pmod(own + 1, F.lit(n_blocks))
+    spot = lambda b, p: F.struct(b.alias("block"), p.alias("place"))
+    copies = [F.array(spot(own, place))]
+    if n_blocks > 1:
+        none = F.array().cast("array<struct<block:bigint,place:bigint>>")
+        copies.append(F.when(place < k, F.array(spot(left, length(left) + place))).otherwise(none))
+        copies.append(F.when(place >= length(own) - k, F.array(spot(right, place - length(own)))).otherwise(none))
+
+    def run(cells: pa.Table) -> pa.Table:
+        order = np.argsort(cells.column("place").to_numpy())
+        u, i = cells.column("u").to_numpy()[order], cells.column("i").to_numpy()[order]
+        if n_blocks == 1:
+            for _ in range(k):
+                u = u + alpha * (np.roll(u, 1) - 2 * u + np.roll(u, -1))
+        else:
+            i = i[k:-k]
+            for _ in range(k):
+                u = u[1:-1] + alpha * (u[:-2] - 2 * u[1:-1] + u[2:])
+        return pa.table({"i": pa.array(i), "u": pa.array(u)})
+
+    dealt = field.select("i", "u", F.explode(F.concat(*copies)).alias("x")).select("i", "u", "x.block", "x.place")
+    return dealt.groupBy("block").applyInArrow(run, "i long, u double")
+
+
 def residual(before: DataFrame, after: DataFrame) -> DataFrame:
     """A single row: the sum of squared changes of (i, u)."""
     both = before.join(after.select("i", F.col("u").alias("un")), "i")
@@ -163,6 +210,12 @@ def vector_workload(spark, n: int = 200) -> DataFrame:
     return loop(spark, n).select("i", elementwise(i + 1, F.lit(float(n)) - i).alias("c"))
 
 
+def vector_nd_workload(spark, rows: int = 4, cols: int = 50) -> DataFrame:
+    """(y, x, c): the same over nested loops that run as one."""
+    i, n = F.col("i").cast("double"), float(rows * cols)
+    return loop_nd(spark, [0, 0], [rows, cols], ["y", "x"]).select("y", "x", elementwise(i + 1, n - i).alias("c"))
+
+
 def normalize_workload(spark, n: int = 4000) -> DataFrame:
     from .reduce import scaled_by_norm
 

@@ -70,6 +70,28 @@ def transfer_plan(work: DataFrame, cuts: DataFrame) -> DataFrame:
     return pieces.select(F.col("rank").alias("old_rank"), F.col("part").alias("new_rank"), a.alias("start"), (b - a).alias("count")).where("count > 0")
 
 
+def exchange(held: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(old_rank, new_rank, s, e, kind): which real ranges change hands, from remaining ranges and new cuts.
+
+    held: (rank, ord, s, e), cuts: (part, s, e) in the virtual space of the held ranges, one after
+    the other. A range is kept, moved, or scattered by the only rank that holds any. A few rows a worker.
+    """
+    rows = with_offsets(held)
+    sources = held.select(F.count_distinct("rank").alias("sources"))
+    target = cuts.select("part", F.col("s").alias("cs"), F.col("e").alias("ce"))
+    base, n = F.col("base"), F.col("e") - F.col("s")
+    a, b = overlap(base, base + n, F.col("cs"), F.col("ce"))
+    met = rows.join(F.broadcast(target), (base < F.col("ce")) & (F.col("cs") < base + n)).crossJoin(F.broadcast(sources))
+    kind = F.when(F.col("rank") == F.col("part"), "keep").when(F.col("sources") == 1, "scatter").otherwise("move")
+    return met.select(F.col("rank").alias("old_rank"), F.col("part").alias("new_rank"), (F.col("s") + a - base).alias("s"), (F.col("s") + b - base).alias("e"), kind.alias("kind"))
+
+
+def moved_rows(buffer: DataFrame, transfers: DataFrame, on: str = "i") -> DataFrame:
+    """Rows of a partitioned buffer that change hands, with (old_rank, new_rank, kind); what is kept doesn't move."""
+    away = transfers.where("kind <> 'keep'")
+    return buffer.join(F.broadcast(away), (F.col(on) >= F.col("s")) & (F.col(on) < F.col("e"))).drop("s", "e")
+
+
 def reusable(assigned: DataFrame, cached: DataFrame) -> DataFrame:
     """(rank, reuse): whether all of a rank's assigned ranges lie in its cached interval.
 
@@ -80,8 +102,11 @@ def reusable(assigned: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def missing_replicas(joiners: DataFrame, needed: DataFrame, held: DataFrame) -> DataFrame:
-    """(rank, buffer) that joiners must receive: what they need and don't hold."""
-    return joiners.join(needed).select("rank", "buffer").join(held, ["rank", "buffer"], "left_anti")
+    """(rank, buffer) that joiners must receive: what they need and don't hold.
+
+    Each joiner needs every buffer, so the result is as large as workers times buffers, both few.
+    """
+    return joiners.crossJoin(F.broadcast(needed)).select("rank", "buffer").join(held, ["rank", "buffer"], "left_anti")
 
 
 def contiguous(ranges: DataFrame) -> DataFrame:

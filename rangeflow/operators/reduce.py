@@ -7,9 +7,13 @@ are doubles (integer products overflow at once).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,35 @@ def combine(partials: DataFrame, accumulators: Iterable[Accumulator], by: Iterab
     return reduce(partials, again, by)
 
 
+@dataclass(frozen=True)
+class UserAggregate:
+    """A reduction of the user's own: a state of numbers, what a batch of values adds to it, and how two states merge."""
+
+    zero: tuple[float, ...]
+    add: Callable[[tuple[float, ...], np.ndarray], tuple[float, ...]]
+    merge: Callable[[tuple[float, ...], tuple[float, ...]], tuple[float, ...]]
+
+
+def reduce_user(df: DataFrame, column: str, how: UserAggregate) -> DataFrame:
+    """A single row with the final ``state``: each partition folds its batches, and the partial states are merged.
+
+    Nulls are skipped; an empty input gives ``zero``. What meets in one task is a state a partition.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = how.zero
+        for batch in batches:
+            state = how.add(state, batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([list(map(float, state))], pa.list_(pa.float64()))], names=["state"])
+
+    def final(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"state": [list(functools.reduce(how.merge, map(tuple, rows.state), how.zero))]})
+
+    states = df.select(F.col(column).cast("double")).mapInArrow(partial, "state array<double>")
+    zero = df.sparkSession.createDataFrame([([float(x) for x in how.zero],)], "state array<double>")
+    return states.union(zero).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(final, "state array<double>")
+
+
 def array_reduce(df: DataFrame, column: str, op: str = "sum", dtype: str = "double") -> DataFrame:
     """(pos, value): the reduction of each element of an array column over all rows."""
     return df.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(reduced(F.col("v"), op, dtype).alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import periodic_weight
-from ..functions.generators import lcg_at, lcg_fold
+from ..functions.generators import jump, lcg_at, lcg_fold
 from ..operators import attach, consensus, cuts, epoch, kernels, ranges, reduce, space
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def vector(spark, sf_dir):
     return kernels.vector_workload(spark).select("i", F.round("c", 4).alias("c"))
 
 
+@query("""SELECT range // 50 AS y, range % 50 AS x, round(1000 * (sin(range + 1.0::DOUBLE) * cos(200.0::DOUBLE - range) + sqrt((range + 1.0::DOUBLE) * (200.0::DOUBLE - range))), 4) AS c FROM range(0, 200)""")
+def vector_nd(spark, sf_dir):
+    """The vector workload over nested loops of 4 by 50."""
+    return kernels.vector_nd_workload(spark).select("y", "x", F.round("c", 4).alias("c"))
+
+
 # --- contractions -----------------------------------------------------------
 
 
@@ -103,13 +109,12 @@ def matvec(spark, sf_dir):
     return rows.select("i", space.owner(F.col("i"), vectors.count(), 7).alias("part"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT range + 1 AS i, (range + 1) * 60.0::DOUBLE AS v FROM range(0, 120)")
+@query("SELECT r.range AS i, c.range AS j, (r.range + 1) * 60.0::DOUBLE AS v FROM range(0, 120) r, range(0, 40) c")
 def matmat(spark, sf_dir):
-    """The dense workload: every cell of a row of the product is the same, so one a row is returned."""
-    i, k = F.col("i"), F.col("k")
+    """The dense workload: all cells of the product."""
     a = space.loop_nd(spark, [0, 0], [120, 60], ["r", "k"]).select(F.col("r").alias("i"), "k", (F.col("r") + 1.0).alias("v"))
     b = space.loop_nd(spark, [0, 0], [60, 40], ["k", "j"]).select("k", "j", F.lit(1.0).alias("v"))
-    return kernels.matmul(a, b).groupBy(i).agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w").select((i + 1).alias("i"), "v")
+    return kernels.matmul(a, b)
 
 
 _COO = "SELECT l_suppkey AS r, l_partkey AS c, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2"
@@ -132,12 +137,12 @@ def matmat_sparse(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT r.range AS i, k.range AS k FROM range(0, 60) r, range(0, 20) k),
-a AS (SELECT i, (13 * i + 7 * k) % 60 AS c, arg_max(0.5::DOUBLE + ((i + k) % 11) * 0.2::DOUBLE, k) AS v FROM e GROUP BY 1, 2),
-b AS (SELECT i AS r, (17 * i + 5 * k) % 60 AS j, arg_max(0.3::DOUBLE + ((i + k) % 7) * 0.15::DOUBLE, k) AS w FROM e GROUP BY 1, 2)
+WITH e AS (SELECT r.range AS i, k.range AS k FROM range(0, 1000) r, range(0, 500) k),
+a AS (SELECT i, (13 * i + 7 * k) % 1000 AS c, arg_max(0.5::DOUBLE + ((i + k) % 11) * 0.2::DOUBLE, k) AS v FROM e GROUP BY 1, 2),
+b AS (SELECT i AS r, (17 * i + 5 * k) % 1000 AS j, arg_max(0.3::DOUBLE + ((i + k) % 7) * 0.15::DOUBLE, k) AS w FROM e GROUP BY 1, 2)
 SELECT i, j, round(sum(v * w), 6) AS v FROM a JOIN b ON c = r GROUP BY 1, 2""")
 def sparse_workload(spark, sf_dir):
-    a, b = kernels.sparse_operands(spark, 60, 60, 60, 20)
+    a, b = kernels.sparse_operands(spark, 1000, 1000, 1000, 500)
     return kernels.matmul(a, b, skip_zeros=True).select("i", "j", F.round("v", 6).alias("v"))
 
 
@@ -146,6 +151,25 @@ def spmv(spark, sf_dir):
     return kernels.spmv(lineitem_matrix(spark, sf_dir))
 
 
+@query(f"SELECT r, round(sum(v * (p_size + p_retailprice / 8)), 2) AS y FROM ({_COO}) JOIN part ON c = p_partkey GROUP BY 1")
+def spmv_gather(spark, sf_dir):
+    """A vector that is a table, met by column."""
+    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c"), (F.col("p_size") + F.col("p_retailprice") / 8).alias("x"))
+    return kernels.spmv(lineitem_matrix(spark, sf_dir), x).select("r", F.round("y", 2).alias("y"))
+
+
+@query(f"SELECT r, c::INTEGER AS c, v::FLOAT AS v FROM ({_COO})")
+def mtx_round_trip(spark, sf_dir):
+    """The matrix as a MatrixMarket file, written and read back."""
+    from ..sources import mtx
+    from .store import new_path
+
+    cells = lineitem_matrix(spark, sf_dir)
+    path = new_path(spark, "matrix")
+    mtx.write_mtx(cells.coalesce(1), table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count(), path)
+    return mtx.read_mtx(spark, path)
+
+
 @query(f"""
 WITH s AS (SELECT s_suppkey AS r FROM supplier), d AS (SELECT r, count(*) AS nnz FROM ({_COO}) GROUP BY 1),
 f AS (SELECT s.r, coalesce(nnz, 0) AS nnz FROM s LEFT JOIN d ON s.r = d.r)
@@ -246,6 +270,37 @@ def reduce_partials(spark, sf_dir):
     return reduce.combine(reduce.reduce(rows, found, ["l_returnflag", "block"]), found, ["l_returnflag"])
 
 
+@query("SELECT count(*)::DOUBLE AS n, round(avg(o_totalprice), 4) AS mean, round(var_pop(o_totalprice) / 1e6, 4) AS variance FROM orders")
+def user_aggregate(spark, sf_dir):
+    """A user's own reduction: count, mean and sum of squared deviations, which merge by Chan's formula."""
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        d = b[1] - a[1]
+        return (n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n) if n else a
+
+    how = reduce.UserAggregate((0.0, 0.0, 0.0), lambda s, v: merge(s, (len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum()))) if len(v) else s, merge)
+    found = reduce.reduce_user(table(spark, sf_dir, "orders"), "o_totalprice", how)
+    x = F.col("state")
+    return found.select(x[0].alias("n"), F.round(x[1], 4).alias("mean"), F.round(x[2] / x[0] / 1e6, 4).alias("variance"))
+
+
+@query("""
+SELECT n_nationkey AS rank, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM nation, supplier GROUP BY 1""")
+def allgather(spark, sf_dir):
+    """Every rank's view of a whole field."""
+    ranks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rank"))
+    whole = attach.allgather(table(spark, sf_dir, "supplier").select("s_suppkey", money("s_acctbal").alias("v")), ranks)
+    return whole.groupBy("rank").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
+
+
+@query("SELECT n_nationkey AS rank, r_name, r_regionkey AS key FROM nation, region WHERE r_regionkey = 2")
+def root_values(spark, sf_dir):
+    """One rank's values for all."""
+    values = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("rank"), "r_name", F.col("r_regionkey").alias("key"))
+    return attach.from_root(values, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rank")), root=2)
+
+
 # --- cuts and ranges --------------------------------------------------------
 
 
@@ -261,6 +316,21 @@ def weighted_cuts(spark, sf_dir):
     return cuts.weighted_cuts(weights, table(spark, sf_dir, "orders").count())
 
 
+# Cuts of given weights (total, weights, whether balancing is on, starts and end).
+GIVEN_CUTS = ((10, (1.0, 1.0, 1.0), True, (0, 4, 7, 10)), (100, (0.5, 0.3, 0.2), True, (0, 50, 80, 100)), (7, (0.9, 0.05, 0.05), True, (0, 5, 6, 7)), (10, (0.0, 0.0), True, (0, 5, 10)), (10, (3.0, 1.0), False, (0, 5, 10)))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::INTEGER, {r}::INTEGER, {a}::BIGINT, {b - a}::BIGINT)" for k, (_, _, _, at) in enumerate(GIVEN_CUTS) for r, (a, b) in enumerate(zip(at, at[1:], strict=False))) + ") t(k, rank, start, size)")
+def given_cuts(spark, sf_dir):
+    """Cuts that fall back, or take from the largest part for an empty one."""
+    found = None
+    for k, (total, weights, balancing, _) in enumerate(GIVEN_CUTS):
+        rows = cuts.weighted_cuts(spark.createDataFrame(list(enumerate(weights)), "rank int, weight double"), total, balancing)
+        rows = rows.select(F.lit(k).alias("k"), "rank", "start", "size")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 _TELEMETRY_5 = "SELECT user_id % 5 AS rank, count(*) AS remaining, count(*) FILTER (event_id % 3 = 0) AS done, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / 100 AS elapsed FROM events GROUP BY 1"
 
 
@@ -355,6 +425,64 @@ def transfer_plan(spark, sf_dir):
     return ranges.transfer_plan(*supplier_work(spark, sf_dir))
 
 
+_HELD = f"""{_PLAN}, h AS (SELECT rank, ord, greatest(s, confirmed + 1) AS s, e FROM plan JOIN conf USING (rank) WHERE greatest(s, confirmed + 1) < e),
+hb AS (SELECT *, sum(e - s) OVER (ORDER BY rank, ord) - (e - s) AS base FROM h), ht AS (SELECT sum(e - s) AS n FROM h),
+ct AS (SELECT range AS part, range * n // 5 AS cs, (range + 1) * n // 5 AS ce FROM range(0, 5), ht),
+x AS (SELECT rank AS old_rank, part AS new_rank, CAST(s + greatest(base, cs) - base AS BIGINT) AS s, CAST(s + least(base + e - s, ce) - base AS BIGINT) AS e FROM hb JOIN ct ON base < ce AND cs < base + e - s)"""
+
+
+def order_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes hands when the orders that remain are dealt to five ranks."""
+    plan, confirmed, _ = order_plan(spark, sf_dir)
+    held = ranges.remaining(plan, confirmed)
+    n = held.agg(F.sum(F.col("e") - F.col("s")).alias("n"))
+    at = F.col("id")
+    parts = spark.range(5).crossJoin(F.broadcast(n)).select(at.alias("part"), F.expr("id * n div 5").alias("s"), F.expr("(id + 1) * n div 5").alias("e"))
+    return ranges.exchange(held, parts)
+
+
+@query(f"""
+WITH {_HELD} SELECT old_rank, new_rank, CASE WHEN old_rank = new_rank THEN 'keep' ELSE 'move' END AS kind, s, e FROM x""")
+def exchange(spark, sf_dir):
+    return order_transfers(spark, sf_dir)
+
+
+@query(f"""
+WITH {_HELD} SELECT old_rank, new_rank, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM x JOIN orders ON o_orderkey >= s AND o_orderkey < e WHERE old_rank <> new_rank GROUP BY 1, 2""")
+def exchange_rows(spark, sf_dir):
+    """The rows of a vector that move; what is done or kept stays."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), money("o_totalprice").alias("v"))
+    moved = ranges.moved_rows(orders, order_transfers(spark, sf_dir))
+    return moved.groupBy("old_rank", "new_rank").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM orders), h AS (SELECT n // 3 AS s, n AS e FROM n),
+p AS (SELECT range AS part, range * (e - s) // 4 AS cs, (range + 1) * (e - s) // 4 AS ce, s FROM range(0, 4), h)
+SELECT 2::INTEGER AS old_rank, part AS new_rank, s + cs AS s, s + ce AS e, CASE WHEN part = 2 THEN 'keep' ELSE 'scatter' END AS kind FROM p""")
+def scatter(spark, sf_dir):
+    """All remaining work is one rank's: it scatters."""
+    n = table(spark, sf_dir, "orders").count()
+    left = n - n // 3
+    held = spark.createDataFrame([(2, 0, n // 3, n)], "rank int, ord int, s long, e long")
+    parts = spark.createDataFrame([(p, p * left // 4, (p + 1) * left // 4) for p in range(4)], "part long, s long, e long")
+    return ranges.exchange(held, parts)
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS i, count(*) AS size, sum(l_linenumber) AS total FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n FROM orders),
+o AS (SELECT range AS rank, range * n // 6 AS s, (range + 1) * n // 6 AS e FROM range(0, 6), n)
+SELECT rank, i, size, CAST(sum(size) OVER (PARTITION BY rank ORDER BY i) - size AS BIGINT) AS base, CAST(total AS BIGINT) AS total FROM b JOIN o ON i >= s AND i < e""")
+def ragged_resync(spark, sf_dir):
+    """Array rows dealt to new owners, with where each begins in its owner's buffer."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.collect_list("l_linenumber").alias("row"))
+    n = table(spark, sf_dir, "orders").count()
+    owners = spark.createDataFrame([(r, r * n // 6, (r + 1) * n // 6) for r in range(6)], "rank long, s long, e long")
+    found = attach.ragged_resync(lines, owners)
+    return found.select("rank", "i", "size", "base", F.aggregate("row", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
 @query(f"""
 WITH {_WORK}, k AS (SELECT part, s - 2 * part AS cs, e + 3 - 2 * part AS ce FROM c WHERE part < 3)
 SELECT c.part AS rank, coalesce(bool_and(s >= cs AND e <= ce), false) AS reuse FROM c LEFT JOIN k USING (part) GROUP BY 1""")
@@ -430,13 +558,20 @@ def stencil_conservation(spark, sf_dir):
     return sums.join(kernels.residual(field, after).select(F.round(F.col("residual") / 1e6, 2).alias("residual")))
 
 
-@query("""
-WITH f AS (SELECT range AS i, 1.0::DOUBLE + sin(6.2831853::DOUBLE * range / 2000) AS u FROM range(0, 2000)),
-g AS (SELECT i, u, (i - 1 + 2000) % 2000 AS l, (i + 1) % 2000 AS r FROM f)
-SELECT g.i, round(g.u + 0.25::DOUBLE * (a.u - 2 * g.u + b.u), 9) AS u FROM g JOIN f a ON a.i = l JOIN f b ON b.i = r""")
+#: A sine of one period fades by the same factor each step, and the sum stays.
+_FADE = "pow(1 - 0.5::DOUBLE * (1 - cos(2 * pi() / 200000)), 2000)"
+
+
+@query(f"""
+SELECT 200000::BIGINT AS cells, 200000.0::DOUBLE AS total, round(1 + {_FADE}, 6) AS highest, round(1 - {_FADE}, 6) AS lowest,
+       round(sum(pow(1 + {_FADE} * sin(2 * pi() * range / 200000), 2)), 2) AS squares FROM range(0, 200000)""")
 def heat(spark, sf_dir):
-    """One step of the heat workload."""
-    return kernels.stencil_step(kernels.heat_initial(space.loop(spark, 2000), 2000), 2000, block=256).select("i", F.round("u", 9).alias("u"))
+    """The heat workload at its full size: 2,000 steps of 200,000 cells, against the closed form."""
+    from .store import cut
+
+    out = kernels.stencil_many(kernels.heat_initial(space.loop(spark, 200_000), 200_000), 200_000, 2_000, cut)
+    u = F.col("u")
+    return out.agg(F.count("*").alias("cells"), F.round(F.sum(u), 2).alias("total"), F.round(F.max(u), 6).alias("highest"), F.round(F.min(u), 6).alias("lowest"), F.round(F.sum(u * u), 2).alias("squares"))
 
 
 _HEAT = "f0 AS (SELECT range AS i, 1.0::DOUBLE + sin(6.2831853::DOUBLE * range / 500) AS u FROM range(0, 500))"
@@ -482,6 +617,30 @@ def life_population(spark, sf_dir):
     return both.agg(F.sum(F.when(F.col("new") == 0, F.col("alive"))).alias("before_alive"), F.sum(F.when(F.col("new") == 1, F.col("alive"))).alias("after_alive"))
 
 
+_LIFE = ", ".join(
+    f"""p{k} AS (SELECT (y + dy + h) % h AS y, (x + dx + 50) % 50 AS x, sum(alive) AS n FROM g{k}, d, h GROUP BY 1, 2),
+g{k + 1} AS (SELECT g.y, g.x, CASE WHEN n = 3 OR alive = 1 AND n = 2 THEN 1 ELSE 0 END AS alive FROM g{k} g JOIN p{k} n ON g.y = n.y AND g.x = n.x)"""
+    for k in range(4)
+)
+
+
+@query(f"""
+WITH {_GRID}, g0 AS (SELECT * FROM g), d AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(0, 3) a, range(0, 3) b WHERE NOT (a.range = 1 AND b.range = 1)), {_LIFE}
+{" UNION ALL ".join(f"SELECT {k}::INTEGER AS step, y % 8 AS part, CAST(sum(alive) AS BIGINT) AS alive FROM g{k} GROUP BY 2" for k in range(5))}""")
+def life_dynamic(spark, sf_dir):
+    """Four steps, and the living cells of each part after each: a load that changes over time."""
+    part = table(spark, sf_dir, "part")
+    height = part.count() // 50
+    y, x = space.decode(F.col("p_partkey"), [height, 50])
+    cells = part.select(y.alias("y"), x.alias("x"), (F.col("p_size") % 10 < 3).cast("int").alias("alive"))
+    out = None
+    for step in range(5):
+        counts = cells.groupBy((F.col("y") % 8).alias("part")).agg(F.sum("alive").alias("alive")).select(F.lit(step).alias("step"), "part", "alive")
+        out = counts if out is None else out.union(counts)
+        cells = kernels.life_step(cells, 50, height)
+    return out
+
+
 # --- generators -------------------------------------------------------------
 
 
@@ -489,6 +648,22 @@ def _sql_lcg(seed: str, steps: str) -> str:
     return f"list_reduce(list_prepend(CAST({seed} AS BIGINT), range(0, {steps})), lambda s, x: (s * 1664525 + 1013904223) & 4294967295)"
 
 
+def _sql_stream(source: str, position: str, out: str, seed: int = 12345, bits: int = 23) -> str:
+    """``source`` with ``out``, the state after ``position`` steps: each bit of the position is a power of the map."""
+    rows = f"(SELECT *, {seed}::UBIGINT AS {out} FROM {source})"
+    for b in range(bits):
+        factor, offset = jump(1 << b)
+        rows = f"(SELECT * REPLACE (CASE WHEN ({position} >> {b}) & 1 = 1 THEN ({out} * {factor}::UBIGINT + {offset}::UBIGINT) & 4294967295::UBIGINT ELSE {out} END AS {out}) FROM {rows})"
+    return rows
+
+
+def _sql_spmv(n: int, heavy: int, high: int, low: int) -> str:
+    """y of a clustered matrix whose first ``heavy`` rows have ``high`` entries and the others ``low``."""
+    cells = f"(SELECT r, unnest(range(0, nnz)) + first AS e FROM (SELECT range AS r, CASE WHEN range < {heavy} THEN {high} ELSE {low} END AS nnz, CASE WHEN range < {heavy} THEN range * {high} ELSE {heavy} * {high} + (range - {heavy}) * {low} END AS first FROM range(0, {n})))"
+    both = _sql_stream(_sql_stream(cells, "(2 * e + 1)", "a"), "(2 * e + 2)", "b")
+    return f"SELECT r, round(sum((0.5::DOUBLE + (b % 100)::BIGINT * 0.01::DOUBLE) * (1 + ((a % {n})::BIGINT & 3) * 0.25::DOUBLE)), 4) AS y FROM {both} GROUP BY 1"
+
+
 @query(f"SELECT o_orderkey AS i, {_sql_lcg('o_orderkey', '5')} AS state FROM orders")
 def lcg(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), lcg_fold(F.col("o_orderkey"), 5).alias("state"))
@@ -540,38 +715,61 @@ def synthetic_csr(spark, sf_dir):
     return found.select("r", "k", "c", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
-@query(f"""
-WITH d AS (SELECT range AS r, CASE WHEN range < 10 THEN 11 ELSE 2 END AS nnz FROM range(0, 40)),
-f AS (SELECT r, nnz, sum(nnz) OVER (ORDER BY r) - nnz AS first FROM d),
-e AS (SELECT r, unnest(range(0, nnz)) AS k, first FROM f),
-s AS (SELECT r, {_sql_lcg("12345", "(2 * (first + k) + 1)::BIGINT")} % 40 AS c, {_sql_lcg("12345", "(2 * (first + k) + 2)::BIGINT")} AS b FROM e)
-SELECT r, round(sum((0.5::DOUBLE + (b % 100) * 0.01::DOUBLE) * (1 + (c & 3) * 0.25::DOUBLE)), 4) AS y FROM s GROUP BY 1""")
+@query(_sql_spmv(100_000, 25_000, 45, 6))
 def spmv_csr(spark, sf_dir):
-    """The sparse workload on a clustered matrix (values are floats, so four places count)."""
+    """The sparse workload: 100,000 rows with 16 entries on average, clustered (values are floats, so four places count)."""
+    from ..sources import synthetic
+
+    x = space.loop(spark, 100_000).select(F.col("i").cast("int").alias("c"), periodic_weight(F.col("i")).alias("x"))
+    cells = synthetic.matrix(spark, "clustered", 100_000, 16)
+    return kernels.spmv(cells.withColumn("v", F.round(F.col("v").cast("double"), 2)), x).select("r", F.round("y", 4).alias("y"))
+
+
+@query("""
+WITH d AS (SELECT range AS r, CASE WHEN range < 50000 THEN 45 ELSE 6 END AS nnz FROM range(0, 200000)), u AS (SELECT r, nnz, sum(nnz) OVER (ORDER BY r) AS upto, sum(nnz) OVER () AS total FROM d),
+c AS (SELECT 'rows' AS cut, range AS part, range * 25000 AS s, (range + 1) * 25000 AS e FROM range(0, 8)
+ UNION ALL SELECT 'entries', part, s, coalesce(lead(s) OVER (ORDER BY part), 200000) FROM (SELECT part, min(r) AS s FROM u, (SELECT range AS part FROM range(1, 8)) WHERE upto * 8 >= part * total GROUP BY 1 UNION ALL SELECT 0, 0))
+SELECT cut, CAST(part AS INTEGER) AS part, count(*) AS n_rows, CAST(sum(nnz) AS BIGINT) AS entries, CAST(sum(nnz) * 50 AS BIGINT) AS products,
+       round(sum(nnz) / (SELECT sum(nnz) / 8.0::DOUBLE FROM d), 6) AS imbalance FROM c JOIN d ON r >= s AND r < e GROUP BY 1, 2""")
+def spmv_imbal(spark, sf_dir):
+    """The skewed sparse workload, 200,000 rows, 50 repetitions: each part's load under equal rows and under equal entries."""
     from ..sources import synthetic
 
-    cells = synthetic.matrix(spark, "clustered", 40, 4)
-    return kernels.spmv(cells.withColumn("v", F.round(F.col("v").cast("double"), 2))).select("r", F.round("y", 4).alias("y"))
+    cells = synthetic.clustered_degrees(spark, 200_000, 16)
+    by_rows = cells.withColumns({"cut": F.lit("rows"), "part": space.owner(F.col("r"), 200_000, 8)})
+    starts = cuts.row_cuts(cells, 8).agg(F.sort_array(F.collect_list("cut")).alias("starts"))  # seven of them
+    by_entries = cells.crossJoin(F.broadcast(starts)).select("r", "nnz", F.lit("entries").alias("cut"), F.size(F.filter("starts", lambda s: s <= F.col("r"))).alias("part"))
+    loads = by_rows.unionByName(by_entries).groupBy("cut", "part").agg(F.count("*").alias("n_rows"), F.sum("nnz").alias("entries"))
+    mean = cells.agg((F.sum("nnz") / 8).alias("mean"))
+    return loads.crossJoin(F.broadcast(mean)).select("cut", "part", "n_rows", "entries", (F.col("entries") * 50).alias("products"), F.round(F.col("entries") / F.col("mean"), 6).alias("imbalance"))
 
 
 @query("""
-SELECT i, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, 50), lambda k: sin(i + k) * cos(i - k) + sqrt((i + 1) * (k + 1)))), lambda s, v: s + v), 4) AS fp
-FROM (SELECT range AS i FROM range(0, 300))""")
+SELECT i, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, 150), lambda k: sin(i + k) * cos(i - k) + sqrt((i + 1) * (k + 1)))), lambda s, v: s + v), 4) AS fp
+FROM (SELECT range AS i FROM range(0, 20000))""")
 def noise_fp(spark, sf_dir):
-    return space.loop(spark, 300).select("i", F.round(kernels.fp_kernel(F.col("i"), F.lit(50)), 4).alias("fp"))
+    return space.loop(spark, 20_000).select("i", F.round(kernels.fp_kernel(F.col("i"), F.lit(150)), 4).alias("fp"))
 
 
 @query("""
 SELECT i, w AS work, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, w), lambda k: sin(i + k) * cos(i - k) + sqrt((i + 1) * (k + 1)))), lambda s, v: s + v), 4) AS c
-FROM (SELECT range AS i, greatest(50 // 8 + 100 * range // 300, 1) AS w FROM range(0, 300))""")
+FROM (SELECT range AS i, greatest(150 // 8 + 300 * range // 20000, 1) AS w FROM range(0, 20000))""")
 def noise_imbalanced(spark, sf_dir):
-    work = kernels.imbalanced_work(F.col("i"), 50, 300)
-    return space.loop(spark, 300).withColumn("work", work).select("i", "work", F.round(kernels.fp_kernel(F.col("i"), F.col("work")), 4).alias("c"))
+    work = kernels.imbalanced_work(F.col("i"), 150, 20_000)
+    return space.loop(spark, 20_000).withColumn("work", work).select("i", "work", F.round(kernels.fp_kernel(F.col("i"), F.col("work")), 4).alias("c"))
 
 
-@query(None)
+_WRAP = "& 18446744073709551615::HUGEINT"
+
+
+@query(f"""
+WITH RECURSIVE w(i, k, x, c) AS (
+ SELECT range, 0, ((range + 1)::HUGEINT * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) {_WRAP}, 0.0::DOUBLE FROM range(0, 20000)
+ UNION ALL SELECT i, k + 1, y, c + (((y >> 33) % 65536)::BIGINT * 2654435761 % 1000)::DOUBLE * 0.001::DOUBLE
+ FROM (SELECT i, k, c, (x * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) {_WRAP} AS y FROM w WHERE k < 150))
+SELECT i, round(c, 6) AS c FROM w WHERE k = 150""")
 def noise_mem(spark, sf_dir):
-    return kernels.mem_kernel(space.loop(spark, 300), 50, 1 << 16)
+    return kernels.mem_kernel(space.loop(spark, 20_000), 150, 1 << 16).select("i", F.round("c", 6).alias("c"))
 
 
 # --- epochs and decisions ---------------------------------------------------
@@ -738,6 +936,17 @@ def ewma(spark, sf_dir):
     return epoch.ewma(table(spark, sf_dir, "events"), "user_id", "event_id", "value").withColumn("ewma", F.round("ewma", 6))
 
 
+@query("""
+WITH o AS (SELECT event_id, user_id, value, user_id % 3 + event_id // 1000 AS size, lag(user_id % 3 + event_id // 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events),
+k AS (SELECT *, sum(CASE WHEN size IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM o),
+t AS (SELECT user_id, max(island) AS island FROM k GROUP BY 1)
+SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda s, x: 0.9::DOUBLE * s + (1 - 0.9::DOUBLE) * x), 6) AS ewma FROM k JOIN t USING (user_id, island) GROUP BY 1""")
+def ewma_reset(spark, sf_dir):
+    """The average since the size last changed."""
+    rows = table(spark, sf_dir, "events").withColumn("size", F.col("user_id") % 3 + space.quotient(F.col("event_id"), 1000))
+    return epoch.ewma(rows, "user_id", "event_id", "value", keep=0.9, reset="size").withColumn("ewma", F.round("ewma", 6))
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of eight runs: the epochs of the events in turn."""
     m = metrics(spark, sf_dir)
@@ -755,53 +964,229 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _folded(name: str, **more):
+# Decisions of the policies, a token an epoch: phase, size, and the size asked for if any. Throughput follows
+# the size by the named curve, and each decision takes effect at once.
+POLICY_TRACES = {
+    "auto": (
+        (16, "usual", False, "IDLE:16>1 NEEDS_BASELINE:1 NEEDS_BASELINE:1 NEEDS_BASELINE:1>16 EXPLORE_MAX:16>8 SEARCHING:8>4 SEARCHING:4>6 SEARCHING:6>7 SEARCHING:7 PROBING:7>8 PROBING:8>7 PROBING:7>8"),
+        (8, "usual", False, "IDLE:1>8 EXPLORE_MAX:8>4 SEARCHING:4>6 SEARCHING:6>7 SEARCHING:7 PROBING:7>8 PROBING:8>7"),
+    ),
+    "throughput": ((8, "usual", False, "IDLE:8>1 NEEDS_BASELINE:1 NEEDS_BASELINE:1 NEEDS_BASELINE:1>8 EXPLORE_MAX:8 PROBING:8 PROBING:8"),),
+    "efficiency": ((8, "usual", False, "IDLE:1>8 EXPLORE_MAX:8>4 SEARCHING:4>2 SEARCHING:2>3 SEARCHING:3 PROBING:3>4 PROBING:4>3 PROBING:3>4"),),
+    "cost": (
+        (8, "capped", False, "RAMP:2>8 RAMP:8 RAMP:8>7 DESCENT:7>6 DESCENT:6>5 DESCENT:5>4 DESCENT:4>5 SETTLED:5"),
+        (32, "humped", True, "RAMP:32 RAMP:32>24 SAMPLE:24 SAMPLE:24 SAMPLE:24 SAMPLE:24>16 SAMPLE:16 SAMPLE:16 SAMPLE:16 SAMPLE:16>8 SAMPLE:8 SAMPLE:8 SAMPLE:8 SAMPLE:8>16 SETTLED:16"),
+    ),
+    "fixed": ((8, "usual", False, ":8>2 :2>4 :4>8 :8"),),
+}
+CURVES = {"usual": lambda n: 100 * n / (1 + 0.1 * (n - 1)), "capped": lambda n: 100.0 * min(n, 5), "humped": lambda n: 100.0 * n * (33 - n)}
+
+
+def _tokens(trace: str) -> list[tuple[int, str, int, int]]:
+    """(epoch, phase, size, size asked for or -1)."""
+    cut = [t.replace(">", ":").split(":") for t in trace.split()]
+    return [(e, t[0], int(t[1]), int(t[2]) if len(t) > 2 else -1) for e, t in enumerate(cut)]
+
+
+def _folded(name: str):
+    runs = POLICY_TRACES[name]
+
     def folded(spark, sf_dir):
         from ..conf import Conf
-        from ..streaming.telemetry import fold_policy
-
-        return fold_policy(run_metrics(spark, sf_dir), Conf(elastic=True, policy=name, **more), 8)
+        from ..streaming.telemetry import METRICS, fold_policy
+
+        out = None
+        for k, (universe, curve, iterative, trace) in enumerate(runs):
+            rows, commits = [], 0
+            for e, _, size, target in _tokens(trace):
+                thr = CURVES[curve](size)
+                rows.append((k, e, size, 1e9, float(thr), 1e9 / thr, size * 1e9 / thr, 0, 1.0, commits))
+                commits += target > 0
+            found = fold_policy(spark.createDataFrame(rows, METRICS), Conf(elastic=True, policy=name, sequence="2,2,4,8"), universe, iterative)
+            out = found if out is None else out.union(found)
+        return out.select("run_id", "epoch", "phase", "active_n", "target", "done")
 
     folded.__name__ = f"policy_{name}"
-    return query(None)(folded)
+    rows = [(k, *t, name == "fixed" and t[3] < 0) for k, run in enumerate(runs) for t in _tokens(run[3])]
+    values = ", ".join(f"({k}::BIGINT, {e}::BIGINT, '{phase}', {size}::INTEGER, {target}::INTEGER, {done})" for k, e, phase, size, target, done in rows)
+    return query(f"SELECT * FROM (VALUES {values}) t(run_id, epoch, phase, active_n, target, done)")(folded)
 
 
-for _name in ("auto", "throughput", "efficiency", "cost"):
-    _folded(_name, balancing=True)
-_folded("fixed", sequence="2,2,4,8")
+for _name in POLICY_TRACES:
+    _folded(_name)
 
 
-@query("SELECT range AS i, round(1000 * (sin(range + 1.0::DOUBLE) * cos(3000.0::DOUBLE - range) + sqrt((range + 1.0::DOUBLE) * (3000.0::DOUBLE - range))), 4) AS c FROM range(0, 3000)")
-def wave_invariance(spark, sf_dir):
-    """A kernel dealt in waves whose size changes: the result is that of one pass."""
+# --- elastic runs -----------------------------------------------------------
+
+
+def resize_scene():
+    """Given sizes, and a worker that slows down."""
     from ..conf import Conf
     from .controller import Controller
 
-    run = Controller(8, Conf(elastic=True, initial_size=2, balancing=True, min_horizon_epochs=0.0), speed=lambda e, r, n: 40.0 / (1 + 0.1 * (n - 1)))
-    i = F.col("i").cast("double")
-    found, _ = run.run(spark, 3000, lambda s: s.select("i", F.round(kernels.elementwise(i + 1, 3000.0 - i), 4).alias("c")))
-    return found
+    buffers = {"x": attach.Access.SHARED_ACTIVE, "y": attach.Access.SHARED_ALL}
+    return Controller(8, Conf(elastic=True, policy="fixed", sequence="2,6,3", balancing=True), speed=lambda e, r, n: 300.0 if r == 1 and e > 1 else 600.0, buffers=buffers)
 
 
-@query("SELECT range AS i, range + 1.0::DOUBLE AS data FROM range(0, 5000)")
-def custom_policy(spark, sf_dir):
-    """The exact workload under a policy of the user's own."""
+def custom_scene():
+    """A policy of the user's own, and a worker that is faster than the others."""
     from ..conf import Conf
     from .controller import Controller
     from .policies import grow_or_shrink
 
-    run = Controller(8, Conf(elastic=True, initial_size=2, balancing=True), grow_or_shrink(2, 2), speed=lambda e, r, n: 20.0 + 80.0 * (r == 0))
-    return run.run(spark, 5000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
+    return Controller(8, Conf(elastic=True, initial_size=2, balancing=True), grow_or_shrink(2, 2), speed=lambda e, r, n: 1000.0 + 7000.0 * (r == e % 2))
+
+
+def auto_scene():
+    """The search policy, with workers that slow each other down."""
+    from ..conf import Conf
+    from .controller import Controller
+
+    return Controller(8, Conf(elastic=True, initial_size=2, balancing=True, min_horizon_epochs=0.0), speed=lambda e, r, n: 150.0 / (1 + 0.1 * (n - 1)))
+
+
+HISTORY_KINDS = ("resize", "transfer", "active", "inactive", "cache", "refresh")
+# Rows that :func:`resize_scene` and the others must give, from a simulation that deals single indexes (tests/test_elastic.py).
+SPANS = {
+    "resize_demo": (
+        (0, 0, 0, 600), (0, 1, 2500, 3100), (0, 2, 5000, 5600), (0, 3, 7500, 8100), (0, 4, 10000, 10600), (0, 5, 12500, 13100), (0, 6, 15000, 15600), (0, 7, 17500, 18100),
+        (1, 0, 600, 1200), (1, 1, 10600, 11200), (2, 0, 1200, 1800), (2, 1, 4133, 4433), (2, 2, 7067, 7500), (2, 2, 8100, 8267), (2, 3, 11200, 11800), (2, 4, 14133, 14733),
+        (2, 5, 17067, 17500), (2, 5, 18100, 18267), (3, 0, 1800, 2400), (3, 1, 6289, 6589), (3, 2, 13355, 13955), (4, 0, 2400, 2500), (4, 0, 3100, 3600), (4, 1, 6589, 6889),
+        (4, 2, 13955, 14133), (4, 2, 14733, 15000), (4, 2, 15600, 15755), (5, 0, 3600, 4133), (5, 0, 4433, 4500), (5, 1, 6889, 7067), (5, 1, 8267, 8389), (5, 2, 15755, 16355),
+        (6, 0, 4500, 5000), (6, 0, 5600, 5700), (6, 1, 8389, 8689), (6, 2, 16355, 16955), (7, 0, 5700, 6289), (7, 1, 8689, 8989), (7, 2, 16955, 17067), (7, 2, 18267, 18755),
+        (8, 1, 8989, 9289), (8, 2, 18755, 19355), (9, 1, 9289, 9589), (9, 2, 19355, 19955), (10, 1, 9589, 9889), (10, 2, 19955, 20000), (11, 1, 9889, 10000), (11, 1, 11800, 11989),
+        (12, 1, 11989, 12289), (13, 1, 12289, 12500), (13, 1, 13100, 13189), (14, 1, 13189, 13355),
+    ),
+    "custom_policy": (
+        (0, 0, 0, 8000), (0, 1, 25000, 26000), (1, 0, 8000, 9000), (1, 1, 30406, 36938), (1, 2, 36938, 37938), (1, 3, 43469, 44469), (2, 0, 9000, 17000), (2, 2, 37938, 38938),
+        (2, 3, 44469, 45469), (3, 0, 17000, 18000), (3, 2, 38938, 39938), (3, 3, 45469, 46469), (4, 0, 18000, 23824), (4, 1, 23824, 24824), (4, 2, 40011, 41011), (4, 3, 41758, 42758),
+        (4, 4, 46505, 47505), (4, 5, 48253, 49253), (5, 1, 24824, 25000), (5, 1, 26000, 30406), (5, 1, 39938, 40011), (5, 2, 41011, 41758), (5, 3, 42758, 43469), (5, 3, 46469, 46505),
+        (5, 4, 47505, 48253), (5, 5, 49253, 50000),
+    ),
+    "wave_invariance": (
+        (0, 0, 0, 136), (0, 1, 1500, 1636), (1, 0, 136, 286), (2, 0, 286, 436), (3, 0, 436, 586), (4, 0, 586, 736), (5, 0, 736, 886), (6, 0, 886, 974),
+        (6, 1, 1133, 1221), (6, 2, 1381, 1469), (6, 3, 1764, 1852), (6, 4, 2011, 2099), (6, 5, 2258, 2346), (6, 6, 2506, 2594), (6, 7, 2753, 2841), (7, 0, 974, 1062),
+        (7, 1, 1221, 1309), (7, 2, 1469, 1500), (7, 2, 1636, 1693), (7, 3, 1852, 1940), (7, 4, 2099, 2187), (7, 5, 2346, 2434), (7, 6, 2594, 2682), (7, 7, 2841, 2929),
+        (8, 0, 1062, 1133), (8, 1, 1309, 1381), (8, 2, 1693, 1764), (8, 3, 1940, 2011), (8, 4, 2187, 2258), (8, 5, 2434, 2506), (8, 6, 2682, 2753), (8, 7, 2929, 3000),
+    ),
+}
+RESIZE_HISTORY = (
+    (0, "resize", None, 2, None, None, None), (0, "transfer", 0, 0, 600, 2500, "keep"), (0, "transfer", 1, 0, 3100, 5000, "move"), (0, "transfer", 2, 0, 5600, 7500, "move"),
+    (0, "transfer", 3, 0, 8100, 10000, "move"), (0, "transfer", 4, 1, 10600, 12500, "move"), (0, "transfer", 5, 1, 13100, 15000, "move"), (0, "transfer", 6, 1, 15600, 17500, "move"),
+    (0, "transfer", 7, 1, 18100, 20000, "move"), (0, "inactive", 2, None, None, None, None), (0, "inactive", 3, None, None, None, None), (0, "inactive", 4, None, None, None, None),
+    (0, "inactive", 5, None, None, None, None), (0, "inactive", 6, None, None, None, None), (0, "inactive", 7, None, None, None, None), (0, "cache", 0, 0, None, None, None),
+    (0, "cache", 1, 0, None, None, None), (1, "resize", None, 6, None, None, None), (1, "transfer", 0, 0, 1200, 2500, "keep"), (1, "transfer", 0, 0, 3100, 4133, "keep"),
+    (1, "transfer", 0, 1, 4133, 5000, "move"), (1, "transfer", 0, 1, 5600, 7067, "move"), (1, "transfer", 0, 2, 7067, 7500, "move"), (1, "transfer", 0, 2, 8100, 10000, "move"),
+    (1, "transfer", 1, 3, 11200, 12500, "move"), (1, "transfer", 1, 3, 13100, 14133, "move"), (1, "transfer", 1, 4, 14133, 15000, "move"), (1, "transfer", 1, 4, 15600, 17067, "move"),
+    (1, "transfer", 1, 5, 17067, 17500, "move"), (1, "transfer", 1, 5, 18100, 20000, "move"), (1, "active", 2, None, None, None, None), (1, "active", 3, None, None, None, None),
+    (1, "active", 4, None, None, None, None), (1, "active", 5, None, None, None, None), (1, "cache", 0, 1, None, None, None), (1, "cache", 1, 0, None, None, None),
+    (1, "cache", 2, 0, None, None, None), (1, "cache", 3, 0, None, None, None), (1, "cache", 4, 0, None, None, None), (1, "cache", 5, 0, None, None, None),
+    (1, "refresh", 2, None, None, None, "x"), (1, "refresh", 3, None, None, None, "x"), (1, "refresh", 4, None, None, None, "x"), (1, "refresh", 5, None, None, None, "x"),
+    (2, "resize", None, 3, None, None, None), (2, "transfer", 0, 0, 1800, 2500, "keep"), (2, "transfer", 0, 0, 3100, 4133, "keep"), (2, "transfer", 1, 0, 4433, 5000, "move"),
+    (2, "transfer", 1, 0, 5600, 6289, "move"), (2, "transfer", 1, 1, 6289, 7067, "keep"), (2, "transfer", 2, 1, 8267, 10000, "move"), (2, "transfer", 3, 1, 11800, 12500, "move"),
+    (2, "transfer", 3, 1, 13100, 13355, "move"), (2, "transfer", 3, 2, 13355, 14133, "move"), (2, "transfer", 4, 2, 14733, 15000, "move"), (2, "transfer", 4, 2, 15600, 17067, "move"),
+    (2, "transfer", 5, 2, 18267, 20000, "move"), (2, "inactive", 3, None, None, None, None), (2, "inactive", 4, None, None, None, None), (2, "inactive", 5, None, None, None, None),
+    (2, "cache", 0, 1, None, None, None), (2, "cache", 1, 0, None, None, None), (2, "cache", 2, 0, None, None, None),
+)
+
+
+def _sql_spans(name: str) -> str:
+    return "(VALUES " + ", ".join(f"({w}, {r}, {a}::BIGINT, {b}::BIGINT)" for w, r, a, b in SPANS[name]) + ") t(wave, rank, s, e)"
+
+
+def _loads(values: DataFrame) -> DataFrame:
+    return values.groupBy("wave", "rank").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"), F.sum("data").alias("total"))
+
+
+def _sql_loads(name: str) -> str:
+    return f"SELECT wave, rank, min(s) AS first_i, max(e) - 1 AS last_i, CAST(sum(e - s) AS BIGINT) AS n, CAST(sum((s + 1 + e) * (e - s) // 2) AS DOUBLE) AS total FROM {_sql_spans(name)} GROUP BY 1, 2"
+
+
+@query(f"""SELECT i, wave, rank, round(1000 * (sin(i + 1.0::DOUBLE) * cos(3000.0::DOUBLE - i) + sqrt((i + 1.0::DOUBLE) * (3000.0::DOUBLE - i))), 4) AS c
+FROM (SELECT wave, rank, unnest(range(s, e)) AS i FROM {_sql_spans("wave_invariance")})""")
+def wave_invariance(spark, sf_dir):
+    """A kernel that runs in waves whose size changes: values are those of one pass, waves and ranks those of the policy."""
+    i = F.col("i").cast("double")
+    return auto_scene().run(spark, 3_000, lambda s: s.select("i", "wave", "rank", F.round(kernels.elementwise(i + 1, 3000.0 - i), 4).alias("c"))).values
+
+
+@query(_sql_loads("custom_policy"))
+def custom_policy(spark, sf_dir):
+    """The exact workload under a policy of the user's own: what each worker computed in each wave."""
+    return _loads(custom_scene().run(spark, 50_000, lambda s: s.select("i", "wave", "rank", (F.col("i") + 1.0).alias("data"))).values)
 
 
-@query("SELECT range AS i, range + 1.0::DOUBLE AS data FROM range(0, 2000)")
+@query(_sql_loads("resize_demo"))
 def resize_demo(spark, sf_dir):
     """The exact workload under given sizes and a worker that slows down."""
+    return _loads(resize_scene().run(spark, 20_000, lambda s: s.select("i", "wave", "rank", (F.col("i") + 1.0).alias("data"))).values)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(["NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::{kind}" for x, kind in zip(row, ("BIGINT", "", "INTEGER", "INTEGER", "BIGINT", "BIGINT", ""), strict=True)]) + ")" for row in RESIZE_HISTORY) + ') t(epoch, kind, rank, other, start, "end", note)')
+def resize_history(spark, sf_dir):
+    """What that run's resizes did: transfers, workers that came and went, caches and replicas."""
+    run = resize_scene().run(spark, 20_000, lambda s: s.select("i"))
+    return run.history.where(F.col("kind").isin(*HISTORY_KINDS)).select("epoch", "kind", "rank", "other", "start", "end", "note")
+
+
+@query("""
+SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, max(o_orderkey) AS hi, min(o_custkey) AS lo, count(*) AS n FROM orders""")
+def partial_carry(spark, sf_dir):
+    """Reductions whose partial results are carried across resizes."""
+    from ..conf import Conf
+    from .controller import Controller
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_custkey")
+    n = orders.count()
+    run = Controller(6, Conf(elastic=True, policy="fixed", sequence="2,5,3"), speed=lambda e, r, k: n / 15)
+    a = reduce.Accumulator
+    found = [a("cents", "cents"), a("hi", "i", "max"), a("lo", "o_custkey", "min"), a("n", "one")]
+    return run.run(spark, n, lambda s: s.join(orders, "i").select("i", "cents", "o_custkey", F.lit(1).cast("long").alias("one")), found).reductions
+
+
+@query(f"""
+WITH s AS (SELECT {_sql_lcg("range + 1", "2")} AS a, {_sql_lcg("range + 1", "3")} AS b FROM range(0, 4000)),
+h AS (SELECT CASE WHEN (a / 4294967296.0::DOUBLE) * (a / 4294967296.0::DOUBLE) + (b / 4294967296.0::DOUBLE) * (b / 4294967296.0::DOUBLE) <= 1 THEN 1 ELSE 0 END AS hit FROM s)
+SELECT CAST(sum(hit) AS BIGINT) AS hits, count(*) AS points FROM h""")
+def montecarlo_plugin(spark, sf_dir):
+    """Random points under a policy that a plugin names."""
+    from ..conf import Conf
+    from .controller import Controller
+
+    run = Controller(6, Conf(elastic=True, policy="rangeflow.plans.policies:step_of_one", initial_size=3, min_horizon_epochs=0.0), speed=lambda e, r, k: 100.0 if r else 400.0)
+    a = reduce.Accumulator
+    kernel = lambda s: s.select(kernels.inside_circle(F.col("i") + 1).cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
+    return run.run(spark, 4_000, kernel, [a("hits", "hit"), a("points", "one")]).reductions
+
+
+@query("""
+SELECT range::INTEGER AS step, range % 3 = 0 OR range = 10 AS evaluated, CASE WHEN range <= 3 THEN 4 WHEN range <= 6 THEN 2 ELSE 3 END::INTEGER AS size, (10 - range) * 500.0::DOUBLE AS remaining FROM range(1, 11)""")
+def step_loop(spark, sf_dir):
+    """Ten steps with a decision after every third and the last."""
+    from ..conf import Conf
+    from .controller import Steps
+    from .store import cut
+
+    loop = Steps(500, 4, Conf(elastic=True, policy="fixed", sequence="2,3", step_epoch=3))
+    field, rows = loop.run(kernels.heat_initial(space.loop(spark, 500), 500), 10, lambda f: kernels.stencil_step(f, 500, block=256), cut)
+    if field.count() != 500:
+        raise RuntimeError("the field lost cells")
+    return spark.createDataFrame([(r.step, r.evaluated, r.size, r.remaining) for r in rows], "step int, evaluated boolean, size int, remaining double")
+
+
+@query("""
+WITH s AS (SELECT * FROM (VALUES (0, 8), (1, 1), (2, 1), (3, 1), (4, 8), (5, 4)) t(epoch, size))
+SELECT epoch::BIGINT AS epoch, size AS old, round(size * 100 / (1 + 0.1::DOUBLE * (size - 1)), 6) AS value, CASE WHEN epoch > 0 THEN 100.0::DOUBLE END AS thr1,
+       CASE WHEN epoch > 0 THEN round(size / (1 + 0.1::DOUBLE * (size - 1)), 6) END AS speedup, CASE WHEN epoch > 0 THEN round(1 / (1 + 0.1::DOUBLE * (size - 1)), 6) END AS eff FROM s""")
+def trace_probes(spark, sf_dir):
+    """The PROBE rows of a search: throughput, that of one worker, speedup and efficiency."""
+    from .. import trace
     from ..conf import Conf
     from .controller import Controller
 
-    run = Controller(8, Conf(elastic=True, policy="fixed", sequence="2,6,3", balancing=True), speed=lambda e, r, n: 5.0 if r == 1 and e > 3 else 25.0)
-    return run.run(spark, 2000, lambda s: s.select("i", (F.col("i") + 1.0).alias("data")))[0]
+    run = Controller(8, Conf(elastic=True, policy="auto", min_horizon_epochs=0.0, fast_response=True), speed=lambda e, r, n: 100 / (1 + 0.1 * (n - 1)))
+    rows = trace.trace_rows(spark, run.waves(100_000)[:6]).where("tag = 'PROBE'")
+    return rows.select("epoch", "old", *[F.round(c, 6).alias(c) for c in ("value", "thr1", "speedup", "eff")])
 
 
 @query("""
@@ -817,13 +1202,13 @@ def trace_resizes(spark, sf_dir):
     return rows.select(F.lit("FIXED").alias("policy"), "epoch", "old", "new")
 
 
-@query("SELECT 'CSV' AS tag, 'vector' AS example, 200::BIGINT AS work_items, 0::BIGINT AS errors")
+@query("SELECT 'CSV' AS tag, 'matmat' AS example, 4800::BIGINT AS work_items, 0::BIGINT AS errors")
 def bench_rows(spark, sf_dir):
-    """The bench record of the vector workload, checked against its closed form."""
+    """The bench record of the dense product, whose cells (joined and summed) have a closed form to be checked against."""
     from .. import trace
 
-    expected = kernels.elementwise(F.col("i") + 1.0, 200.0 - F.col("i"), passes=1) * 1000
-    off = F.abs(F.col("c") - expected) > 1e-3 * F.abs(expected) + 1e-3
-    checked = kernels.vector_workload(spark).agg(F.count("*").alias("n"), F.count_if(off).alias("errors")).first()
-    rows = trace.bench_rows(spark, [("vector", "flat", "spark", 1, 1, checked.n, 0.0, checked.errors)])
+    expected = (F.col("i") + 1) * 60.0
+    off = F.abs(F.col("v") - expected) > 1e-3 * F.abs(expected) + 1e-3
+    checked = matmat(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(off).alias("errors")).first()
+    rows = trace.bench_rows(spark, [("matmat", "flat", "spark", 1, 1, checked.n, 0.0, checked.errors)])
     return rows.select("tag", "example", "work_items", "errors")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import half_away
-from ..functions.generators import lcg_at
+from ..functions.generators import lcg_next, with_lcg
 from ..operators.attach import running_total
 from ..operators.space import loop
 
@@ -59,11 +59,11 @@ def powerlaw_degrees(spark: SparkSession, n: int, mean: int, s: float = 1.0) ->
 
 def entries(degrees: DataFrame, n: int, seed: int = 12345) -> DataFrame:
     """(r, k, c, v): the entries of each row, in order k."""
-    rows = running_total(degrees, "r", "nnz", "first").where("nnz > 0")
+    rows = running_total(degrees, "r", "nnz", "first", block=1 << 12).where("nnz > 0")  # a task's rows become many entries
     cells = rows.select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nnz") - 1)).alias("k"), "first")
-    draw = 2 * (F.col("first") + F.col("k"))
-    states = cells.select("r", "k", lcg_at(seed or 1, draw + 1).alias("a"), lcg_at(seed or 1, draw + 2).alias("b"))
-    return states.select("r", "k", (F.col("a") % n).cast("int").alias("c"), (0.5 + (F.col("b") % 100) * 0.01).cast("float").alias("v"))
+    states = with_lcg(cells, 2 * (F.col("first") + F.col("k")) + 1, "a", seed or 1)
+    b = lcg_next(F.col("a"))
+    return states.select("r", "k", (F.col("a") % n).cast("int").alias("c"), (0.5 + (b % 100) * 0.01).cast("float").alias("v"))
 
 
 def matrix(spark: SparkSession, pattern: str, n: int, mean: int, seed: int = 12345, contrast: float = 7.0, fraction: float = 0.25, spikes: int = 4) -> DataFrame:

@@ -31,7 +31,7 @@ def stream_metrics(telemetry: DataFrame, watermark: str | None = None) -> DataFr
     return epoch_metrics(rates, ("run_id", "epoch"))
 
 
-def _decide(machine, universe: int, conf: Conf, state, rows: pd.DataFrame):
+def _decide(machine, universe: int, conf: Conf, state, rows: pd.DataFrame, iterative: bool = False):
     out = []
     for row in rows.sort_values("epoch").itertuples():
         m = EpochMetrics(
@@ -45,6 +45,7 @@ def _decide(machine, universe: int, conf: Conf, state, rows: pd.DataFrame):
             epoch_elapsed=float(row.epoch_elapsed),
             epoch_ms=conf.epoch_ms,
             commits=int(row.commits),
+            iterative=iterative,
         )
         phase = getattr(state, "phase", "")
         state, d = machine.step(state, m)
@@ -53,12 +54,12 @@ def _decide(machine, universe: int, conf: Conf, state, rows: pd.DataFrame):
     return state, pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
 
-def fold_policy(metrics: DataFrame, conf: Conf, universe: int) -> DataFrame:
+def fold_policy(metrics: DataFrame, conf: Conf, universe: int, iterative: bool = False) -> DataFrame:
     """Decisions of a policy over each run's metrics, folded in order (batch)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         machine = policies.policy(conf, universe)
-        return _decide(machine, universe, conf, machine.initial(), rows)[1]
+        return _decide(machine, universe, conf, machine.initial(), rows, iterative)[1]
 
     return metrics.groupBy("run_id").applyInPandas(run, DECISIONS)
 
