@@ -163,23 +163,30 @@ def test_horizon():
 
 
 @pytest.mark.parametrize("name", ["auto", "throughput", "efficiency", "cost", "fixed"])
-def test_waves_cover_once_whatever_the_policy(spark, name):
+def test_waves_cover_once_whatever_the_policy(name):
     conf = Conf(elastic=True, policy=name, sequence="3,5,2", initial_size=4, balancing=True, min_horizon_epochs=0.0)
     run = Controller(8, conf, speed=lambda e, r, n: 5.0 + (r * 7 + e) % 5)
-    out, waves = run.run(spark, 700, lambda s: s.selectExpr("i", "i * 2 v"))
-    dealt = {r.i: (r.wave, r.rank) for r in run.run(spark, 700, lambda s: s)[0].collect()}
-    for w in waves:
-        end = min([x.start for x in waves if x.start > w.start], default=700)
-        for i in range(w.start, end):
-            assert dealt[i][0] == w.epoch and w.cuts[dealt[i][1]] <= i < w.cuts[dealt[i][1] + 1]
-    assert sorted((r.i, r.v) for r in out.collect()) == [(i, 2 * i) for i in range(700)]
-    starts = [w.start for w in waves]
-    assert starts == sorted(starts) and all(1 <= w.size <= 8 and w.cuts[0] == w.start and w.cuts[-1] == 700 for w in waves)
+    waves = run.waves(700)
+    assert sorted(i for w in waves for _, a, b in w.spans for i in range(a, b)) == list(range(700))
+    assert all(1 <= w.size <= 8 and all(0 <= r < w.size for r, _, _ in w.spans) for w in waves)
+    for w, after in zip(waves, waves[1:], strict=False):
+        assert after.size == (w.outcome.target if w.outcome.resize else w.size)
+        ran = {i for x in waves[: w.epoch + 1] for _, a, b in x.spans for i in range(a, b)}
+        dealt = [i for t in w.transfers for i in range(t.start, t.end)]
+        assert not w.transfers or sorted(dealt) == sorted(set(range(700)) - ran)
     assert [w.size for w in waves] == [w.size for w in run.waves(700)]
     if name == "fixed":
         assert [w.outcome.target for w in waves if w.outcome.resize] == [3, 5, 2]
 
 
+def test_functions_may_take_the_configuration():
+    tunable = lambda m, conf: consensus.Decision(consensus.RESIZE, conf.cost_step)
+    assert policies.policy(Conf(cost_step=3), 8, tunable).step(None, EpochMetrics(active_n=1))[1].target == 3
+    one = policies.policy(Conf(policy="rangeflow.plans.policies:step_of_one"), 8)
+    assert one.step(None, EpochMetrics(active_n=3, universe=8, max_rem_time=2.0, sum_rem_time=3.0))[1].target == 4
+    assert one.step(None, EpochMetrics(active_n=3, universe=8, any_settled=True))[1].target == 2
+
+
 def test_without_elasticity_nothing_changes():
     waves = Controller(6, Conf(policy="auto"), speed=lambda e, r, n: 3.0).waves(200)
     assert {w.size for w in waves} == {6}

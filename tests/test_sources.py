@@ -211,3 +211,45 @@ def test_trace_rows(spark):
     assert counts["RESIZE"] == 2 and counts["START"] == counts["END"] == sum(w.size for w in waves)
     assert all(r.value.split(",")[0] in counts for r in trace.as_csv(rows).collect())
     assert trace.timing_rows(spark, {"init": 0.5}).first().value == 0.5
+
+
+def test_probes_and_workers_of_each_wave(spark):
+    waves = Controller(4, conf.Conf(elastic=True, policy="auto", min_horizon_epochs=0.0), speed=lambda e, r, n: 10.0).waves(400)
+    rows = trace.trace_rows(spark, waves)
+    probes = rows.where("tag = 'PROBE'").orderBy("epoch").collect()
+    assert len(probes) == len(waves) and probes[-1].thr1 == 10.0 and abs(probes[-1].eff * probes[-1].old - probes[-1].speedup) < 1e-9
+    assert [r.rank for r in rows.where("tag = 'START' and epoch = 0").orderBy("rank").collect()] == list(range(waves[0].size))
+    assert trace.trace_rows(spark, waves, probes=False).where("tag = 'PROBE'").count() == 0
+
+
+def test_thread_rows(spark):
+    spark.range(1000).repartition(3).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = max(s for j in spark.sparkContext.statusTracker().getJobIdsForGroup(None) for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds)
+    rows = trace.thread_rows(spark, last).collect()
+    assert [r.rank for r in rows] == [0, 1, 2] and all(r.tag == "TM" and r.run_ms >= 0 and r.shuffle_read > 0 for r in rows)
+
+
+def test_one_worker_logs(spark):
+    record = lambda rank: trace.logging.makeLogRecord({"rank": rank})
+    trace.set_level(conf.Conf(log_level="WARNING"))
+    assert trace.log.filter(record(0)) and not trace.log.filter(record(3)) and trace.log.level == trace.logging.WARNING
+    trace.set_level(conf.Conf(log_all_workers=True))
+    assert trace.log.filter(record(3)) and len([f for f in trace.log.filters if isinstance(f, trace.OneWorker)]) == 1
+
+
+@pytest.mark.parametrize("n, block, depth, steps", [(1, 4, 2, 3), (7, 100, 5, 12), (40, 10, 4, 11), (45, 10, 10, 25), (64, 16, 3, 7)])
+def test_many_steps_equal_single_ones(spark, n, block, depth, steps):
+    u = np.arange(n) ** 2.0 % 17
+    field = spark.createDataFrame([(i, float(x)) for i, x in enumerate(u)], "i long, u double")
+    for _ in range(steps):
+        u = u + 0.25 * (np.roll(u, 1) - 2 * u + np.roll(u, -1))
+    got = [r.u for r in kernels.stencil_many(field, n, steps, lambda f: f, block=block, depth=depth).orderBy("i").collect()]
+    assert np.allclose(got, u)
+
+
+def test_user_aggregates_of_nothing(spark):
+    how = reduce.UserAggregate((0.0,), lambda s, v: (s[0] + float(v.sum()),), lambda a, b: (a[0] + b[0],))
+    rows = spark.createDataFrame([(1.0,), (None,), (2.5,)], "x double")
+    assert reduce.reduce_user(rows, "x", how).first().state == [3.5]
+    assert reduce.reduce_user(rows.limit(0), "x", how).first().state == [0.0]
