@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, composed
-from .shared import cut, mark, release
+from .shared import arrow_batches, cut, mark, release
 from .wordhash import U64, Words, buffers, mix, slices, trim, window_names
 
 _LONG = pa.list_(pa.int64())
@@ -406,6 +406,11 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     the links of all of them, and each is returned. Rows with a null doc_id are not
     compared and are kept with a null component. An empty table gives no rows.
     """
+    with arrow_batches(docs.sparkSession):
+        return _classes(docs, p)
+
+
+def _classes(docs: DataFrame, p: NearDupParams) -> DataFrame:
     start = mark()
     sig = cut(signatures(docs, p), "signatures")
     written = mark()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,21 @@ def _remove_all() -> None:
                 return
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """Jobs run inside send texts to Python in batches of at most ``most`` bytes.
+
+    A batch is held by the JVM, in a pipe's buffers and by the worker, for each task of an executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def disguised(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
     """``docs`` with names of its other columns that no operator uses.
 
