@@ -37,7 +37,7 @@ def attach(space: DataFrame, buffer: DataFrame, access: Access = Access.PARTITIO
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a result's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def from_root(values: DataFrame, ranks: DataFrame, root: int = 0) -> DataFrame:
