@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, composed
-from .shared import arrow_batches, cut, mark, release
+from .shared import arrow_batches, cut, mark, release, small
 from .wordhash import U64, Words, buffers, mix, slices, trim, window_names
 
 _LONG = pa.list_(pa.int64())
@@ -475,7 +475,7 @@ def keep_first(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame
     # texts meet the ids that go, which are fewer than those that stay
     gone = cut(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     twice = cut(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    out = docs.join(small(gone), docs["doc_id"] == gone["_id"], "left_anti")
     if twice.limit(1).count():
         again = out.join(twice, out["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
         out = out.join(twice, out["doc_id"] == twice["_id"], "left_anti").union(again)

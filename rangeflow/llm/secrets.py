@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, disguised
+from .shared import cut, disguised, small
 from .trigrams import by_rarity, one_pass, trigram_query
 
 
@@ -148,11 +148,11 @@ def _placed(items: str, kind: int) -> Column:
 def with_spans(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """``docs`` (doc_id, text and columns of no name used here) with ``all``: the spans that count, in order.
 
-    What the postings leave, a row for each document that may have a match, is written
-    first: Spark then broadcasts it if its size allows, and joins by doc_id if not.
+    What the postings leave, a row (id, bits) for each document that may have a match, is written
+    first and counted: up to a million are broadcast, and more join by doc_id.
     """
     named = cut(candidates(docs, rules).withColumnRenamed("doc_id", "of_doc"), "candidates")
-    joined = docs.join(named, docs["doc_id"].eqNullSafe(named["of_doc"]), "left").drop("of_doc")
+    joined = docs.join(small(named), docs["doc_id"].eqNullSafe(named["of_doc"]), "left").drop("of_doc")
     may = F.coalesce("may", F.lit(0).cast("long"))
     found = {
         f"found{i}": _matches(r, F.lit(True) if trigram_query(r.pattern) is None else may.bitwiseAND(F.lit(1 << i)) != 0)

@@ -86,6 +86,11 @@ def _remove_all() -> None:
                 return
 
 
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if a count finds at most ``rows`` of them; a larger one joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
     """Jobs run inside send texts to Python in batches of at most ``most`` bytes.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path
+from .shared import cut, new_path, small
 
 END = b"\r\n\r\n"
 
@@ -284,8 +284,8 @@ def write_archives(pages: DataFrame, path: str, p: WarcParams = WarcParams()) ->
 
     Of pages with equal payloads of at least ``least_bytes`` the one with the
     largest id is a response, and the others revisit it. Only digests are
-    grouped; the pages themselves join the list of revisits, which Spark
-    broadcasts if it is small and else meets by page id. A null html is an empty
+    grouped; the pages themselves join the list of revisits, which is
+    broadcast up to 200,000 (of some 100 bytes) and else met by page id. A null html is an empty
     payload, a null url ``urn:none``; pages without an id, and pages that repeat, are
     records of their own; other columns are ignored; an empty table writes no archive.
     """
@@ -297,7 +297,7 @@ def write_archives(pages: DataFrame, path: str, p: WarcParams = WarcParams()) ->
     again = named.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("original")))
     again = cut(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "original").distinct(), "revisits")
     same = pages["page_id"].eqNullSafe(again["_page"]) & (F.sha1(payload) == again["_digest"])
-    marked = pages.join(again, same, "left").select("page_id", "url", "html", "original")
+    marked = pages.join(small(again, 200_000), same, "left").select("page_id", "url", "html", "original")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
         for batch in batches:
