@@ -120,9 +120,17 @@ def matmat(spark, sf_dir):
 _COO = "SELECT l_suppkey AS r, l_partkey AS c, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2"
 
 
-def lineitem_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates (supplier, part, quantity) with whole values."""
+#: Rows of lineitem that a task of the MatrixMarket query sums: so many up to 200 tasks, to which a shuffle deals without sorting, and the most beyond.
+TASK_ROWS = (1 << 19, 1 << 21)
+
+
+def lineitem_matrix(spark: SparkSession, sf_dir: str, task_rows: tuple[int, int] | None = None) -> DataFrame:
+    """Coordinates (supplier, part, quantity) with whole values; ``task_rows`` bounds the rows that a task sums."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c"), F.col("l_quantity").cast("long").alias("v"))
+    if task_rows:  # dealt before they are summed: hardly a pair repeats, and sums of a whole file split would be held at once
+        total = rows.count()
+        fair, most = (-(-total // n) for n in task_rows)
+        rows = rows.repartition(max(1, min(fair, 200), most), "r", "c")
     return rows.groupBy("r", "c").agg(F.sum("v").alias("v"))
 
 
@@ -160,13 +168,13 @@ def spmv_gather(spark, sf_dir):
 
 @query(f"SELECT r, c::INTEGER AS c, v::FLOAT AS v FROM ({_COO})")
 def mtx_round_trip(spark, sf_dir):
-    """The matrix as a MatrixMarket file, written and read back."""
+    """The matrix as a folder of MatrixMarket lines, a file a task, written and read back."""
     from ..sources import mtx
-    from .store import new_path
+    from .store import cut, new_path
 
-    cells = lineitem_matrix(spark, sf_dir)
+    cells = cut(lineitem_matrix(spark, sf_dir, TASK_ROWS))  # counted and written from one table
     path = new_path(spark, "matrix")
-    mtx.write_mtx(cells.coalesce(1), table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count(), path)
+    mtx.write_mtx(cells, table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count(), path)
     return mtx.read_mtx(spark, path)
 
 

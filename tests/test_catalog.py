@@ -50,3 +50,23 @@ def test_partition_counts_do_not_matter(spark):
         assert seen[0] == seen[1] == seen[2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_no_task_holds_the_matrix(spark, duck, monkeypatch):
+    from rangeflow.sources import mtx
+
+    monkeypatch.setattr(catalog, "TASK_ROWS", (500, 2000), raising=False)
+    expected = duck.execute(f"SELECT count(*) FROM ({catalog.SQL['mtx_round_trip']})").fetchone()[0]
+    seen, write = [], mtx.write_mtx
+
+    def written(cells, rows, cols, path):
+        write(cells, rows, cols, path)
+        files = [f.removeprefix("file:") for f in cells.inputFiles()]
+        seen.append([spark.read.parquet(f).count() for f in files])
+        seen.append([r["count"] for r in spark.read.text(path).groupBy("_metadata.file_name").count().collect()])
+
+    monkeypatch.setattr(mtx, "write_mtx", written)
+    assert catalog.QUERIES["mtx_round_trip"](spark, SF).count() == expected
+    summed, lines = seen
+    assert sum(summed) == expected and max(summed) < 2 * 500
+    assert sum(lines) == expected + 2 and len(lines) > 2

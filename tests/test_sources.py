@@ -64,6 +64,39 @@ def test_matrix_market_ignores_what_follows_and_round_trips(spark, tmp_path):
     assert sorted(lines) == sorted(["%%MatrixMarket matrix coordinate real general", "3 4 2", "1 1 2.5", "3 4 -1.0"])
 
 
+def test_matrix_market_folder_is_read_by_file_name(spark, tmp_path):
+    cells = spark.range(900).selectExpr("id div 30 r", "cast(id % 30 as int) c", "cast(id as float) v")
+    expected = sorted(map(tuple, cells.collect()))
+    for k, made in enumerate((cells.coalesce(1), cells.repartition(5), cells.repartitionByRange(7, "r"), cells.orderBy("r").where("r % 2 = 0").union(cells.where("r % 2 = 1")))):
+        mtx.write_mtx(made, 30, 30, path := str(tmp_path / f"m{k}"))
+        assert sorted(map(tuple, mtx.read_mtx(spark, path).collect())) == expected
+    folder = tmp_path / "by_hand"  # the head is in the smallest file, entries in its file and beyond the declared ones are in others
+    folder.mkdir()
+    (folder / "a").write_text("%%MatrixMarket matrix coordinate real general\n% x\n")
+    (folder / "b").write_text("\n30 30 8\n30 30 8\n")
+    (folder / "c").write_text("".join(f"1 {i} 1\n" for i in range(1, 6)))
+    (folder / "d").write_text("% more\n" + "".join(f"2 {i} 1\n" for i in range(1, 31)))
+    (folder / "e").write_text("7 x\n" * 40)
+    found = sorted(map(tuple, mtx.read_mtx(spark, str(folder)).collect()))
+    assert found == [*((0, i, 1.0) for i in range(5)), (1, 0, 1.0), (1, 1, 1.0), (29, 29, 8.0)]
+
+
+def test_matrix_market_lines_across_splits(spark, tmp_path):
+    path = write(tmp_path, "%%MatrixMarket matrix coordinate real general\n" + "% x\n" * 30 + "99 9 500\n" + "".join(f"{i % 99 + 1} {i % 9 + 1} {i}\n" for i in range(700)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for n in ("41", "100", "1000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+            assert sorted(map(tuple, mtx.read_mtx(spark, path).collect())) == sorted((i % 99, i % 9, float(i)) for i in range(500))
+            folder = tmp_path / f"in{n}"  # the head in a file of its own, entries of the second file not all declared
+            folder.mkdir()
+            for k, text in enumerate(("%%MatrixMarket matrix coordinate real general\n99 9 150\n", *["".join(f"{i % 99 + 1} {i % 9 + 1} {i + 100 * k}\n" for i in range(100)) for k in range(2)])):
+                (folder / str(k)).write_text(text)
+            assert sorted(map(tuple, mtx.read_mtx(spark, str(folder)).collect())) == sorted((i % 99, i % 9, float(i + 100 * k)) for k in range(2) for i in range(100 if k == 0 else 50))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def degrees(frame):
     return [r.nnz for r in frame.orderBy("r").collect()]
 
